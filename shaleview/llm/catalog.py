@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["lookalikes"]
+MODULES = ["lookalikes", "leakage"]
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:

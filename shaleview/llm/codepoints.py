@@ -207,3 +207,89 @@ def unify(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         keep[at] = False
         starts = np.concatenate(([0], np.cumsum(keep)))[starts]
         out = out[keep]
+
+
+DROPPED = 0xFFFFFFFF
+BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+
+
+@lru_cache(maxsize=1)
+def folding() -> np.ndarray:
+    """Code point to its plain lower-case letter or digit; 0 is a separator, DROPPED vanishes."""
+    t = np.zeros(N, np.uint32)
+    t[0x30000:0x32000] = np.arange(0x30000, 0x32000)
+    like = {ord(x): ord(y.lower()) for x, y in (GREEK_LIKE | CYRILLIC_LIKE).items()}
+    for i in range(0x30000):
+        if 0xAC00 <= i <= 0xD7A3 or 0x3400 <= i <= 0x9FFF or 0x20000 <= i:
+            t[i] = i
+            continue
+        if 0xD800 <= i < 0xE000 or not (c := chr(i)).isalnum():
+            continue
+        base = unicodedata.normalize("NFKD", c)[0].lower()[0]
+        t[i] = like.get(i) or like.get(ord(base)) or (ord(base) if base.isalnum() else i)
+    t[(classes() & (COMBINING | ZERO_WIDTH)) > 0] = DROPPED
+    return t
+
+
+def _powers(base: np.uint64, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006
+    if len(cache.get(base, ())) < n:
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        cache[base] = np.cumprod(steps, dtype=np.uint64)
+    return cache[base][:n]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def sums(values: np.ndarray) -> np.ndarray:
+    """Prefix sums of value * BASE**position, from which the hash of any span follows."""
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(values.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(values)), dtype=np.uint64)))
+
+
+def spans(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [begin, end)."""
+    inverse = _powers(INVERSE, len(prefix))
+    return mixed((prefix[end] - prefix[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+
+
+def folded(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(letters, where a word begins, where each row begins, where each letter was).
+
+    Letters are plain and lower-case; a hyphen inside a word, also at a line end, joins its parts.
+    """
+    f = folding()[points]
+    hyphen = (points == 0x2D) | (points == 0x2010) | (points == 0x2011)
+    edge = np.zeros(len(points) + 1, bool)
+    edge[starts] = True
+    if hyphen.any():
+        at = np.flatnonzero(hyphen)
+        at = at[(at > 0) & (at + 1 < len(points))]
+        at = at[~edge[at] & ~edge[at + 1]]
+        letter = (f > 0) & (f != DROPPED) & ~((points >= 0x30) & (points <= 0x39))
+        at = at[letter[at - 1]]
+        new_line = (points == 10) | (points == 13)
+        f[at[letter[at + 1]]] = DROPPED
+        brk = at[new_line[at + 1]]
+        f[brk] = f[brk + 1] = DROPPED
+    keep = f != DROPPED
+    begins = np.concatenate(([0], np.cumsum(keep)))[starts]
+    was = np.flatnonzero(keep)
+    f = f[keep]
+    edge = np.zeros(len(f) + 1, bool)
+    edge[begins] = True
+    letter = f > 0
+    first = letter & (edge[:-1] | ~np.concatenate(([False], letter[:-1])))
+    begins = np.concatenate(([0], np.cumsum(letter)))[begins]
+    return f[letter], first[letter], begins, was[letter]
+
+
+def word_hashes(letters: np.ndarray, first: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each row and the end)."""
+    at = np.flatnonzero(first)
+    end = np.concatenate((at[1:], [len(letters)])).astype(np.int64) if len(at) else at
+    return spans(sums(letters), at, end), np.searchsorted(at, begins)
