@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["lookalikes", "leakage"]
+MODULES = ["lookalikes", "leakage", "history"]
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
