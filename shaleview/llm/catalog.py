@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["lookalikes", "leakage", "history", "survivors"]
+MODULES = ["lookalikes", "leakage", "history", "survivors", "names"]
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
