@@ -141,34 +141,45 @@ def parsed(names: DataFrame, given: set[str]) -> DataFrame:
     return names.mapInPandas(run, PARSED)
 
 
-def _cut(s: Column, length: Column) -> tuple[Column, Column]:
-    half = F.floor(length / 2).cast("int")
-    return F.substring(s, F.lit(1), half), F.right(s, length - half)
+def segment_pairs(strings: DataFrame, by: list[str], k: int = 1, others: DataFrame | None = None) -> DataFrame:
+    """Pairs (x, y) of different strings `s` of one `by` group at an edit distance of at most k (two swapped letters count as one edit if k is 1).
 
-
-def segment_pairs(strings: DataFrame, by: list[str]) -> DataFrame:
-    """Pairs (x, y) of distinct strings `s` of one `by` group that differ by one slip, each way.
-
-    The index holds both halves of every string with its length; the probe looks up its own first and last letters
-    under the lengths n - 1, n and n + 1, and once more with the letters at the cut swapped.
+    others: the strings y, if not the same table. The index holds the k + 1 segments of every y with its length and
+    the segment's number j; the probe looks up, for every length from n - k to n + k, the substrings of x at those
+    shifts that leave at most j edits before the segment and k - j after it.
     """
-    s = strings.select(*by, "s").where("length(s) >= 3").distinct()
+    s = strings.select(*by, "s").where(f"length(s) > {k + 1}").distinct()
+    o = s if others is None else others.select(*by, "s").where(f"length(s) > {k + 1}").distinct()
     n = F.length("s")
-    left, right = _cut(F.col("s"), n)
-    index = s.select(*by, F.col("s").alias("y"), F.explode(F.array(F.concat_ws("|", F.lit("L"), n, left), F.concat_ws("|", F.lit("R"), n, right))).alias("key"))
-    keys = []
-    for d in (-1, 0, 1):
-        a, b = _cut(F.col("s"), n + d)
-        keys += [F.concat_ws("|", F.lit("L"), n + d, a), F.concat_ws("|", F.lit("R"), n + d, b)]
-    half = F.floor(n / 2).cast("int")
-    swapped = F.concat(F.substring("s", F.lit(1), half - 1), F.substring("s", half + 1, F.lit(1)), F.substring("s", half, F.lit(1)), F.right("s", n - half - 1))
-    probe = s.withColumn("w", swapped)
-    a, b = _cut(F.col("w"), n)
-    keys += [F.concat_ws("|", F.lit("L"), n, a), F.concat_ws("|", F.lit("R"), n, b)]
-    probe = probe.select(*by, F.col("s").alias("x"), F.explode(F.array_distinct(F.array(*keys))).alias("key"))
+
+    def limits(length: Column, j: int) -> tuple[Column, Column]:
+        cut = [F.floor(length * i / (k + 1)).cast("int") for i in (j, j + 1)]
+        return cut[0], cut[1] - cut[0]
+
+    def keys(source: str) -> list[Column]:
+        out = []
+        for d in range(-k, k + 1):
+            for j in range(k + 1):
+                start, size = limits(n + d, j)
+                for shift in range(max(-j, -d - (k - j)), min(j, -d + (k - j)) + 1):
+                    at = start + shift + 1
+                    out.append(F.when((at >= 1) & (at + size - 1 <= n), F.concat_ws("|", F.lit(j), n + d, F.substring(source, at, size))))
+        return out
+
+    own = [F.concat_ws("|", F.lit(j), n, F.substring(F.col("s"), limits(n, j)[0] + 1, limits(n, j)[1])) for j in range(k + 1)]
+    index = o.select(*by, F.col("s").alias("y"), F.explode(F.array(*own)).alias("key"))
+    probes = keys("s")
+    if k == 1:  # a swap at the cut hurts both segments: look up with it undone
+        half = F.floor(n / 2).cast("int")
+        swapped = F.concat(F.substring("s", F.lit(1), half - 1), F.substring("s", half + 1, F.lit(1)), F.substring("s", half, F.lit(1)), F.right("s", n - half - 1))
+        s = s.withColumn("w", swapped)
+        probes += keys("w")
+    probe = s.select(*by, F.col("s").alias("x"), F.explode(F.array_distinct(F.array(*probes))).alias("key")).where("key is not null")
     letters = lambda c: F.array_sort(F.split(c, ""))
-    return probe.join(index, [*by, "key"]).where("x <> y").select(*by, "x", "y").distinct().where(
-        edit_within(F.col("x"), F.col("y"), 1) | (F.length("x") == F.length("y")) & edit_within(F.col("x"), F.col("y"), 2) & (letters("x") == letters("y")))
+    ok = edit_within(F.col("x"), F.col("y"), k)
+    if k == 1:
+        ok = ok | (F.length("x") == F.length("y")) & edit_within(F.col("x"), F.col("y"), 2) & (letters("x") == letters("y"))
+    return probe.join(index, [*by, "key"]).where("x <> y").select(*by, "x", "y").distinct().where(ok)
 
 
 def respelt(counts: DataFrame, by: list[str], ratio: int = 5) -> DataFrame:
@@ -223,7 +234,12 @@ def entities(records: DataFrame, key: str = "record_id", kind: str = "entity_typ
     better = respelt(nodes, ["kind", "g"])
     better = better.join(better.select("kind", "g", F.col("s").alias("t"), F.col("t").alias("u")), ["kind", "g", "t"], "left").select("kind", "g", F.col("s").alias("family"), F.coalesce("u", "t").alias("better"))
     whole = parts.where("full").join(better, ["kind", "g", "family"], "left").withColumn("home", F.coalesce("better", "family")).drop("better")
-    whole = written(whole, "p2-whole")
+    # what is still alone may have two slips
+    whole = written(whole, "p2-once")
+    homes = whole.groupBy("kind", "g", F.col("home").alias("s")).agg(F.countDistinct("key").alias("n"))
+    alone, kept = homes.where("n = 1 and length(s) >= 8"), homes.where("n > 1")
+    twice = segment_pairs(alone, ["kind", "g"], 2, kept).join(kept.withColumnRenamed("s", "y"), ["kind", "g", "y"]).groupBy("kind", "g", F.col("x").alias("home")).agg(F.max_by("y", F.struct("n", "y")).alias("other"))
+    whole = written(whole.join(twice, ["kind", "g", "home"], "left").withColumn("home", F.coalesce("other", "home")).drop("other"), "p2-whole")
     who = lambda: F.concat_ws("|", "kind", "home", "g")
     # initials: the only bearer of the surname (or, without one, of a neighbouring spelling) whose name begins so
     lone = parts.where("not full")
