@@ -141,6 +141,28 @@ def parsed(names: DataFrame, given: set[str]) -> DataFrame:
     return names.mapInPandas(run, PARSED)
 
 
+def segments(n: int, k: int) -> list[tuple[int, int]]:
+    return [(j * n // (k + 1), (j + 1) * n // (k + 1)) for j in range(k + 1)]
+
+
+@lru_cache(maxsize=4096)
+def probes(n: int, k: int) -> list[tuple[int, int, int, int]]:
+    """(length m of the other string, segment number, start in the own string, size): where a segment of the other may lie."""
+    out = []
+    for m in range(max(1, n - k), n + k + 1):
+        for j, (a, b) in enumerate(segments(m, k)):
+            for shift in range(max(-j, n - m - (k - j)), min(j, n - m + (k - j)) + 1):
+                if 0 <= a + shift and b + shift <= n:
+                    out.append((m, j, a + shift, b - a))
+    return out
+
+
+def swapped(x: str, k: int) -> list[str]:
+    """x, and for k = 1 x with the letters at the cut swapped, since a swap there hurts both segments."""
+    cut = len(x) // 2
+    return [x, x[: cut - 1] + x[cut] + x[cut - 1] + x[cut + 1 :]] if k == 1 else [x]
+
+
 def segment_pairs(strings: DataFrame, by: list[str], k: int = 1, others: DataFrame | None = None) -> DataFrame:
     """Pairs (x, y) of different strings `s` of one `by` group at an edit distance of at most k (two swapped letters count as one edit if k is 1).
 
@@ -150,31 +172,17 @@ def segment_pairs(strings: DataFrame, by: list[str], k: int = 1, others: DataFra
     """
     s = strings.select(*by, "s").where(f"length(s) > {k + 1}").distinct()
     o = s if others is None else others.select(*by, "s").where(f"length(s) > {k + 1}").distinct()
-    n = F.length("s")
-
-    def limits(length: Column, j: int) -> tuple[Column, Column]:
-        cut = [F.floor(length * i / (k + 1)).cast("int") for i in (j, j + 1)]
-        return cut[0], cut[1] - cut[0]
-
-    def keys(source: str) -> list[Column]:
-        out = []
-        for d in range(-k, k + 1):
-            for j in range(k + 1):
-                start, size = limits(n + d, j)
-                for shift in range(max(-j, -d - (k - j)), min(j, -d + (k - j)) + 1):
-                    at = start + shift + 1
-                    out.append(F.when((at >= 1) & (at + size - 1 <= n), F.concat_ws("|", F.lit(j), n + d, F.substring(source, at, size))))
-        return out
-
-    own = [F.concat_ws("|", F.lit(j), n, F.substring(F.col("s"), limits(n, j)[0] + 1, limits(n, j)[1])) for j in range(k + 1)]
-    index = o.select(*by, F.col("s").alias("y"), F.explode(F.array(*own)).alias("key"))
-    probes = keys("s")
-    if k == 1:  # a swap at the cut hurts both segments: look up with it undone
-        half = F.floor(n / 2).cast("int")
-        swapped = F.concat(F.substring("s", F.lit(1), half - 1), F.substring("s", half + 1, F.lit(1)), F.substring("s", half, F.lit(1)), F.right("s", n - half - 1))
-        s = s.withColumn("w", swapped)
-        probes += keys("w")
-    probe = s.select(*by, F.col("s").alias("x"), F.explode(F.array_distinct(F.array(*probes))).alias("key")).where("key is not null")
+
+    @F.pandas_udf("array<string>")
+    def own_keys(strings: pd.Series) -> pd.Series:
+        return strings.map(lambda x: [f"{j}|{len(x)}|{x[a:b]}" for j, (a, b) in enumerate(segments(len(x), k))])
+
+    @F.pandas_udf("array<string>")
+    def probe_keys(strings: pd.Series) -> pd.Series:
+        return strings.map(lambda x: list({f"{j}|{m}|{x[i : i + n]}" for x in swapped(x, k) for m, j, i, n in probes(len(x), k)}))
+
+    index = o.select(*by, F.col("s").alias("y"), F.explode(own_keys("s")).alias("key"))
+    probe = s.select(*by, F.col("s").alias("x"), F.explode(probe_keys("s")).alias("key"))
     letters = lambda c: F.array_sort(F.split(c, ""))
     ok = edit_within(F.col("x"), F.col("y"), k)
     if k == 1:
