@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["lookalikes", "leakage", "history", "survivors", "names", "addresses", "individuals"]
+MODULES = ["lookalikes", "leakage", "history", "survivors", "names", "addresses", "individuals", "scans"]
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
