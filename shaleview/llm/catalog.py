@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["lookalikes", "leakage", "history", "survivors", "names", "addresses", "individuals", "scans"]
+MODULES = ["lookalikes", "leakage", "history", "survivors", "names", "addresses", "individuals", "scans", "personal", "mixing"]
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
