@@ -1,4 +1,5 @@
 """All queries of the general part by name, with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
