@@ -2,64 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import checkpoint_dir, components, read, written
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a local one where the session names none."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = "file://" + os.path.join(tempfile.gettempdir(), "shaleview-checkpoint")
-        spark.conf.set("spark.checkpoint.dir", set_dir)
-    return set_dir
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage through a table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected edge list: rows (node, component), component the least node.
-
-    Alternating large-star and small-star steps; every round is a grouped aggregation over the edge list,
-    so no node's neighbourhood is held in one task, and the number of rounds grows with the
-    logarithm of the longest chain. Null ends are ignored; self loops yield a component of one node.
-    """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct()
-    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    e = written(e.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    for _ in range(max_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: every larger neighbour is linked to the least of the closed neighbourhood
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: the node and its smaller neighbours are linked to the least of these
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(
-            F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
-        new = written(small.select("p.*").where("u <> v").distinct(), "cc")
-        sums = [F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h"), F.count("*").alias("n")]
-        same = new.agg(*sums).first() == e.agg(*sums).first()
-        e = new
-        if same:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return nodes.join(e.groupBy("u").agg(F.min("v").alias("v")), F.col("node") == F.col("u"), "left").select(
-        "node", F.coalesce("v", "node").alias("component"))
+__all__ = ["checkpoint_dir", "components", "edit_within", "pairs_within", "read", "written"]
 
 
 def pairs_within(groups: DataFrame, key: str, group: str, out_a: str, out_b: str) -> DataFrame:
