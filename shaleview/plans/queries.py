@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..cluster import checkpoint_dir, read
+from ..cluster import checkpoint_dir, read, spread
 from ..functions import normalise as N
 from ..functions import text as X
 from ..functions import values as V
@@ -71,7 +71,7 @@ def categories_sql(kind: str) -> str:
 def detect_category_counts(spark, sf_dir) -> DataFrame:
     """Detections of the most common types by source and category."""
     pairs = [F.struct(F.lit(k).alias("entity_type"), F.regexp_count("text", F.lit(pattern(k))).cast("bigint").alias("n")) for k in CORE]
-    d = read(spark, sf_dir, "documents").where("text is not null").select("source", F.explode(F.array(*pairs)).alias("p")).select("source", "p.*").where("n > 0")
+    d = spread(read(spark, sf_dir, "documents").where("text is not null").select("source", "text")).select("source", F.explode(F.array(*pairs)).alias("p")).select("source", "p.*").where("n > 0")
     return D.with_categories(d.groupBy("source", "entity_type").agg(F.sum("n").alias("n"))).groupBy("source", "category").agg(F.sum("n").alias("n"))
 
 
@@ -80,17 +80,17 @@ _RE2 = [p[0] for p in V.PATTERNS if p[0] not in LOOKAROUND]
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS entity_type, sum(len(regexp_extract_all(text, {q(pattern(k))})))::BIGINT AS n_matches, count(*) AS n_texts FROM extracted_blocks WHERE regexp_matches(text, {q(pattern(k))}) HAVING count(*) > 0" for k in _RE2))
 def detect_all_counts(spark, sf_dir) -> DataFrame:
-    return D.counts(read(spark, sf_dir, "extracted_blocks"), types=_RE2)
+    return D.counts(spread(read(spark, sf_dir, "extracted_blocks").select("text")), types=_RE2)
 
 
 @query(f"""SELECT 'SSN_NODASH' AS entity_type, sum(len(ms))::BIGINT AS n_matches, count(*) AS n_texts FROM (SELECT list_filter(regexp_extract_all(text, '\\b\\d{{9}}\\b'), lambda x: NOT (x[1:3] IN ('000', '666') OR x[1] = '9' OR x[4:5] = '00' OR x[6:9] = '0000')) AS ms FROM extracted_blocks WHERE text IS NOT NULL) WHERE len(ms) > 0""")
 def detect_ssn_nodash(spark, sf_dir) -> DataFrame:
-    return D.counts(read(spark, sf_dir, "extracted_blocks"), types=["SSN_NODASH"])
+    return D.counts(spread(read(spark, sf_dir, "extracted_blocks").select("text")), types=["SSN_NODASH"])
 
 
 @query()
 def detect_lookaround_counts(spark, sf_dir) -> DataFrame:
-    return D.counts(read(spark, sf_dir, "documents"), types=LOOKAROUND)
+    return D.counts(spread(read(spark, sf_dir, "documents").select("text")), types=LOOKAROUND)
 
 
 _SPANS = spans_sql("extracted_blocks", ["EMAIL", "SSN", "IPV4"], "block_id, doc_id")
@@ -104,20 +104,20 @@ def detect_spans(spark, sf_dir) -> DataFrame:
 
 @query(f"SELECT doc_id, entity_type, value, block_id, start::INT AS start FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_type, value ORDER BY block_id, start) AS n FROM ({_SPANS})) WHERE n = 1")
 def detection_best(spark, sf_dir) -> DataFrame:
-    d = D.detect(read(spark, sf_dir, "extracted_blocks").select("doc_id", "block_id", "text"), types=["EMAIL", "SSN", "IPV4"]).drop("text")
+    d = D.detect(spread(read(spark, sf_dir, "extracted_blocks").select("doc_id", "block_id", "text")), types=["EMAIL", "SSN", "IPV4"]).drop("text")
     return D.best_per_value(d, ["doc_id"], ["block_id", "start"]).select("doc_id", "entity_type", "value", "block_id", "start")
 
 
 @query(f"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, {q(pattern("CREDIT_CARD"))})) AS value FROM documents), d AS (SELECT doc_id, value, regexp_replace(value, '[^0-9]', '', 'g') AS s FROM c)
 SELECT doc_id, value, list_sum([CASE WHEN (length(s) - i) % 2 = 0 THEN s[i]::INT ELSE CASE WHEN s[i]::INT * 2 > 9 THEN s[i]::INT * 2 - 9 ELSE s[i]::INT * 2 END END FOR i IN range(1, length(s) + 1)]) % 10 = 0 AS passes FROM d""")
 def luhn_cards(spark, sf_dir) -> DataFrame:
-    d = D.detect(read(spark, sf_dir, "documents").select("doc_id", "text"), types=["CREDIT_CARD"])
+    d = D.detect(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), types=["CREDIT_CARD"])
     return d.select("doc_id", "value", X.luhn("value").alias("passes"))
 
 
 @query(f"SELECT doc_id, category, count(*) AS n FROM (SELECT doc_id, unnest({categories_sql('entity_type')}) AS category FROM ({spans_sql('documents', CORE[:6], 'doc_id')})) GROUP BY GROUPING SETS ((doc_id, category), (category))")
 def density_documents(spark, sf_dir) -> DataFrame:
-    return D.density(D.detect(read(spark, sf_dir, "documents").select("doc_id", "text"), types=CORE[:6]).drop("text"))
+    return D.density(D.detect(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), types=CORE[:6]).drop("text"))
 
 
 @query("""SELECT project_id, count(*) AS total, count(merge_confidence) AS valid, count(*) FILTER (merge_confidence >= 0.75) AS high, count(*) FILTER (merge_confidence < 0.50) AS low, count(*) - count(merge_confidence) AS missing,
@@ -131,7 +131,7 @@ _SIGNAL = "|".join(V.SIGNALS["SSN"])
 
 @query(f"SELECT boosted, count(*) AS n FROM (SELECT regexp_matches(lower(substr(text, greatest(start - 100, 0)::BIGINT + 1, (least(start + length(value) + 100, length(text)) - greatest(start - 100, 0))::BIGINT)), {q(_SIGNAL)}) AS boosted FROM ({spans_sql('extracted_blocks', ['SSN'], 'block_id')})) GROUP BY 1")
 def signal_boosts(spark, sf_dir) -> DataFrame:
-    d = D.signal_boost(D.detect(read(spark, sf_dir, "extracted_blocks").select("block_id", "text"), types=["SSN"]))
+    d = D.signal_boost(D.detect(spread(read(spark, sf_dir, "extracted_blocks").select("block_id", "text")), types=["SSN"]))
     return d.groupBy(F.col("signal").alias("boosted")).agg(F.count("*").alias("n"))
 
 
@@ -155,7 +155,7 @@ WHEN entity_type = 'COMPANY_NUMBER_UK' AND regexp_matches(v, '^\\d{{0,7}}$') AND
 WHEN entity_type = 'DRIVER_LICENSE_US' AND NOT regexp_matches(c, {q(V.LICENCE_WORDS)}) THEN 'no_licence_word' WHEN entity_type = 'VAT_EU' AND regexp_matches(v, '^\\pL+$') THEN 'letters_only'
 WHEN entity_type LIKE 'DATE%' AND regexp_matches(c, {q(V.DATE_WORDS)}) AND NOT regexp_matches(c, {q(V.BIRTH_WORDS)}) THEN 'transaction_date' WHEN entity_type LIKE 'DATE%' AND NOT regexp_matches(c, {q(V.BIRTH_WORDS)}) THEN 'no_birth_word' END AS fp_reason FROM s) GROUP BY 1, 2""")
 def suppression_reasons(spark, sf_dir) -> DataFrame:
-    d = D.suppressed(D.detect(read(spark, sf_dir, "documents").select("doc_id", "text"), types=_DENY))
+    d = D.suppressed(D.detect(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), types=_DENY))
     return d.groupBy("entity_type", "fp_reason").agg(F.count("*").alias("n"))
 
 
