@@ -45,10 +45,9 @@ def collapsed(word: str) -> str:
 
 
 def deletions(word: str, most: int = 2) -> list[str]:
-    """All forms of the collapsed word with up to `most` letters deleted; fewer for short words."""
-    w = collapsed(word)
-    most = min(most, max(0, len(w) - 1) if len(w) < 4 else most)
-    return list({"".join(c for i, c in enumerate(w) if i not in out) for n in range(most + 1) for out in combinations(range(len(w)), n)})
+    """All forms of the word, as it is and collapsed, with up to `most` letters deleted; at least one stays."""
+    forms = {word, collapsed(word)}
+    return list({"".join(c for i, c in enumerate(w) if i not in out) for w in forms for n in range(min(most, max(0, len(w) - 1)) + 1) for out in combinations(range(len(w)), n)})
 
 
 def confusions(clean: str, seen: str) -> int:
@@ -72,20 +71,20 @@ def skeleton(line: str) -> str:
 
 def edges(text: str) -> list[tuple[int, str, bool, bool]]:
     """(line number, header text, is a page number alone, has one beside it) of the lines at top and foot."""
-    lines = text.split("\n")
-    n = len(lines)
-    out = []
-    for i in sorted({*range(min(EDGE, n)), *range(max(0, n - EDGE), n)}):
-        s = lines[i].strip()
-        if not s:
-            continue
-        if NUMBER_LINE.match(s):
-            out.append((i, "", True, False))
-            continue
-        core = NUMBER_START.sub("", NUMBER_END.sub("", s))
-        out.append((i, core, False, core != s))
-    # only an unbroken row from the very edge can be layout, so a number inside the text is none
-    return out
+    lines = [(i, s) for i, x in enumerate(text.split("\n")) if (s := x.strip())]
+    out = {}
+    for way in (lines, lines[::-1]):
+        header = False
+        for i, s in way[:EDGE]:  # only an unbroken row from the very edge is layout: numbers and at most one other line
+            if NUMBER_LINE.match(s):
+                out[i] = (i, "", True, False)
+                continue
+            if header:
+                break
+            core = NUMBER_START.sub("", NUMBER_END.sub("", s))
+            out[i] = (i, core, False, core != s)
+            header = True
+    return [out[i] for i in sorted(out)]
 
 
 def page_words(text: str) -> list[str]:
