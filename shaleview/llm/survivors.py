@@ -58,14 +58,15 @@ def skyline(df: DataFrame, group: list[str], dims: list[str]) -> DataFrame:
             full, fresh, trust = (np.nan_to_num(pc.cast(b.column(c), pa.float64(), safe=False).to_numpy(zero_copy_only=False), nan=-np.inf) for c in dims)
             keep = np.ones(b.num_rows, bool)
             for level in np.unique(full):
-                # rows at least as full as the level, the freshest first: a row is dominated by an earlier one of more trust
+                # rows at least as full as the level, the freshest first: a row is dominated by an earlier, different one of as much trust
                 at = np.flatnonzero(full >= level)
-                o = at[np.lexsort((-trust[at], -fresh[at], g[at]))]
+                o = at[np.lexsort((-full[at], -trust[at], -fresh[at], g[at]))]
                 rank = np.unique(trust[o], return_inverse=True)[1] + g[o] * (len(o) + 1)  # rises from group to group
-                best = np.maximum.accumulate(rank)
-                own = full[o] == level
-                beaten = best > rank
-                keep[o[own & beaten]] = False
+                best = np.concatenate(([-1], np.maximum.accumulate(rank)[:-1]))
+                new = np.ones(len(o), bool)
+                new[1:] = (g[o][1:] != g[o][:-1]) | (fresh[o][1:] != fresh[o][:-1]) | (trust[o][1:] != trust[o][:-1]) | (full[o][1:] != full[o][:-1])
+                first = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))  # equal rows share what comes before the first of them
+                keep[o[(full[o] == level) & (best[first] >= rank)]] = False
             yield b.filter(pa.array(keep))
 
     return df.mapInArrow(run, df.schema)
