@@ -144,18 +144,18 @@ DOCUMENT_WORDS = {
 }
 
 SECTION_HEADINGS = {
-    "patient_information": r"patient\s+(?:information|details|data|demographics)",
-    "provider_information": r"provider\s+(?:information|details)|(?:attending|referring)\s+physician|physician\s+information",
-    "emergency_contact": r"emergency\s+contact|next\s+of\s+kin|in\s+case\s+of\s+emergency",
-    "student_information": r"student\s+(?:information|details|data)|pupil\s+record",
-    "parent_guardian_information": r"parent\s*[/&]\s*guardian|parent\s+(?:information|details)|guardian\s+information",
-    "school_information": r"school\s+(?:information|details)|institution\s+information",
-    "employee_information": r"employee\s+(?:information|details|data)|worker\s+information",
-    "employer_information": r"employer\s+(?:information|details)|company\s+information",
-    "account_holder_information": r"account\s+holder|cardholder\s+information|customer\s+information",
-    "financial_institution": r"financial\s+institution|bank\s+information|issuing\s+bank",
-    "header_footer": r"page\s+\d+\s+of\s+\d+|confidential",
-    "legal_boilerplate": r"terms\s+and\s+conditions|privacy\s+notice|disclaimer",
+    "patient_information": [r"patient\s+information", r"patient\s+details", r"patient\s+data", r"patient\s+demographics"],
+    "provider_information": [r"provider\s+information", r"attending\s+physician", r"physician\s+information", r"provider\s+details", r"referring\s+physician"],
+    "emergency_contact": [r"emergency\s+contact", r"next\s+of\s+kin", r"in\s+case\s+of\s+emergency"],
+    "student_information": [r"student\s+information", r"pupil\s+record", r"student\s+details", r"student\s+data"],
+    "parent_guardian_information": [r"parent\s*[/&]\s*guardian", r"parent\s+information", r"guardian\s+information", r"parent\s+details"],
+    "school_information": [r"school\s+information", r"institution\s+information", r"school\s+details"],
+    "employee_information": [r"employee\s+information", r"employee\s+details", r"employee\s+data", r"worker\s+information"],
+    "employer_information": [r"employer\s+information", r"employer\s+details", r"company\s+information"],
+    "account_holder_information": [r"account\s+holder", r"cardholder\s+information", r"customer\s+information"],
+    "financial_institution": [r"financial\s+institution", r"bank\s+information", r"issuing\s+bank"],
+    "header_footer": [r"page\s+\d+\s+of\s+\d+", r"confidential"],
+    "legal_boilerplate": [r"terms\s+and\s+conditions", r"privacy\s+notice", r"disclaimer"],
 }
 SECTION_COLUMNS = {
     "student name": "student_information", "student id": "student_information", "pupil": "student_information", "patient name": "patient_information",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,8 +56,8 @@ def document_type(blocks: DataFrame, doc: str = "doc_id", text: str = "text") ->
 def section_heading(text: Column, header: Column) -> Column:
     """The section that a block opens, by its text or else its column header; null if none."""
     out = None
-    for kind, pattern in V.SECTION_HEADINGS.items():
-        hit = text.rlike("(?i)" + pattern)
+    for kind, patterns in V.SECTION_HEADINGS.items():
+        hit = text.rlike("(?i)" + "|".join(patterns))
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
     for word, kind in V.SECTION_COLUMNS.items():
         out = out.when(F.contains(F.lower(header), F.lit(word)), kind)
@@ -145,6 +143,3 @@ def parsed_reply(reply: Column, schema: str) -> Column:
     """JSON of a model's reply without its code fence; what doesn't parse is null."""
     return F.from_json(F.regexp_replace(F.regexp_replace(reply, r"^\s*```(?:json)?\s*", ""), r"\s*```\s*$", ""), schema, {"mode": "PERMISSIVE"})
 
-
-def like_any(words: list[str]) -> str:
-    return "|".join(map(re.escape, words))

@@ -285,7 +285,7 @@ def document_types(spark, sf_dir) -> DataFrame:
     return S.document_type(b).groupBy("document_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
 
 
-_HEAD = "CASE " + " ".join(f"WHEN regexp_matches(text, {q('(?i)' + p)}) THEN {q(k)}" for k, p in V.SECTION_HEADINGS.items()) + " " + " ".join(f"WHEN contains(lower(col_header), {q(w)}) THEN {q(k)}" for w, k in V.SECTION_COLUMNS.items()) + " END"
+_HEAD = "CASE " + " ".join(f"WHEN regexp_matches(text, {q('(?i)' + '|'.join(p))}) THEN {q(k)}" for k, p in V.SECTION_HEADINGS.items()) + " " + " ".join(f"WHEN contains(lower(col_header), {q(w)}) THEN {q(k)}" for w, k in V.SECTION_COLUMNS.items()) + " END"
 _ROLE = "CASE " + " ".join(f"WHEN section = {q(k)} THEN {q(v)}" for k, v in V.SECTION_ROLES.items()) + " ELSE 'unknown' END"
 
 
