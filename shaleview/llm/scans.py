@@ -135,7 +135,8 @@ def corrections(pages: DataFrame, lex: DataFrame) -> DataFrame:
     probe = words.select("w", "n", F.explode(keys("w")).alias("k")).select("w", "n", F.xxhash64("k").alias("key"))
     index = lex.where("n >= 3 and length(w) between 2 and 30 and not w rlike '[0-9]'").select(F.col("w").alias("to"), F.col("n").alias("n_to"), F.explode(keys("w")).alias("k")).select("to", "n_to", F.xxhash64("k").alias("key"))
     enough = F.col("n_to") >= F.when(F.col("n_to") >= RARE, F.when(F.length("w") < 4, 6 * RATIO).otherwise(RATIO)).otherwise(RATIO_RARE) * F.col("n")
-    pairs = probe.join(index, "key").where((F.col("w") != F.col("to")) & enough).select("w", "n", "to", "n_to").distinct()
+    # exploded keys are far larger than the engine's estimate of them: never broadcast
+    pairs = probe.hint("merge").join(index, "key").where((F.col("w") != F.col("to")) & enough).select("w", "n", "to", "n_to").distinct()
     return pairs.withColumn("cost", explained("to", "w")).where("cost > 0")
 
 
