@@ -187,7 +187,8 @@ def segment_pairs(strings: DataFrame, by: list[str], k: int = 1, others: DataFra
     ok = edit_within(F.col("x"), F.col("y"), k)
     if k == 1:
         ok = ok | (F.length("x") == F.length("y")) & edit_within(F.col("x"), F.col("y"), 2) & (letters("x") == letters("y"))
-    return probe.join(index, [*by, "key"]).where("x <> y").select(*by, "x", "y").distinct().where(ok)
+    # exploded keys are far larger than the engine's estimate of them: never broadcast
+    return probe.hint("merge").join(index, [*by, "key"]).where("x <> y").select(*by, "x", "y").distinct().where(ok)
 
 
 def respelt(counts: DataFrame, by: list[str], ratio: int = 5) -> DataFrame:
