@@ -25,13 +25,22 @@ def detected(blocks: DataFrame, layers: tuple[int, ...] = (1, 2, 3), **options)
 
 
 def assembled(found: DataFrame) -> DataFrame:
-    """Records of what was found in one row of a table, or in one block of prose."""
-    place = F.coalesce(F.concat_ws("#", "table_id", "row_index"), F.col("block_id").cast("string"))
-    r = found.withColumn("place", F.when(F.col("table_id").isNotNull(), place).otherwise(F.col("block_id").cast("string")))
-    raw = {f: F.min(F.when(F.col("entity_type").isin([k for k, v in FIELD_OF.items() if v == f]), F.col("value"))).alias(f) for f in ("raw_name", "raw_email", "raw_phone", "raw_dob")}
-    kept = r.groupBy("doc_id", "place").agg(F.max_by("entity_type", F.struct("score", "entity_type")).alias("entity_type"), F.max_by("value", F.struct("score", "entity_type")).alias("normalized_value"), *raw.values())
-    return kept.select(F.sha2(F.concat_ws("#", "doc_id", "place"), 256).alias("record_id"), "entity_type", "normalized_value", "raw_name", "raw_email", "raw_phone", "raw_dob",
-                       F.lit(None).cast("struct<street:string,city:string,state:string,zip:string,country:string>").alias("raw_address"), F.lit("US").alias("country"), F.lit(None).cast("string").alias("entity_role"), F.col("doc_id").cast("string").alias("source_document_id"))
+    """One record a detection; a table row's other fields join it where the row has a single value of them."""
+    fields = ("raw_name", "raw_email", "raw_phone", "raw_dob")
+    row = ["doc_id", "page_or_sheet", "table_id", "row_index"]
+    own = {f: F.when(F.col("entity_type").isin([k for k, v in FIELD_OF.items() if v == f]), F.col("value")) for f in fields}
+    r = found.select(*row, "block_id", "entity_type", "start", "end", "value", *[c.alias(f) for f, c in own.items()])
+    in_row = F.col("table_id").isNotNull() & F.col("row_index").isNotNull()
+    cells = r.where(in_row)
+    single = cells.groupBy(*row).agg(*[F.when(F.min(f) == F.max(f), F.min(f)).alias(f"row_{f}") for f in fields])
+    same = F.lit(True)
+    for c in row:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    joined = cells.alias("l").join(single.alias("r"), same, "left").select("l.*", *[f"r.row_{f}" for f in fields])
+    every = joined.unionByName(r.where(~in_row), allowMissingColumns=True)
+    place = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "page_or_sheet", "block_id", "entity_type", "start", "end", "value")]
+    return every.select(F.sha2(F.concat_ws("#", *place), 256).alias("record_id"), "entity_type", F.col("value").alias("normalized_value"), *[F.coalesce(f, f"row_{f}").alias(f) for f in fields],
+                        F.lit(None).cast("struct<street:string,city:string,state:string,zip:string,country:string>").alias("raw_address"), F.lit("US").alias("country"), F.lit(None).cast("string").alias("entity_role"), F.col("doc_id").cast("string").alias("source_document_id"))
 
 
 def run(blocks: DataFrame, anchors: list[str] | None = None, **options) -> dict[str, DataFrame]:

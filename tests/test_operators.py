@@ -8,6 +8,7 @@ from shaleview.functions.similarity import jaro_winkler_score
 from shaleview.operators import detection as D
 from shaleview.operators import resolution as R
 from shaleview.operators import structure as S
+from shaleview.plans import pipeline
 
 RECORD = "record_id string, entity_type string, normalized_value string, raw_name string, raw_email string, raw_phone string, raw_dob string, raw_address struct<street:string,city:string,state:string,zip:string,country:string>, country string, entity_role string"
 
@@ -120,3 +121,16 @@ def test_best_value_and_upsert(spark):
     new = spark.createDataFrame([("n1", "A@B.C", None, ["A"], ["r2"], 0.5), ("n2", None, "1", None, ["r3"], 0.7), ("n3", None, None, ["Q"], None, 1.0)], cols)
     r = {x.subject_id: x for x in R.upserted(old, new).collect()}
     assert set(r) == {"s1", "n3"} and r["s1"].pii_types_found == ["A", "X"] and set(r["s1"].source_records) == {"r1", "r2", "r3"} and r["s1"].merge_confidence == 0.5
+
+
+def test_every_detection_is_a_record(spark):
+    cols = "doc_id int, page_or_sheet string, block_id int, table_id string, row_index int, entity_type string, value string, start int, end int, score double"
+    prose = [(1, "1", 10, None, None, "EMAIL", "a@x.org", 0, 7, 0.9), (1, "1", 10, None, None, "EMAIL", "b@x.org", 9, 16, 0.9), (1, "1", 10, None, None, "PHONE_US", "555-1", 20, 25, 0.6)]
+    one = [(1, "2", 20, "t", 0, "EMAIL", "c@x.org", 0, 7, 0.9), (1, "2", 21, "t", 0, "SSN", "123-45-6789", 0, 11, 0.9)]
+    two = [(1, "2", 30, "t", 1, "EMAIL", "d@x.org", 0, 7, 0.9), (1, "2", 31, "t", 1, "EMAIL", "e@x.org", 0, 7, 0.9), (1, "2", 32, "t", 1, "PHONE_US", "555-2", 0, 5, 0.6)]
+    loose = [(2, "1", 40, "u", None, "EMAIL", "f@x.org", 0, 7, 0.9), (2, "1", 41, "u", None, "SSN", "223-45-6789", 0, 11, 0.9)]
+    rows = pipeline.assembled(spark.createDataFrame(prose + one + two + loose, cols)).collect()
+    assert len({r.record_id for r in rows}) == len(rows) == 10
+    assert {(r.normalized_value, r.raw_email, r.raw_phone) for r in rows} == {
+        ("a@x.org", "a@x.org", None), ("b@x.org", "b@x.org", None), ("555-1", None, "555-1"), ("c@x.org", "c@x.org", None), ("123-45-6789", "c@x.org", None),
+        ("d@x.org", "d@x.org", "555-2"), ("e@x.org", "e@x.org", "555-2"), ("555-2", None, "555-2"), ("f@x.org", "f@x.org", None), ("223-45-6789", None, None)}
