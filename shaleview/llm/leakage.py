@@ -1,10 +1,11 @@
 """Problem 8: passages of held-out items inside a training corpus.
 
 Texts are compared as plain letters without spaces. Every passage of `words` consecutive words of an item (the
-whole item, if it is shorter) is a pattern with an error budget. Items are cut into pieces on a fixed grid, so
-fine that each pattern holds budget + 1 whole pieces and two more; a pattern that occurs with at most `budget`
-edits then keeps at least three pieces unhurt. Documents are scanned once for exact pieces with a rolling hash; what
-has enough of them is verified, runs without an edit by extending the hit, others with Myers' bit-parallel distance.
+whole item, if it is shorter) is a pattern with an error budget of its own. Items are cut into pieces on a fixed grid,
+so fine that each pattern of an item holds budget + 1 whole pieces, and two more where they stay long enough; a pattern
+that occurs with at most `budget` edits then keeps one or three pieces unhurt. Items of one grid width are a class; documents
+are scanned once a class for exact pieces with a rolling hash; what has enough of them is verified, runs without an edit
+by extending the hit, others with Myers' bit-parallel distance.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from . import codepoints as cp
 from .common import read
 
 ITEM_BLOCK_CHARS = 8_000_000  # items are broadcast in blocks of at most so many characters (or one item)
+EDIT_LETTERS = 12  # a passage may have one edit for so many letters, up to the budget: more would make another text of a short item
+WIDTHS = {3: (16, 12, 10, 8, 7), 1: (16, 12, 8, 6, 5, 4, 3, 2, 1)}  # grid widths by the number of pieces that must be unhurt
 
 
 def myers(pattern: str, text: str, most: int) -> bool:
@@ -51,30 +54,49 @@ def myers(pattern: str, text: str, most: int) -> bool:
     return False
 
 
+def allowed(letters: np.ndarray, budget: int) -> np.ndarray:
+    """The edits that passages of so many letters may have."""
+    return np.minimum(budget, letters // EDIT_LETTERS)
+
+
+def grid(w: np.ndarray, ends: np.ndarray, words: int, budget: int) -> tuple[int, int]:
+    """(pieces that must be unhurt, grid width) for an item with these word limits: its tightest passage decides for it alone."""
+    n = min(words, len(w))
+    if not n:
+        return 1, WIDTHS[1][0]
+    long = ends[n - 1 :] - w[: len(w) - n + 1]
+    # a span of n letters holds (n + 1) // q - 1 whole pieces of a grid of width q, at least
+    for need in (3, 1) if budget else (1,):
+        most = int(((long + 1) // (allowed(long, budget) + need + 1)).min())
+        if q := next((q for q in WIDTHS[need] if q <= most), 0):
+            return need, q
+    return 1, 1
+
+
+def classes(keys: list, texts: list[str], words: int, budget: int) -> list[Items]:
+    """The items by grid, so that one with a short passage changes nothing for the others."""
+    _, first, begins, _ = cp.folded(*cp.explode(pa.array(texts, pa.string())))
+    by: dict[tuple[int, int], list[int]] = {}
+    for i in range(len(texts)):
+        a, b = int(begins[i]), int(begins[i + 1])
+        w = np.flatnonzero(first[a:b])
+        by.setdefault(grid(w, np.append(w[1:], b - a), words, budget), []).append(i)
+    return [Items([keys[i] for i in x], [texts[i] for i in x], words, budget, *g) for g, x in by.items()]
+
+
 class Items:
-    """A block of items: letters, word limits and the sorted hashes of their pieces."""
+    """Items of one grid: letters, word limits and the sorted hashes of their pieces."""
 
-    def __init__(self, keys: list, texts: list[str], words: int, budget: int):
+    def __init__(self, keys: list, texts: list[str], words: int, budget: int, need: int, q: int):
         letters, first, begins, _ = cp.folded(*cp.explode(pa.array(texts, pa.string())))
-        self.keys, self.words = keys, words
+        self.keys, self.words, self.budget, self.need, self.q = keys, words, budget, need, q
         self.text, self.limits = [], []
-        shortest = None
         for i in range(len(texts)):
             a, b = int(begins[i]), int(begins[i + 1])
             w = np.flatnonzero(first[a:b])
             ends = np.append(w[1:], b - a)
             self.text.append(letters[a:b])
             self.limits.append((w, ends))
-            if len(w):
-                n = min(words, len(w))
-                least = int((ends[n - 1 :] - w[: len(w) - n + 1]).min())
-                shortest = least if shortest is None else min(shortest, least)
-        self.whole = any(len(w) < words for w, _ in self.limits)
-        self.budget = 0 if self.whole or (shortest or 0) < 12 * (budget + 2) else budget
-        self.need = 3 if self.budget else 1
-        parts = self.budget + self.need
-        # a span of n letters holds (n + 1) // q - 1 whole pieces of a grid of width q, at least
-        self.q = max(1, min(16, ((shortest or 1) + 1) // (parts + 1)))
         prefix = cp.sums(letters)
         at = [np.arange(int(begins[i]), int(begins[i + 1]) - self.q + 1, self.q) for i in range(len(texts))]
         self.item = np.repeat(np.arange(len(texts)), [len(x) for x in at]).astype(np.int64)
@@ -105,6 +127,24 @@ class Items:
         row, at, piece = row[inside], at[inside], piece[inside]
         return row, at - begins[row], self.item[piece], self.pos[piece]
 
+    def together(self, row: np.ndarray, at: np.ndarray, item: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The hits that have enough others of their row and item near their diagonal, in order.
+
+        Unhurt pieces of one passage lie on diagonals that its edits move apart by `budget` at most.
+        """
+        order = np.lexsort((pos, at - pos, item, row))
+        row, at, item, pos = row[order], at[order], item[order], pos[order]
+        n = len(row) - self.need + 1
+        keep = np.zeros(len(row), bool)
+        if n > 0:
+            a, b = slice(0, n), slice(self.need - 1, None)
+            ok = (row[a] == row[b]) & (item[a] == item[b]) & ((at - pos)[b] - (at - pos)[a] <= self.budget)
+            for i in range(self.need):
+                keep[i : i + n] |= ok
+        row, at, item, pos = row[keep], at[keep], item[keep], pos[keep]
+        order = np.lexsort((pos, item, row))
+        return row[order], at[order], item[order], pos[order]
+
     def leaked(self, letters: np.ndarray, item: int, at: np.ndarray, pos: np.ndarray) -> bool:
         s = self.text[item]
         w, ends = self.limits[item]
@@ -125,21 +165,27 @@ class Items:
         if not self.budget:
             return False
         seen = np.unique(pos)
-        text = None
-        for i in range(len(w) - need + 1):
-            b, e = int(w[i]), int(ends[i + need - 1])
+        starts, stops = w[: len(w) - need + 1], ends[need - 1 :]
+        edits = allowed(stops - starts, self.budget)
+        # an edit hurts one piece at most: all others of the passage must be met
+        unhurt = np.maximum(stops // self.q - -(-starts // self.q) - edits, self.need)
+        enough = np.searchsorted(seen, stops - self.q, "right") - np.searchsorted(seen, starts) >= unhurt
+        plain = lambda x: x.astype("<u4").tobytes().decode("utf-32-le")
+        for i in np.flatnonzero(enough & (edits > 0)).tolist():
+            b, e, most = int(starts[i]), int(stops[i]), int(edits[i])
             inner = (pos >= b) & (pos + self.q <= e)
-            if len(np.unique(pos[inner])) < self.need:
-                continue
+            p, diagonal = pos[inner], at[inner] - pos[inner]
             # words at both ends of the passage must be whole, so that a shorter quote never counts
-            head, tail = s[b : int(ends[i])], s[int(w[i + need - 1]) : e]
-            for d in np.unique(at[inner] - pos[inner]).tolist():
-                lo, hi = max(0, b + d - self.budget), min(len(letters), e + d + self.budget)
-                text = letters[lo:hi].astype("<u4").tobytes().decode("utf-32-le")
-                pattern = s[b:e].astype("<u4").tobytes().decode("utf-32-le")
-                first, last = (x.astype("<u4").tobytes().decode("utf-32-le") for x in (head, tail))
-                x, y = text.find(first, 0, len(first) + 2 * self.budget), text.rfind(last, max(0, len(text) - len(last) - 2 * self.budget))
-                if x >= 0 and y >= 0 and len(seen) and myers(pattern, text, self.budget):
+            pattern, first, last = plain(s[b:e]), plain(s[b : int(ends[i])]), plain(s[int(w[i + need - 1]) : e])
+            for d in set(diagonal.tolist()):
+                # each edit moves what follows by one letter at most
+                if len(set(p[(diagonal >= d) & (diagonal <= d + most)].tolist())) < unhurt[i]:
+                    continue
+                # the passage begins at most so far before the least of its diagonals, or behind it
+                lo, hi = max(0, b + d - most), min(len(letters), e + d + 2 * most)
+                text = plain(letters[lo:hi])
+                x, y = text.find(first, 0, len(first) + 2 * most), text.rfind(last, max(0, len(text) - len(last) - 3 * most))
+                if x >= 0 and y >= 0 and myers(pattern, text, most):
                     return True
         return False
 
@@ -163,9 +209,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     """Rows (doc_key, item_key): the document holds the whole item or `words` consecutive words of it.
 
     Case, punctuation, spacing, line breaks, hyphens, accents, look-alike and invisible characters don't count; up to
-    `budget` letters of a passage may differ. Null, blank and letterless texts and items match nothing; repeated rows
+    `budget` letters of a passage may differ, one in twelve at most. Null, blank and letterless texts and items match nothing; repeated rows
     count once; other columns are ignored. The items go to the executors in blocks of bounded size, each document is
-    scanned whole once a block.
+    scanned whole once a grid width of a block.
     """
     spark = docs.sparkSession
     d, i = docs.schema[doc_key], items.schema[item_key]
@@ -173,21 +219,19 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     item_type = to_arrow_type(i.dataType)
     out = None
     for keys, texts in _item_blocks(items, item_key, item_text, words):
-        shared = spark.sparkContext.broadcast(Items(keys, texts, words, budget))
+        shared = spark.sparkContext.broadcast(classes(keys, texts, words, budget))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            its = shared.value
-            names = pa.array(its.keys, item_type)
+            names = [pa.array(its.keys, item_type) for its in shared.value]
             for b in batches:
                 letters, _, begins, _ = cp.folded(*cp.explode(b.column(1)))
-                row, at, item, pos = its.hits(letters, begins)
-                order = np.lexsort((pos, item, row))
-                row, at, item, pos = row[order], at[order], item[order], pos[order]
-                cut = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]), [True]))) if len(row) else []
-                found = [(int(row[x]), int(item[x])) for x, y in zip(cut[:-1], cut[1:]) if y - x >= its.need
-                         and its.leaked(letters[begins[row[x]] : begins[row[x] + 1]], int(item[x]), at[x:y], pos[x:y])]
-                rows, hit = (np.array(v, np.int64) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), names.take(pa.array(hit))], [doc_key, item_key])
+                for its, name in zip(shared.value, names):
+                    row, at, item, pos = its.together(*its.hits(letters, begins))
+                    cut = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]), [True]))) if len(row) else []
+                    found = [(int(row[x]), int(item[x])) for x, y in zip(cut[:-1], cut[1:]) if y - x >= its.need
+                             and its.leaked(letters[begins[row[x]] : begins[row[x] + 1]], int(item[x]), at[x:y], pos[x:y])]
+                    rows, hit = (np.array(v, np.int64) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), name.take(pa.array(hit))], [doc_key, item_key])
 
         part = docs.select(doc_key, text).where(f"{text} is not null").mapInArrow(run, schema)
         out = part if out is None else out.union(part)

@@ -105,6 +105,17 @@ def test_leak_with_slips(spark):
     assert {r.doc_id for r in leakage.leaks(d, item).collect()} == {1}
 
 
+def test_short_item_leaves_the_budget_of_others(spark):
+    words = "the night registrar of heskalcrest posted sixty laminated tally sheets beside weighbridge".split()
+    small = "we go to an old inn in may as is our habit".split()  # 32 letters in twelve words
+    item = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(small)), (3, "brief quotation here"), (4, "of it")], "item_id int, text string")
+    slip = lambda w, *pairs: " ".join(dict(pairs).get(x, x) for x in w)
+    rows = [(1, slip(words, ("laminated", "laminatod"))), (2, slip(words, ("laminated", "laminatod"), ("tally", "tallyy"))), (3, slip(words, ("laminated", "lomonotod"))),
+            (4, slip(small[:12], ("old", "odd"), ("may", "mayy"))), (5, "a brief quotatiom here"), (6, "a brief quotutiom here"), (7, "af it"), (8, " ".join(words[:11])), (9, slip(words, ("sixty", "sixy"), ("tally", "taly")))]
+    d = spark.createDataFrame([(k, f"quite other words come first and {t} and then some follow") for k, t in rows], "doc_id int, text string")
+    assert {tuple(r) for r in leakage.leaks(d, item).collect()} == {(1, 1), (2, 1), (4, 2), (5, 3), (9, 1)}
+
+
 # ---- history
 
 
