@@ -242,7 +242,7 @@ def find(texts: DataFrame, key: str, text: str = "text", model: Model | None = N
     return texts.where(F.col(text).isNotNull()).select(key, text).distinct().mapInPandas(run, f"k {kind}, pii_kind string, start_pos int, end_pos int").withColumnRenamed("k", key)
 
 
-def sanitised(texts: DataFrame, key: str, text: str = "text", model: Model | None = None) -> DataFrame:
+def sanitised(texts: DataFrame, key: str | list[str], text: str = "text", model: Model | None = None) -> DataFrame:
     """Rows (key, safe_text): every value replaced by a placeholder of its kind; null stays null."""
     shared = texts.sparkSession.sparkContext.broadcast(model or corpus_model(texts, text))
 
@@ -259,14 +259,19 @@ def sanitised(texts: DataFrame, key: str, text: str = "text", model: Model | Non
 
         return t.map(one, na_action="ignore")
 
-    return texts.select(key, safe(F.col(text)).alias("safe_text"))
+    return texts.select(*([key] if isinstance(key, str) else key), safe(F.col(text)).alias("safe_text"))
 
 
-def all_texts(spark, sf_dir) -> DataFrame:
-    """Both tables as (text_table, text_key, text), each text once a key."""
+def both_tables(spark, sf_dir) -> DataFrame:
+    """Both tables as (text_table, text_key, text), nulls included."""
     b = read(spark, sf_dir, "extracted_blocks").select(F.lit("extracted_blocks").alias("text_table"), F.col("block_id").cast("string").alias("text_key"), "text")
     p = read(spark, sf_dir, "llm_call_logs").select(F.lit("llm_call_logs").alias("text_table"), F.col("log_id").alias("text_key"), F.col("prompt_text").alias("text"))
-    return b.union(p).where("text is not null and text_key is not null").distinct()
+    return b.union(p).distinct()
+
+
+def all_texts(spark, sf_dir) -> DataFrame:
+    """Both tables as (text_table, text_key, text), each text once a key."""
+    return both_tables(spark, sf_dir).where("text is not null and text_key is not null")
 
 
 def p4_found(spark, sf_dir) -> DataFrame:
@@ -277,9 +282,8 @@ def p4_found(spark, sf_dir) -> DataFrame:
 
 
 def p4_sanitised(spark, sf_dir) -> DataFrame:
-    """Prompts with placeholders instead of personal values."""
-    logs = read(spark, sf_dir, "llm_call_logs").select("log_id", "prompt_text").distinct()
-    return sanitised(logs, "log_id", "prompt_text", corpus_model(all_texts(spark, sf_dir)))
+    """The texts of both tables with placeholders instead of personal values."""
+    return sanitised(both_tables(spark, sf_dir), ["text_table", "text_key"], model=corpus_model(all_texts(spark, sf_dir)))
 
 
 QUERIES = {"p4_found": p4_found, "p4_sanitised": p4_sanitised}

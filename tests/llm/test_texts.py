@@ -181,6 +181,13 @@ def test_no_values(text):
     assert personal.values(text, personal.Model([])) == []
 
 
+def test_both_tables_are_sanitised(spark, tmp_path):
+    spark.createDataFrame([(7, "Write to a@b.test today."), (8, None), (7, "Write to a@b.test today.")], "block_id long, text string").write.parquet(f"{tmp_path}/extracted_blocks.parquet")
+    spark.createDataFrame([("k", "Call (206) 555-3618."), ("n", None)], "log_id string, prompt_text string").write.parquet(f"{tmp_path}/llm_call_logs.parquet")
+    got = sorted((r.text_table, r.text_key, r.safe_text) for r in personal.p4_sanitised(spark, str(tmp_path)).collect())
+    assert got == [("extracted_blocks", "7", "Write to <EMAIL> today."), ("extracted_blocks", "8", None), ("llm_call_logs", "k", "Call <PHONE>."), ("llm_call_logs", "n", None)]
+
+
 # ---- scanned pages
 
 
