@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .address_parts import parse
 from .common import pairs_within, read, written
-from .names import respelt, segment_pairs
+from .names import leads, segment_pairs
 
 BEAM = 4
 PARTS = ["number", "unit", "name", "kind", "direction", "town", "state", "code", "country"]
@@ -40,19 +40,11 @@ def parts(rows: DataFrame, key: str = "key", address: str = "address") -> DataFr
     return rows.where(F.col(key).isNotNull()).select(key, *[F.col(f"{address}.{f}").alias(f) for f in FIELDS]).mapInPandas(run, schema)
 
 
-def _settled(rows: DataFrame, by: list[str], column: str, twice: bool = False) -> DataFrame:
+def _settled(rows: DataFrame, by: list[str], column: str) -> DataFrame:
     """rows with slips in `column` led to the better attested spelling within the `by` group."""
-    some = rows.where(F.col(column) != "")
-    counts = some.groupBy(*by, F.col(column).alias("s")).agg(F.countDistinct("key").alias("n"))
-    led = respelt(counts, by)
-    led = led.join(led.select(*by, F.col("s").alias("t"), F.col("t").alias("u")), [*by, "t"], "left").select(*by, F.col("s").alias(column), F.coalesce("u", "t").alias("_to"))
-    rows = rows.join(led, [*by, column], "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
-    if twice:
-        counts = rows.where(F.col(column) != "").groupBy(*by, F.col(column).alias("s")).agg(F.countDistinct("key").alias("n"))
-        kept = counts.where("n > 1")
-        far = segment_pairs(counts.where("n = 1 and length(s) >= 7"), by, 2, kept).join(kept.withColumnRenamed("s", "y"), [*by, "y"]).groupBy(*by, F.col("x").alias(column)).agg(F.max_by("y", F.struct("n", "y")).alias("_to"))
-        rows = rows.join(far, [*by, column], "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
-    return rows
+    counts = rows.where(F.col(column) != "").groupBy(*by, F.col(column).alias("s")).agg(F.countDistinct("key").alias("n"))
+    led = leads(counts, by).select(*by, F.col("s").alias(column), F.col("t").alias("_to"))
+    return rows.join(led, [*by, column], "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
 
 def _closest(rows: DataFrame, by: list[str], column: str) -> DataFrame:
@@ -73,9 +65,9 @@ def locations(rows: DataFrame, key: str = "key", address: str = "address", beam:
     """
     p = written(parts(rows, key, address).withColumnRenamed(key, "key").distinct(), "p1-parts")
     # localities: spellings of towns within a postal code, and within one set of premises
-    coded = _settled(p.where("code <> ''"), ["code"], "town", True)
+    coded = _settled(p.where("code <> ''"), ["code"], "town")
     p = written(coded.unionByName(p.where("code = ''")), "p1-codes")
-    p = written(_settled(p, ["number", "unit", "name"], "town", True), "p1-towns")
+    p = written(_settled(p, ["number", "unit", "name"], "town"), "p1-towns")
     by_code = p.where("code <> '' and town <> ''").groupBy("code", "town").agg(F.countDistinct("key").alias("n"))
     ranked = by_code.withColumn("r", F.row_number().over(W.partitionBy("code").orderBy(F.desc("n"), "town"))).where(F.col("r") <= beam).select("code", F.col("town").alias("t"), F.log(F.col("n")).alias("lt"))
     named = p.where("town <> ''").withColumn("lt", F.lit(0.0))
@@ -87,7 +79,7 @@ def locations(rows: DataFrame, key: str = "key", address: str = "address", beam:
         *[F.coalesce("t", F.when(F.col("code") != "", F.concat(F.lit("#"), "code")), F.concat(F.lit("?"), "key")).alias("town") if c == "town" else F.col(c) for c in ["key", *PARTS]], F.coalesce("lw", F.lit(0.0)).alias("lt"))
     hyp = written(named.unionByName(placed).unionByName(lost), "p1-hypotheses")
     # the spellings of street names within each town; hypothetical towns learn from the named ones, never the reverse
-    counted = written(_settled(hyp, ["town"], "name", True), "p1-streets")
+    counted = written(_settled(hyp, ["town"], "name"), "p1-streets")
     counted = written(_closest(counted, ["town", "number", "unit", "direction"], "name"), "p1-premises")
     counted = written(_closest(counted, ["name", "kind", "direction", "number", "unit"], "town"), "p1-settled")
     # entries, with the premises known on each

@@ -10,10 +10,8 @@ are calibrated on labelled pairs kept apart. Individuals are the components of t
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from datetime import date
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,11 +20,11 @@ from pyspark.sql import functions as F
 
 from .address_parts import parse as parse_address
 from .common import components, edit_within, read, written
-from .names import frequent_words, lexicon, near, parse_person
+from .names import lexicon, parse_person, turned_names
 
 CONTACT = ["EMAIL", "PHONE_US", "PHONE_INTL", "DATE_OF_BIRTH_MDY", "DATE_OF_BIRTH_DMY"]
 TRAINING_PAIRS = 20_000  # the classifier is fitted on at most so many weakly labelled pairs, chosen by hash
-SHARED = 12  # a mailbox or line of more than so many different names is shared by people
+SHARED = 0.15  # a mailbox or line of which no person has more than this share of the named records is shared by people
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 LEVELS = {"email": 4, "dob": 4, "phone": 4, "given": 4, "family": 4, "address": 4}  # 0 missing, 1 differs, 2 near, 3 same
 
@@ -73,100 +71,94 @@ def birthday(s: str | None, month_first: bool) -> str:
         return ""
 
 
-@lru_cache(maxsize=1 << 16)
-def bands(s: str, n: int = 2, rows: int = 2) -> tuple[str, ...]:
-    """MinHash bands over the letter pairs of s: each is `rows` least hashes under different mixes."""
-    if not s:
-        return ()
-    grams = np.array([zlib.crc32(g.encode()) for g in {f"^{s}$"[i : i + 2] for i in range(len(s) + 1)}], np.uint64)
-    mins = [int(((grams * np.uint64(2654435761 + 2 * i * 40503 + 1) + np.uint64(i * 7919)) % np.uint64(2**32)).min()) for i in range(n * rows)]
-    return tuple("-".join(map(str, mins[i * rows : (i + 1) * rows])) for i in range(n))
+def bands(c: str, n: int, rows: int = 2) -> list[Column]:
+    """MinHash bands over the letter pairs of a column, each the `rows` least hashes under different seeds; null where it is blank."""
+    text = F.concat(F.lit("^"), F.col(c), F.lit("$"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(text, i, F.lit(2)))
+    least = lambda seed: F.array_min(F.transform(pairs, lambda g: F.xxhash64(g, F.lit(seed))))
+    return [F.when(F.col(c) != "", F.xxhash64(*[least(i * rows + j) for j in range(rows)])) for i in range(n)]
 
 
 NORMAL = "record_id string, doc string, email string, dob string, phone string, given string, family string, house string, street string, zip string"
 
 
-def normalised(records: DataFrame, key: str, given: set[str]) -> DataFrame:
-    shared = records.sparkSession.sparkContext.broadcast(given)
+def normalised(records: DataFrame, key: str) -> DataFrame:
+    """records: with a column `turned` (see turned_names)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nick = lexicon()[0]
         for f in frames:
             f = f.astype(object).where(f.notna(), None)
             out = []
-            for k, doc, kind, name, email, dob, phone, country, *address in f.itertuples(index=False):
-                p = parse_person(name, shared.value) if name else None
+            for k, doc, kind, name, email, dob, phone, country, turned, *address in f.itertuples(index=False):
+                p = parse_person(name, bool(turned)) if name else None
                 a = parse_address(*address) if address[0] else None
                 us = (country or "").upper() in ("US", "PH") if country else kind != "DATE_OF_BIRTH_DMY"
                 out.append((k, (doc or "").strip(), mailbox(email), birthday(dob, us), line(phone, country), nick.get(p[1], [p[1]])[0] if p else "", p[0] if p else "",
                             f"{a['number']}/{a['unit']}" if a else "", a["name"] if a else "", a["code"] if a else ""))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in NORMAL.split(", ")])
 
-    cols = [F.col(key).cast("string"), "source_document_id", "entity_type", "raw_name", "raw_email", "raw_dob", "raw_phone", "country"]
+    cols = [F.col(key).cast("string"), "source_document_id", "entity_type", "raw_name", "raw_email", "raw_dob", "raw_phone", "country", "turned"]
     return records.select(*cols, *[F.col(f"raw_address.{c}") for c in ("street", "city", "state", "zip")], F.col("raw_address.country").alias("address_country")).mapInPandas(run, NORMAL)
 
 
 def block_keys(profiles: DataFrame) -> DataFrame:
-    """Rows (key, pid): exact tokens and MinHash bands, values shared by many only with a second attribute."""
-
-    @F.pandas_udf("array<string>")
-    def keys(email: pd.Series, dob: pd.Series, phone: pd.Series, given: pd.Series, family: pd.Series, house: pd.Series, street: pd.Series, hot_email: pd.Series, hot_phone: pd.Series) -> pd.Series:
-        out = []
-        for e, d, p, g, f, h, s, he, hp in zip(email, dob, phone, given, family, house, street, hot_email, hot_phone):
-            ks = []
-            local = e.split("@")[0]
-            fb = bands(f)
-            if e and not he:
-                ks += [f"e|{e}", *(f"E{i}|{b}|{e.split('@')[1]}" for i, b in enumerate(bands(local, 3)))]
-            if e and he:
-                ks += [f"e|{e}|{x}" for x in (*fb, d) if x]
-            if p and not hp:
-                ks.append(f"p|{p}")
-            if p and hp:
-                ks += [f"p|{p}|{x}" for x in (*fb, d) if x]
-            if d:
-                ks += [f"d{i}|{d}|{b}" for i, b in enumerate(fb)] + ([f"dg|{d}|{g}"] if len(g) > 1 else [])
-            if h and s:
-                ks += [f"h{i}|{h}|{b}|{g[:1]}" for i, b in enumerate(bands(s))]
-            if f and g and d:
-                ks.append(f"n|{f}|{g[:1]}|{d[:4]}")
-            if f and e:
-                ks.append(f"m|{f}|{g[:1]}|{local[:5]}")
-            out.append(list(dict.fromkeys(ks)))
-        return pd.Series(out)
-
-    return profiles.select("pid", F.explode(keys("email", "dob", "phone", "given", "family", "house", "street", "hot_email", "hot_phone")).alias("key"))
+    """Rows (key, pid): exact tokens and MinHash bands, values shared by many only with a second attribute.
 
+    Every key of an attribute that grows with the data (surnames, birthdays, streets) holds a second and third one, so
+    that the profiles of one key are, but for chance, one individual's. A birthday with a slip keeps two of year, month
+    and day, or has month and day exchanged; a surname with a slip keeps a band.
+    """
+    p = profiles.withColumn("local", F.split("email", "@")[0]).withColumn("g0", F.substring("given", 1, 1))
+    has = lambda c: F.col(c) != ""
+    key = lambda tag, ok, *c: F.when(ok, F.xxhash64(F.lit(tag), *c))
+    fb, eb, sb = bands("family", 2), bands("local", 3), bands("street", 2)
+    year, month, day = F.substring("dob", 1, 4), F.substring("dob", 5, 2), F.substring("dob", 7, 2)
+    host = F.split("email", "@")[1]
+    keys = [key("e", has("email") & ~F.col("hot_email"), "email")] + [key(f"E{i}", has("email") & ~F.col("hot_email"), b, host) for i, b in enumerate(eb)]
+    for c in ("email", "phone"):
+        if c == "phone":
+            keys.append(key("p", has(c) & ~F.col("hot_phone"), c))
+        keys += [key(f"{c}f{i}", has(c) & F.col(f"hot_{c}") & has("family"), c, b, "g0") for i, b in enumerate(fb)] + [key(f"{c}d", has(c) & F.col(f"hot_{c}") & has("dob"), c, "dob")]
+    keys += [key(f"d{i}", has("dob") & has("family"), "dob", b) for i, b in enumerate(fb)] + [key("dg", has("dob") & (F.length("given") > 1), "dob", "given")]
+    keys += [key(f"h{i}", (has("house") & has("street")), "house", b, "g0") for i, b in enumerate(sb)]
+    named = has("family") & has("given") & has("dob")
+    keys += [key("n1", named, "family", "g0", year, month), key("n2", named, "family", "g0", year, day), key("n3", named, "family", "g0", month, day),
+             key("n4", named, "family", "g0", year, F.least(month, day), F.greatest(month, day))]
+    return p.select("pid", F.explode(F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull()))).alias("key"))
+
+
+def near(a: Column, b: Column) -> Column:
+    """One inserted, dropped or changed letter, or two swapped."""
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    edits = F.levenshtein(a, b, 2)
+    return (edits >= 0) & (edits <= 1) | (edits == 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b))
 
-def agreement(pairs: DataFrame) -> DataFrame:
-    """pairs with a level 0..3 of each attribute (columns l_* and r_* in, columns of LEVELS out)."""
 
-    def levels(l: dict, r: dict) -> tuple[int, ...]:
-        def level(a: str, b: str, close) -> int:
-            return 0 if not a or not b else 3 if a == b else 2 if close(a, b) else 1
+def agreement(pairs: DataFrame) -> DataFrame:
+    """pairs with a level 0..3 of each attribute (columns a, b, l_* and r_* in, columns of LEVELS out)."""
+    side = lambda c: (F.col(f"l_{c}"), F.col(f"r_{c}"))
 
-        def dates(a: str, b: str) -> bool:
-            return sum(x != y for x, y in zip(a, b)) == 1 or a[:4] == b[:4] and a[4:6] == b[6:] and a[6:] == b[4:6]
+    def level(c: str, close) -> Column:
+        a, b = side(c)
+        return F.when((a == "") | (b == ""), 0).when(a == b, 3).when(close(a, b), 2).otherwise(1)
 
-        def givens(a: str, b: str) -> bool:
-            return a[0] == b[0] if len(a) == 1 or len(b) == 1 else min(len(a), len(b)) > 3 and near(a, b)
+    def dates(a: Column, b: Column) -> Column:
+        return (F.levenshtein(a, b, 1) == 1) | (F.substring(a, 1, 4) == F.substring(b, 1, 4)) & (F.substring(a, 5, 2) == F.substring(b, 7, 2)) & (F.substring(a, 7, 2) == F.substring(b, 5, 2))
 
-        e = 0 if l["hot_email"] or r["hot_email"] else level(l["email"], r["email"], lambda a, b: near(a.split("@")[0], b.split("@")[0]) and a[-4:] == b[-4:])
-        p = 0 if l["hot_phone"] or r["hot_phone"] else level(l["phone"], r["phone"], near)
-        h = level(l["house"], r["house"], lambda a, b: False)
-        s = level(l["street"], r["street"], near)
-        a = 0 if not h or not s else 3 if h == 3 and s >= 2 else 2 if s >= 2 and l["house"].split("/")[0] == r["house"].split("/")[0] and "" in (l["house"].split("/")[1], r["house"].split("/")[1]) else 1
-        return e, level(l["dob"], r["dob"], dates), p, level(l["given"], r["given"], givens), level(l["family"], r["family"], near), a
+    def givens(a: Column, b: Column) -> Column:
+        short = F.least(F.length(a), F.length(b))
+        return F.when(short == 1, F.substring(a, 1, 1) == F.substring(b, 1, 1)).otherwise((short > 3) & near(a, b))
 
-    fields = ["email", "dob", "phone", "given", "family", "house", "street", "hot_email", "hot_phone"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [levels(dict(zip(fields, r[2 : 2 + len(fields)])), dict(zip(fields, r[2 + len(fields) :]))) for r in f.itertuples(index=False)]
-            yield pd.concat([f[["a", "b"]].reset_index(drop=True), pd.DataFrame(rows, columns=list(LEVELS), dtype="int32")], axis=1)
-
-    cols = ["a", "b", *[f"{s}_{c}" for s in "lr" for c in fields]]
-    return pairs.select(*cols).mapInPandas(run, "a bigint, b bigint, " + ", ".join(f"{c} int" for c in LEVELS))
+    local, tail = (lambda c: F.split(c, "@")[0]), (lambda c: F.right(c, F.lit(4)))
+    shared = lambda c, v: F.when(F.col(f"l_hot_{c}") | F.col(f"r_hot_{c}"), 0).otherwise(v)
+    h, s = level("house", lambda a, b: F.lit(False)), level("street", near)
+    (lh, rh), part = side("house"), lambda c, i: F.split(c, "/")[i]
+    half = (part(lh, 0) == part(rh, 0)) & ((part(lh, 1) == "") | (part(rh, 1) == ""))
+    address = F.when((h == 0) | (s == 0), 0).when((h == 3) & (s >= 2), 3).when((s >= 2) & half, 2).otherwise(1)
+    out = {"email": shared("email", level("email", lambda a, b: (tail(a) == tail(b)) & near(local(a), local(b)))), "dob": level("dob", dates), "phone": shared("phone", level("phone", near)),
+           "given": level("given", givens), "family": level("family", near), "address": address}
+    return pairs.select("a", "b", *[out[c].alias(c) for c in LEVELS])
 
 
 def weak_label() -> Column:
@@ -219,6 +211,20 @@ def fit(levels: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.5,
     return w, float(slope[0]), float(slope[1])
 
 
+def probability(w: np.ndarray, slope: float, shift: float) -> Column:
+    """The calibrated probability of a pair with columns of LEVELS, as an expression; the terms are those of design()."""
+    z, at = F.lit(float(w[0])), 1
+    for c, n in LEVELS.items():
+        steps = F.array(F.lit(0.0), *[F.lit(float(x)) for x in w[at : at + n - 1]])
+        z, at = z + F.get(steps, F.col(c)), at + n - 1
+    e, d, _, g, f, _ = (F.col(c) for c in LEVELS)
+    missing = sum(((F.col(c) == 0).cast("int") for c in LEVELS), F.lit(0))
+    extra = [(g >= 2) & (f >= 2) & (d == 1) & (e != 3), (g == 1) & (f >= 2), (g == 3) & (f == 3), missing >= 4]
+    for x, v in zip(extra, w[at:]):
+        z = z + F.when(x, float(v)).otherwise(0.0)
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z * float(slope) + float(shift)))))
+
+
 def settled(links: DataFrame, profiles: DataFrame) -> DataFrame:
     """Rows (node, component): individuals from confident links.
 
@@ -242,8 +248,9 @@ def settled(links: DataFrame, profiles: DataFrame) -> DataFrame:
     return comp.join(more.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
 
 
-def matches(records: DataFrame, key: str = "record_id", threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(members, links): (key, doc, individual) of every contact record, and (a, b, confidence) between profiles.
+def matches(records: DataFrame, key: str = "record_id", threshold: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, profiles): (key, doc, individual, pid) of every contact record, (a, b, confidence) between profiles, and all
+    pairs (a, b, confidence) of profiles of one individual, a = b included, whether they were linked or are connected through others.
 
     Records with none of the attributes are individuals of their own; null keys are left out; a record delivered again counts
     once (the last delivery). Profiles, that is equal normalised records, are compared once.
@@ -251,14 +258,19 @@ def matches(records: DataFrame, key: str = "record_id", threshold: float = 0.5)
     r = records.where(F.col("entity_type").isin(CONTACT) & F.col(key).isNotNull())
     kept = [c for c in ("source_document_id", "entity_type", "raw_name", "raw_email", "raw_dob", "raw_phone", "country", "raw_address")]
     r = r.groupBy(key).agg(F.max_by(F.struct(*kept), F.struct("ingested_at", F.xxhash64(*[F.col(c) for c in kept]))).alias("v")).select(key, "v.*")
-    given = frequent_words(r.where("raw_name is not null").select(F.lit("PERSON").alias("kind"), F.col("raw_name").alias("name")).distinct())
-    n = written(normalised(r, key, given), "p3-records")
+    r = r.join(turned_names(r.select(F.col("raw_name").alias("name"))).withColumnRenamed("name", "raw_name"), "raw_name", "left")
+    n = written(normalised(r, key), "p3-records")
     attributes = ["email", "dob", "phone", "given", "family", "house", "street"]
     n = n.withColumn("pid", F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c in attributes]))
-    p = n.groupBy("pid").agg(*[F.first(c).alias(c) for c in attributes])
-    name = F.when(F.col("family") != "", F.concat_ws(" ", F.substring("given", 1, 1), "family"))
-    hot = lambda c: p.where(F.col(c) != "").groupBy(c).agg(F.approx_count_distinct(name).alias("m")).where(F.col("m") > SHARED).select(c, F.lit(True).alias(f"hot_{c}"))
-    p = p.join(hot("email"), "email", "left").join(hot("phone"), "phone", "left").fillna(False, ["hot_email", "hot_phone"])
+    p = n.groupBy("pid").agg(*[F.first(c).alias(c) for c in attributes], F.count("*").alias("records"))
+    person = F.concat_ws(" ", F.substring("given", 1, 1), F.soundex("family"))
+
+    def hot(c: str) -> DataFrame:
+        """Values shared by people: of their named records no person has a large share. Slips of one name sound alike."""
+        each = p.where((F.col(c) != "") & (F.col("family") != "")).groupBy(c, person.alias("who")).agg(F.sum("records").alias("m"))
+        return each.groupBy(c).agg(F.max("m").alias("top"), F.sum("m").alias("all")).where(F.col("top") < SHARED * F.col("all")).select(c, F.lit(True).alias(f"hot_{c}"))
+
+    p = p.join(hot("email"), "email", "left").join(hot("phone"), "phone", "left").fillna(False, ["hot_email", "hot_phone"]).drop("records")
     p = written(p, "p3-profiles")
     k = written(block_keys(p), "p3-keys")
     pairs = written(k.alias("l").join(k.alias("r"), F.expr("l.key = r.key and l.pid < r.pid")).select(F.col("l.pid").alias("a"), F.col("r.pid").alias("b")).distinct(), "p3-candidates")
@@ -271,27 +283,35 @@ def matches(records: DataFrame, key: str = "record_id", threshold: float = 0.5)
         w, slope, shift = design(np.zeros((1, len(LEVELS)), int))[0] * 0, 1.0, 0.0
         w[0] = -2.5
         w[1 : 1 + 3 * len(LEVELS)] = np.tile([-1.5, 1.0, 2.0], len(LEVELS))
-    model = records.sparkSession.sparkContext.broadcast((w, slope, shift))
-
-    @F.pandas_udf("double")
-    def confidence(*c: pd.Series) -> pd.Series:
-        w, slope, shift = model.value
-        return pd.Series(1 / (1 + np.exp(-np.clip(slope * (design(np.stack([x.to_numpy() for x in c], 1)) @ w) + shift, -30, 30))))
-
-    links = written(levels.withColumn("confidence", confidence(*LEVELS)).where(F.col("confidence") >= threshold), "p3-links")
+    scored = lambda df: df.withColumn("confidence", probability(w, slope, shift))
+    links = written(scored(levels).where(F.col("confidence") >= threshold), "p3-links")
     who = written(settled(links, p), "p3-individuals")
     # equal profiles are one individual only if what they share tells people apart
     has = lambda c: (F.col(c) != "").cast("int")
     telling = p.where((F.col("email") != "") & ~F.col("hot_email") | (has("family") * F.when(F.length("given") > 1, 1).otherwise(0) + has("dob") + F.when(F.col("hot_phone"), 0).otherwise(has("phone")) + has("house") * has("street") >= 2)).select("pid", F.lit(True).alias("telling"))
     members = n.join(telling, "pid", "left").join(who.withColumnRenamed("node", "pid"), "pid", "left").select(
         F.col("record_id").alias(key), "doc", F.when((F.col("component") == F.col("pid")) & F.col("telling").isNull(), F.col("record_id")).otherwise(F.coalesce("component", "pid").cast("string")).alias("individual"), "pid")
-    return members, links
+    ours = members.select("individual", "pid").distinct()
+    within = ours.alias("l").join(ours.alias("r"), F.expr("l.individual = r.individual and l.pid <= r.pid")).select(F.col("l.pid").alias("a"), F.col("r.pid").alias("b"))
+    sure = scored(agreement(within.join(side("l", "a"), "a").join(side("r", "b"), "b"))).select("a", "b", "confidence")
+    return members, links, sure
+
+
+def pairs(members: DataFrame) -> DataFrame:
+    m = members.alias("l").join(members.alias("r"), F.expr("l.individual = r.individual and l.record_id < r.record_id and l.doc <> r.doc"))
+    return m.select(F.col("l.record_id").alias("record_id_a"), F.col("r.record_id").alias("record_id_b"), F.least("l.pid", "r.pid").alias("a"), F.greatest("l.pid", "r.pid").alias("b"))
 
 
 def p3_found(spark, sf_dir) -> DataFrame:
     m = written(matches(read(spark, sf_dir, "pii_records"))[0], "p3-members")
-    return m.alias("l").join(m.alias("r"), F.expr("l.individual = r.individual and l.record_id < r.record_id and l.doc <> r.doc")).select(
-        F.col("l.record_id").alias("record_id_a"), F.col("r.record_id").alias("record_id_b"))
+    return pairs(m).select("record_id_a", "record_id_b")
+
+
+def p3_matches(spark, sf_dir) -> DataFrame:
+    """Every matched pair of records with its confidence."""
+    members, _, sure = matches(read(spark, sf_dir, "pii_records"))
+    m = written(members, "p3-members")
+    return pairs(m).join(written(sure, "p3-sure"), ["a", "b"]).select("record_id_a", "record_id_b", F.round("confidence", 6).alias("confidence"))
 
 
 def p3_confidence(spark, sf_dir) -> DataFrame:
@@ -300,5 +320,5 @@ def p3_confidence(spark, sf_dir) -> DataFrame:
     return links.groupBy(F.round("confidence", 1).alias("confidence")).agg(F.count("*").alias("n_links"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_confidence": p3_confidence}
+QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p3_confidence": p3_confidence}
 SQL: dict = {}

@@ -48,6 +48,11 @@ services:services svcs:services svc:services service:services telecommunications
 textiles:textiles textile:textiles university:university univ:university""".split()
 
 
+TURN = 0.1  # by how much more the last word must be a given name than the first for a name to be turned
+FAR = 8  # spellings of so many letters may be two slips apart, shorter ones one
+RATIO = 5  # a spelling leads another if it is so many times as well attested
+
+
 @lru_cache(maxsize=1)
 def lexicon() -> tuple[dict[str, list[str]], dict[str, list[str]]]:
     return tuple({k: v.split(",") for k, v in (x.split(":") for x in words)} for words in (NICKNAMES, BUSINESS))
@@ -96,11 +101,10 @@ def parse_organisation(name: str) -> tuple[str, str] | None:
     return ("".join(own), " ".join(sorted(line))) if own and max(map(len, own)) > 2 else None
 
 
-def parse_person(name: str, given: set[str]) -> tuple[str, str, str] | None:
+def parse_person(name: str, turned: bool = False) -> tuple[str, str, str] | None:
     """(surname, given name or initial, initial of the middle name or ""), or None if it names nobody.
 
-    A comma puts the surname first. Otherwise the surname is last, unless an initial is last, or the last word is a
-    frequent given name and the first is none.
+    A comma puts the surname first, an initial at the end too. Otherwise the surname is last, or first if `turned`.
     """
     s = name.lower()
     if " ".join(re.findall(r"[^\W_]+", s)) in PLACEHOLDERS:
@@ -111,9 +115,7 @@ def parse_person(name: str, given: set[str]) -> tuple[str, str, str] | None:
         family, rest = "".join(parts[0]), parts[1]
     elif parts and len(parts[0]) >= 2:
         w = parts[0]
-        known = lambda x: x in given or any(near(x, g) for g in (lexicon()[0].keys() | given) if len(x) > 3)
-        first = len(w[-1]) == 1 or len(w[0]) > 1 and w[0] not in given and (w[-1] in given or len(w) == 2 and not known(w[0]) and known(w[-1])
-                                                                           or len(w) > 2 and w[1] in given and not known(w[0]))
+        first = len(w[-1]) == 1 or len(w[0]) > 1 and turned
         family, rest = (w[0], w[1:]) if first else (w[-1], w[:-1])
     else:
         return None
@@ -122,23 +124,64 @@ def parse_person(name: str, given: set[str]) -> tuple[str, str, str] | None:
     return family, rest[0], rest[1][0] if len(rest) > 1 else ""
 
 
+def turned_names(names: DataFrame, rounds: int = 2) -> DataFrame:
+    """Rows (name, turned) of distinct names: whether the surname stands first although no comma says so.
+
+    Each word is a given name to the degree that it stands where given names do (after a comma, first, in the middle)
+    against where surnames do (before a comma, last, beside an initial), over all names; a slip has the degree of the word it is
+    a slip of. A name is turned if its last word is so to a higher degree than its first; what that tells
+    of the words is counted again in the next round. Degrees are shares, so they don't depend on the number of names.
+    Names with a comma aren't turned; null names are left out.
+    """
+    word = r"\p{L}+(?:['’]\p{L}+)*"
+    parts = F.filter(F.transform(F.split(F.lower("name"), ","), lambda p: F.filter(F.regexp_extract_all(p, F.lit(word), F.lit(0)), lambda w: ~w.isin(*sorted(TITLES)))), lambda p: F.size(p) > 0)
+    n = names.where("name is not null").select("name").distinct().withColumn("p", parts)
+    n = written(n.select("name", F.size("p").alias("parts"), F.get("p", F.lit(0)).alias("w"), F.coalesce(F.get("p", F.lit(1)), F.array().cast("array<string>")).alias("after")).where("parts > 0"), "name-words")
+    first, last = F.get("w", F.lit(0)), F.element_at("w", -1)
+    one = (F.col("parts") == 1) & (F.size("w") > 1)
+    free = one & (F.length(first) > 1) & (F.length(last) > 1)
+    seen = lambda x, g, f: F.struct(x.alias("x"), F.lit(g).alias("g"), F.lit(f).alias("f"))
+    inner = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))), lambda x: seen(x, 1, 0))
+    comma = F.concat(F.transform("after", lambda x: seen(x, 2, 0)), F.array(seen(first, 0, 2)))
+    beside = F.when(F.length(first) == 1, F.array(seen(last, 0, 2))).otherwise(F.array(seen(first, 0, 2)))
+
+    def counted(turned: Column) -> DataFrame:
+        order = F.when(turned, F.concat(F.array(seen(first, 0, 1), seen(last, 1, 0)), inner)).otherwise(F.concat(F.array(seen(first, 1, 0), seen(last, 0, 1)), inner))
+        told = F.when(F.col("parts") > 1, comma).when(free, order).when(one, F.concat(beside, inner))
+        return n.select("*", F.explode(told).alias("s")).select("s.*").where("length(x) > 1").groupBy("x").agg(F.sum("g").alias("g"), F.sum("f").alias("f"))
+
+    nick = lexicon()[0]
+    prior = F.when(F.col("x").isin(*sorted(nick.keys() | {x for v in nick.values() for x in v})), 8).otherwise(0)  # fixed values: common given names
+    slip = None
+    for _ in range(rounds):
+        counts = written(counted(F.coalesce(F.col("turned"), F.lit(False)) if "turned" in n.columns else F.lit(False)), "name-counts")
+        if slip is None:
+            near_ = near_spellings(counts.select(F.col("x").alias("s"), (F.col("g") + F.col("f")).alias("n")), []).where((F.col("d") == 1) & (F.col("ny") >= RATIO * F.col("nx")))
+            slip = written(near_.groupBy("x").agg(F.max_by("y", F.struct("ny", "y")).alias("t")), "name-slips")
+        own = counts.select("x", ((F.col("g") + prior + 0.5) / (F.col("g") + F.col("f") + prior + 1.5)).alias("d"))
+        degree = own.join(slip, "x", "left").join(own.select(F.col("x").alias("t"), F.col("d").alias("dt")), "t", "left").select("x", F.coalesce("dt", "d").alias("d"))
+        both = n.where(free).select("name", first.alias("x"), last.alias("y")).join(degree.withColumnRenamed("d", "dx"), "x").join(degree.select(F.col("x").alias("y"), F.col("d").alias("dy")), "y")
+        yes = both.where(F.col("dy") > F.col("dx") + TURN).select("name", F.lit(True).alias("turned"))
+        n = written(n.drop("turned").join(yes, "name", "left"), "name-order")
+    return n.select("name", F.coalesce("turned", F.lit(False)).alias("turned"))
+
+
 PARSED = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "name", "family", "given", "middle")])
 
 
-def parsed(names: DataFrame, given: set[str]) -> DataFrame:
-    """names: distinct (kind, name), kind PERSON or ORGANIZATION."""
-    shared = names.sparkSession.sparkContext.broadcast(given)
+def parsed(names: DataFrame) -> DataFrame:
+    """names: distinct (kind, name, turned), kind PERSON or ORGANIZATION."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for kind, name in zip(f["kind"], f["name"]):
-                p = parse_person(name, shared.value) if kind == "PERSON" else parse_organisation(name)
+            for kind, name, turned in zip(f["kind"], f["name"], f["turned"]):
+                p = parse_person(name, bool(turned)) if kind == "PERSON" else parse_organisation(name)
                 if p:
                     out.append((kind, name, p[0], p[1], p[2] if len(p) > 2 else ""))
             yield pd.DataFrame(out, columns=PARSED.names)
 
-    return names.mapInPandas(run, PARSED)
+    return names.select("kind", "name", "turned").mapInPandas(run, PARSED)
 
 
 def segments(n: int, k: int) -> list[tuple[int, int]]:
@@ -191,26 +234,47 @@ def segment_pairs(strings: DataFrame, by: list[str], k: int = 1, others: DataFra
     return probe.hint("merge").join(index, [*by, "key"]).where("x <> y").select(*by, "x", "y").distinct().where(ok)
 
 
-def respelt(counts: DataFrame, by: list[str], ratio: int = 5) -> DataFrame:
-    """Rows (by, s, t): s is a slip of t, the most frequent of its neighbours that has `ratio` times its count n.
+def near_spellings(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by, x, y, nx, ny, d): spellings s of one `by` group that are d slips apart, with their counts n.
 
-    A string of one record also gives way to any neighbour of more, and of two single ones the later to the earlier.
+    d is 1 for one edit or two swapped letters, 2 for two edits of strings of FAR letters or more. One segment join
+    serves both: strings up to FAR letters are cut into two segments, those from FAR on into three.
     """
-    pairs = segment_pairs(counts, by)
-    n = lambda a, b: counts.select(*by, F.col("s").alias(a), F.col("n").alias(b))
-    both = pairs.join(n("x", "nx"), [*by, "x"]).join(n("y", "ny"), [*by, "y"])
-    ok = (F.col("ny") >= ratio * F.col("nx")) | (F.col("nx") == 1) & ((F.col("ny") > 1) | (F.col("x") > F.col("y")))
-    return both.where(ok).groupBy(*by, "x").agg(F.max_by("y", F.struct("ny", "y")).alias("t")).withColumnRenamed("x", "s")
-
-
-def frequent_words(names: DataFrame, share: float = 0.0005) -> set[str]:
-    """Words that stand in more than one in 1/share names, at least eight: at most a few thousand, whatever the number of names."""
-    words = names.where("kind = 'PERSON'").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(r"(?U)\p{L}{2,}"), F.lit(0)))).alias("w"))
-    n = names.count()
-    least = max(8, int(share * n))
-    found = {r.w for r in words.groupBy("w").count().where(F.col("count") >= least).collect()}
-    nick = lexicon()[0]
-    return (found | set(nick) | {x for v in nick.values() for x in v}) - TITLES
+    s = counts.select(*by, "s", "n").where("length(s) > 2")
+    ks = lambda n: [k for k, ok in ((1, n <= FAR), (2, n >= FAR)) if ok]
+
+    @F.pandas_udf("array<string>")
+    def own_keys(strings: pd.Series) -> pd.Series:
+        return strings.map(lambda x: [f"{k}|{j}|{len(x)}|{x[a:b]}" for k in ks(len(x)) for j, (a, b) in enumerate(segments(len(x), k))])
+
+    @F.pandas_udf("array<string>")
+    def probe_keys(strings: pd.Series) -> pd.Series:
+        return strings.map(lambda x: list({f"{k}|{j}|{m}|{z[i : i + n]}" for k in ks(len(x)) for z in swapped(x, k) for m, j, i, n in probes(len(x), k) if k in ks(m)}))
+
+    index = s.select(*by, F.col("s").alias("y"), F.col("n").alias("ny"), F.explode(own_keys("s")).alias("key"))
+    probe = s.select(*by, F.col("s").alias("x"), F.col("n").alias("nx"), F.explode(probe_keys("s")).alias("key"))
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    edits = F.levenshtein("x", "y", 2)
+    turned = (F.length("x") == F.length("y")) & (letters("x") == letters("y"))
+    d = F.when((edits == 1) | (edits == 2) & turned, 1).when((edits == 2) & (F.least(F.length("x"), F.length("y")) >= FAR), 2)
+    # exploded keys are far larger than the engine's estimate of them: never broadcast
+    return probe.hint("merge").join(index, [*by, "key"]).where("x <> y").select(*by, "x", "y", "nx", "ny").distinct().withColumn("d", d).where("d is not null")
+
+
+def leads(counts: DataFrame, by: list[str], ratio: int = RATIO) -> DataFrame:
+    """Rows (by, s, t): s is a slip of t, its best attested neighbour, followed on to what leads t.
+
+    A neighbour leads if it is `ratio` times as well attested; among spellings of six letters or more, whose
+    neighbours are rarely other words, any better attested one leads, and of equals the first in order, if one slip apart.
+    The rule compares counts with each other only, so it is the same at any size.
+    """
+    long = F.least(F.length("x"), F.length("y")) >= 6
+    better = (F.col("ny") > F.col("nx")) | (F.col("ny") == F.col("nx")) & (F.col("x") > F.col("y"))
+    ok = better & ((F.col("ny") >= ratio * F.col("nx")) | long & (F.col("d") == 1) | (F.col("d") == 2) & (F.col("ny") >= 2 * F.col("nx")))
+    one = written(near_spellings(counts, by).where(ok).groupBy(*by, "x").agg(F.max_by("y", F.struct((-F.col("d")).alias("d"), F.col("ny").alias("n"), F.col("y"))).alias("t")).withColumnRenamed("x", "s"), "leads")
+    on = one.select(*by, F.col("s").alias("t"), F.col("t").alias("u"))
+    two = one.join(on, [*by, "t"], "left").join(on.select(*by, F.col("t").alias("u"), F.col("u").alias("v")), [*by, "u"], "left")
+    return two.select(*by, "s", F.coalesce("v", "u", "t").alias("t"))
 
 
 def entities(records: DataFrame, key: str = "record_id", kind: str = "entity_type", names: tuple[str, ...] = ("raw_name", "normalized_value")) -> DataFrame:
@@ -223,32 +287,26 @@ def entities(records: DataFrame, key: str = "record_id", kind: str = "entity_typ
     rows = records.where(F.col(kind).isin("PERSON", "ORGANIZATION") & F.col(key).isNotNull()).select(
         F.col(key).alias("key"), F.col(kind).alias("kind"), F.explode(F.array(*variants)).alias("v")).select("key", "kind", "v.*").where("name <> ''").distinct()
     rows = written(rows, "p2-rows")
-    distinct = rows.select("kind", "name").distinct()
-    known = frequent_words(distinct)
-    parts = written(rows.join(parsed(distinct, known), ["kind", "name"]), "p2-parts")
+    order = turned_names(rows.where("kind = 'PERSON'").select("name"))
+    distinct = rows.select("kind", "name").distinct().join(order, "name", "left")
+    parts = written(rows.join(parsed(distinct), ["kind", "name"]), "p2-parts")
     person = F.col("kind") == "PERSON"
-    # given names: nicknames first, then slips of frequent ones
+    # given names: nicknames first, then slips of better attested ones
     nick = lexicon()[0]
     plain = F.create_map(*[F.lit(x) for k, v in nick.items() for x in (k, v[0])])
-    protected = list(set(nick) | {x for v in nick.values() for x in v})
+    protected = sorted(set(nick) | {x for v in nick.values() for x in v})
     full = F.length("given") > 1
     g = parts.where(full & person).groupBy(F.col("given").alias("s")).agg(F.countDistinct("key").alias("n"))
-    slips = respelt(g, []).where(~F.col("s").isin(protected)).join(g, "s").join(g.select(F.col("s").alias("t"), F.col("n").alias("nt")), "t").where("nt >= 5 * n")
-    parts = parts.join(F.broadcast(slips.select(F.col("s").alias("given"), "t")) if slips.count() <= 200_000 else slips.select(F.col("s").alias("given"), "t"), "given", "left")
+    ratio = near_spellings(g, []).where((F.col("d") == 1) & (F.col("ny") >= RATIO * F.col("nx")) & ~F.col("x").isin(protected))
+    slips = ratio.groupBy(F.col("x").alias("given")).agg(F.max_by("y", F.struct("ny", "y")).alias("t"))
+    parts = parts.join(slips, "given", "left")
     giv = F.when(person & full, F.coalesce(plain[F.coalesce("t", "given")], "t", "given")).otherwise(F.col("given"))
     parts = parts.withColumn("g", giv).drop("t").withColumn("initial", F.when(person, F.substring("g", 1, 1)).otherwise(F.col("g")))
     parts = written(parts.select("key", "kind", "i", "family", "g", "initial", "middle", (full | ~person).alias("full")), "p2-given")
     # family parts: a slip gives way to the better attested spelling of the same given part
     nodes = parts.where("full").groupBy("kind", "g", F.col("family").alias("s")).agg(F.countDistinct("key").alias("n"))
-    better = respelt(nodes, ["kind", "g"])
-    better = better.join(better.select("kind", "g", F.col("s").alias("t"), F.col("t").alias("u")), ["kind", "g", "t"], "left").select("kind", "g", F.col("s").alias("family"), F.coalesce("u", "t").alias("better"))
-    whole = parts.where("full").join(better, ["kind", "g", "family"], "left").withColumn("home", F.coalesce("better", "family")).drop("better")
-    # what is still alone may have two slips
-    whole = written(whole, "p2-once")
-    homes = whole.groupBy("kind", "g", F.col("home").alias("s")).agg(F.countDistinct("key").alias("n"))
-    alone, kept = homes.where("n = 1 and length(s) >= 8"), homes.where("n > 1")
-    twice = segment_pairs(alone, ["kind", "g"], 2, kept).join(kept.withColumnRenamed("s", "y"), ["kind", "g", "y"]).groupBy("kind", "g", F.col("x").alias("home")).agg(F.max_by("y", F.struct("n", "y")).alias("other"))
-    whole = written(whole.join(twice, ["kind", "g", "home"], "left").withColumn("home", F.coalesce("other", "home")).drop("other"), "p2-whole")
+    better = leads(nodes, ["kind", "g"]).select("kind", "g", F.col("s").alias("family"), F.col("t").alias("better"))
+    whole = written(parts.where("full").join(better, ["kind", "g", "family"], "left").withColumn("home", F.coalesce("better", "family")).drop("better"), "p2-whole")
     who = lambda: F.concat_ws("|", "kind", "home", "g")
     # initials: the only bearer of the surname (or, without one, of a neighbouring spelling) whose name begins so
     lone = parts.where("not full")

@@ -42,6 +42,22 @@ def test_segment_pairs_equal_brute_force(spark, k):
     assert {(a, b) for a in words for b in words if a != b and k == 1 and swaps(a, b)} <= got
 
 
+def test_turned_names(spark):
+    family = ["Paskwold", "Gormcombe", "Vostrigg", "Kessholt", "Uxbmere", "Falwick"]
+    first = ["Oliver", "Petra", "Tariq", "Yara"]
+    rows = [f"{g} {f}" for f in family for g in first] + [f"{f}, {g}" for f in family[:3] for g in first] + ["Paskwold Oliver", "Paskwodl Tariq", "Vostrigg Yara Petra", "Kessholt, Petra", "O. Uxbmere", "Solo", "", None]
+    got = {r.name: r.turned for r in names.turned_names(spark.createDataFrame([(r,) for r in rows], "name string")).collect()}
+    assert {k for k, v in got.items() if v} == {"Paskwold Oliver", "Paskwodl Tariq", "Vostrigg Yara Petra"} and None not in got
+    assert names.turned_names(spark.createDataFrame([], "name string")).count() == 0
+
+
+@pytest.mark.parametrize("times", [1, 9])
+def test_leads_are_the_same_at_any_size(spark, times):
+    counts = [("g", "marlcombe", 20), ("g", "marlcomb", 2), ("g", "marxcombs", 2), ("g", "fern", 20), ("g", "ferns", 10), ("g", "elm", 10), ("h", "marlcomb", 1), ("g", "gormwicke", 1), ("g", "gormwick", 1)]
+    d = spark.createDataFrame([(g, s, n * times, "x") for g, s, n in counts], "g string, s string, n int, y string")
+    assert {(r.g, r.s, r.t) for r in names.leads(d, ["g"]).collect()} == {("g", "marlcomb", "marlcombe"), ("g", "marxcombs", "marlcombe"), ("g", "gormwicke", "gormwick")}
+
+
 def test_entities(spark):
     rows = [("r1", "PERSON", "Oliver J. Paskwold", None), ("r2", "PERSON", "Paskwold,Ollie", None), ("r3", "PERSON", "O. PASKWOLD", ""), ("r4", "PERSON", "Petra Paskwold", None), ("r5", "PERSON", "oliver paskwodl", None),
             ("r6", "PERSON", "Unknown", None), ("r7", "PERSON", None, None), ("r8", "PERSON", "Paskwold", None), ("r9", "PERSON", None, "Oliver Paskwold"), ("r1", "PERSON", "Oliver J. Paskwold", None),
@@ -110,12 +126,18 @@ def test_matches(spark):
             rows.append(contact(f"r{p:02}{k}", f"d{rng.randrange(50)}", [f"{g} {f}", f"{f}, {g}", f"{g[0]}. {f}", f"{g} {f}"][k], [mail, mail.upper(), None, mail][k], [dob, dob, dob, None][k], [phone, None, phone, f"+1 {phone}"][k]))
             who[rows[-1][0]] = p
     rows += [contact("z1", "d1", None, None, None, None), contact("z2", "d2", None, None, None, None), (None, *contact("x", "d", "a", None, None, None)[1:]), rows[0]]
-    m, links = individuals.matches(spark.createDataFrame(rows, CONTACT))
+    m, links, sure = individuals.matches(spark.createDataFrame(rows, CONTACT))
     got = {r[0]: r[2] for r in m.collect()}
     pairs = lambda g: {(a, b) for a in g for b in g if a < b and g[a] == g[b]}
     want, have = pairs(who), pairs({k: v for k, v in got.items() if k in who})
     assert len(want & have) / len(want) > 0.9 and len(want & have) / len(have) > 0.95 and got["z1"] != got["z2"]
     assert all(0.5 <= r.confidence <= 1 for r in links.collect())
+    # every pair of profiles of one individual has a confidence, linked or not
+    pids = {}
+    for r in m.collect():
+        pids.setdefault(r.individual, set()).add(r.pid)
+    known = {(r.a, r.b): r.confidence for r in sure.collect()}
+    assert set(known) == {(a, b) for ps in pids.values() for a in ps for b in ps if a <= b} and all(0 <= c <= 1 for c in known.values())
     assert individuals.matches(spark.createDataFrame([], CONTACT))[0].count() == 0
 
 
