@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import checkpoint_dir, components, read, written
+from ..cluster import checkpoint_dir, components, read, spread, written
 
-__all__ = ["checkpoint_dir", "components", "edit_within", "pairs_within", "read", "written"]
+__all__ = ["checkpoint_dir", "components", "edit_within", "pairs_within", "read", "spread", "written"]
 
 
 def pairs_within(groups: DataFrame, key: str, group: str, out_a: str, out_b: str) -> DataFrame:

@@ -71,12 +71,17 @@ def birthday(s: str | None, month_first: bool) -> str:
         return ""
 
 
-def bands(c: str, n: int, rows: int = 2) -> list[Column]:
-    """MinHash bands over the letter pairs of a column, each the `rows` least hashes under different seeds; null where it is blank."""
+def letter_pairs(c: str) -> Column:
+    """Hashes of the letter pairs of a column, with marks for its ends."""
     text = F.concat(F.lit("^"), F.col(c), F.lit("$"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(text, i, F.lit(2)))
-    least = lambda seed: F.array_min(F.transform(pairs, lambda g: F.xxhash64(g, F.lit(seed))))
-    return [F.when(F.col(c) != "", F.xxhash64(*[least(i * rows + j) for j in range(rows)])) for i in range(n)]
+    return F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.xxhash64(F.substring(text, i, F.lit(2))))
+
+
+def bands(pairs: str, n: int, rows: int) -> list[Column]:
+    """MinHash bands of an array of hashes, each the `rows` least under different masks; null where there are at most the two ends."""
+    masks = np.random.default_rng(11).integers(-(2**62), 2**62, n * rows).tolist()
+    least = lambda m: F.array_min(F.transform(F.col(pairs), lambda h: h.bitwiseXOR(F.lit(m))))
+    return [F.when(F.size(pairs) > 1, F.xxhash64(*[least(m) for m in masks[i * rows : (i + 1) * rows]])) for i in range(n)]
 
 
 NORMAL = "record_id string, doc string, email string, dob string, phone string, given string, family string, house string, street string, zip string"
@@ -110,9 +115,10 @@ def block_keys(profiles: DataFrame) -> DataFrame:
     and day, or has month and day exchanged; a surname with a slip keeps a band.
     """
     p = profiles.withColumn("local", F.split("email", "@")[0]).withColumn("g0", F.substring("given", 1, 1))
+    p = p.select("*", *[letter_pairs(c).alias(f"_{c}") for c in ("family", "local", "street")])
     has = lambda c: F.col(c) != ""
     key = lambda tag, ok, *c: F.when(ok, F.xxhash64(F.lit(tag), *c))
-    fb, eb, sb = bands("family", 2), bands("local", 3), bands("street", 2)
+    fb, eb, sb = bands("_family", 2, 2), bands("_local", 6, 4), bands("_street", 2, 2)  # mailboxes of one host have few but common letters: longer bands
     year, month, day = F.substring("dob", 1, 4), F.substring("dob", 5, 2), F.substring("dob", 7, 2)
     host = F.split("email", "@")[1]
     keys = [key("e", has("email") & ~F.col("hot_email"), "email")] + [key(f"E{i}", has("email") & ~F.col("hot_email"), b, host) for i, b in enumerate(eb)]

@@ -156,7 +156,7 @@ def turned_names(names: DataFrame, rounds: int = 2) -> DataFrame:
     for _ in range(rounds):
         counts = written(counted(F.coalesce(F.col("turned"), F.lit(False)) if "turned" in n.columns else F.lit(False)), "name-counts")
         if slip is None:
-            near_ = near_spellings(counts.select(F.col("x").alias("s"), (F.col("g") + F.col("f")).alias("n")), []).where((F.col("d") == 1) & (F.col("ny") >= RATIO * F.col("nx")))
+            near_ = near_spellings(counts.select(F.col("x").alias("s"), (F.col("g") + F.col("f")).alias("n")), [], None).where((F.col("d") == 1) & (F.col("ny") >= RATIO * F.col("nx")))
             slip = written(near_.groupBy("x").agg(F.max_by("y", F.struct("ny", "y")).alias("t")), "name-slips")
         own = counts.select("x", ((F.col("g") + prior + 0.5) / (F.col("g") + F.col("f") + prior + 1.5)).alias("d"))
         degree = own.join(slip, "x", "left").join(own.select(F.col("x").alias("t"), F.col("d").alias("dt")), "t", "left").select("x", F.coalesce("dt", "d").alias("d"))
@@ -234,14 +234,15 @@ def segment_pairs(strings: DataFrame, by: list[str], k: int = 1, others: DataFra
     return probe.hint("merge").join(index, [*by, "key"]).where("x <> y").select(*by, "x", "y").distinct().where(ok)
 
 
-def near_spellings(counts: DataFrame, by: list[str]) -> DataFrame:
+def near_spellings(counts: DataFrame, by: list[str], far: int | None = FAR) -> DataFrame:
     """Rows (by, x, y, nx, ny, d): spellings s of one `by` group that are d slips apart, with their counts n.
 
-    d is 1 for one edit or two swapped letters, 2 for two edits of strings of FAR letters or more. One segment join
-    serves both: strings up to FAR letters are cut into two segments, those from FAR on into three.
+    d is 1 for one edit or two swapped letters, 2 for two edits of strings of `far` letters or more (None: never). One segment
+    join serves both: strings up to `far` letters are cut into two segments, those from `far` on into three.
     """
+    far = far or 1 << 20
     s = counts.select(*by, "s", "n").where("length(s) > 2")
-    ks = lambda n: [k for k, ok in ((1, n <= FAR), (2, n >= FAR)) if ok]
+    ks = lambda n: [k for k, ok in ((1, n <= far), (2, n >= far)) if ok]
 
     @F.pandas_udf("array<string>")
     def own_keys(strings: pd.Series) -> pd.Series:
@@ -256,7 +257,7 @@ def near_spellings(counts: DataFrame, by: list[str]) -> DataFrame:
     letters = lambda c: F.array_sort(F.split(c, ""))
     edits = F.levenshtein("x", "y", 2)
     turned = (F.length("x") == F.length("y")) & (letters("x") == letters("y"))
-    d = F.when((edits == 1) | (edits == 2) & turned, 1).when((edits == 2) & (F.least(F.length("x"), F.length("y")) >= FAR), 2)
+    d = F.when((edits == 1) | (edits == 2) & turned, 1).when((edits == 2) & (F.least(F.length("x"), F.length("y")) >= far), 2)
     # exploded keys are far larger than the engine's estimate of them: never broadcast
     return probe.hint("merge").join(index, [*by, "key"]).where("x <> y").select(*by, "x", "y", "nx", "ny").distinct().withColumn("d", d).where("d is not null")
 
@@ -297,7 +298,7 @@ def entities(records: DataFrame, key: str = "record_id", kind: str = "entity_typ
     protected = sorted(set(nick) | {x for v in nick.values() for x in v})
     full = F.length("given") > 1
     g = parts.where(full & person).groupBy(F.col("given").alias("s")).agg(F.countDistinct("key").alias("n"))
-    ratio = near_spellings(g, []).where((F.col("d") == 1) & (F.col("ny") >= RATIO * F.col("nx")) & ~F.col("x").isin(protected))
+    ratio = near_spellings(g, [], None).where((F.col("d") == 1) & (F.col("ny") >= RATIO * F.col("nx")) & ~F.col("x").isin(protected))
     slips = ratio.groupBy(F.col("x").alias("given")).agg(F.max_by("y", F.struct("ny", "y")).alias("t"))
     parts = parts.join(slips, "given", "left")
     giv = F.when(person & full, F.coalesce(plain[F.coalesce("t", "given")], "t", "given")).otherwise(F.col("given"))

@@ -1,11 +1,14 @@
 """Problem 4: personal values in free text, found and replaced with typed placeholders.
 
-Values of a fixed form (mailboxes in any notation, phone numbers, government numbers, street addresses) are told by their form
-and the words before them. Names are told by information: one pass over the corpus counts how often each word, and each word
-ending, occurs beside protected entities (after a salutation, a role, an initial or a known given name) and how
-often elsewhere; the pointwise mutual information of a term with the protected class is its disclosure. Terms
-above the threshold are found and generalised to a placeholder; rare surnames inherit the disclosure of their
-ending, and frequent words (system names, months) speak for themselves.
+Terms are weighed by what they disclose. One pass over the corpus counts how often each word, word ending and cue occurs beside
+protected entities (a name after a salutation, a role, an initial or a known given name; a number of a form that only
+government numbers have) and how often elsewhere; the pointwise mutual information with the protected class is
+the term's disclosure. Terms above the threshold are generalised to a placeholder: surnames of up to five letters by their own
+disclosure, longer ones by that of their ending, numbers of an ambiguous form by that of the word before them. Values whose form
+alone tells them (mailboxes, phone numbers, street addresses) need no statistics.
+
+Counts are aggregated to one row a term in a table, and no count is dropped for being rare. The terms above the
+threshold are broadcast up to MODEL_TERMS of them; beyond that each text is joined with those of them that stand in it.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .address_parts import KINDS
-from .common import read, written
+from .address_parts import KINDS, UNITS
+from .common import read, spread, written
 from .names import lexicon
 
+MODEL_TERMS = 1_000_000  # at most so many terms, of about a hundred bytes each, are broadcast
 DISCLOSURE = 1.0  # bits of pointwise mutual information with the protected class from which a term is taken to disclose
 MIN_GIVEN = 3  # protected contexts that a word needs to be taken for a given name
 # Words before a name, words after a firm's own name, words before a number that is no personal one.
@@ -54,16 +58,24 @@ ADDRESS = re.compile(
     rf"|(?<![\w-])[^\W\d_][^\W\d_]{{2,}}-?(?:stra(?:ss|ß)e|str\.)\s+(?:nr\.?\s*)?\d{{1,5}}\b", re.I)
 ADDRESS_NO_KIND = re.compile(
     rf"(?<![\w.,/#-])(?:(?:apt|apartment|unit|ste|suite|flat)\b\.?\s+(?:no\.?\s*)?\d*[a-z]?\b,?\s+|#\s?\d+[a-z]?,?\s+)?\d{{1,5}}\s+{_DIR}?[A-Z][a-z]{{3,}}(?:,?\s+{_UNIT})?,\s+[A-Z][a-z]+,?\s+(?:[A-Z]{{2}}\s+\d{{4,5}}\b|[A-Z]{{1,2}}\d{{1,2}}[A-Z]?\s?\d[A-Z]{{2}}\b)")
+NUMBER = re.compile(r"(?<![\w./#+$€£-])[A-Z]{0,5} ?\d[\d .-]{4,17}[A-Z]?(?![\w])")
 TOKEN = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]{2,})*")
 WIDE = {i: i - 0xFEE0 for i in range(0xFF01, 0xFF5F)} | {0xA0: 32, 0x2007: 32, 0x202F: 32}
 
 
 def ending(word: str) -> str:
-    return word[-4:].lower()
+    """What stands for a surname: its last four letters, or the whole word if it has no more than five."""
+    return word[-4:].lower() if len(word) > 5 else "=" + word.lower()
+
+
+def cue_before(text: str, at: int) -> str:
+    """The last word within 24 characters before a place, in lower case."""
+    words = TOKEN.findall(text[max(0, at - 24) : at].split("\n")[-1])
+    return words[-1].lower() if words else ""
 
 
 def contexts(text: str) -> Counter:
-    """Counts by (kind, key): N occurrences of a capitalised word, S of them after a cue, B a word before one of an ending, T an ending after a word of place, C a word beside another capitalised one."""
+    """Counts by (kind, key): N occurrences of a capitalised word, S of them after a cue, B a word before one of an ending, T an ending after a word of place, C a word beside another capitalised one, J a cue before a number, I one before a number that only governments give."""
     out: Counter = Counter()
     text = text.translate(WIDE)
     tokens = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text)]
@@ -83,7 +95,7 @@ def contexts(text: str) -> Counter:
         if comma or ahead and ahead[0][0].isupper() and re.fullmatch(r"\.?[ \t]", text[ahead[2] : a]):
             out["C", key] += 1
         firm = after is not None and re.match(FIRM + r"\b", after[0]) is not None and text[b : after[1]].strip() == ""
-        if len(w) > 4 and not firm:
+        if not firm:
             prev = tokens[i - 1] if i else None
             if prev and len(prev[0]) == 1 and i > 1 and text[prev[2] : a] in (" ", ". ", "."):
                 prev = tokens[i - 2] if text[tokens[i - 2][2] : prev[1]] == " " else prev
@@ -91,42 +103,31 @@ def contexts(text: str) -> Counter:
                 out["B", f"{prev[0].lower()}|{ending(w)}"] += 1
             if cue in ("in", "at", "from", "nach", "à", "en", "of", "near"):
                 out["T", ending(w)] += 1
+    for m in NUMBER.finditer(text):
+        if cue := cue_before(text, m.start()):
+            out["J", cue] += 1
+            own = ID.match(text, m.start())
+            if own and not NUMBER_CUE_NEEDED.match(own[0]) and not PLAIN_NUMBERS.search(text[max(0, m.start() - 40) : m.start()]):
+                out["I", cue] += 1
     return out
 
 
 class Model:
-    """Given names, and the disclosure in bits of word endings and of frequent words."""
-
-    def __init__(self, rows: list[tuple[str, str, int]]):
-        n, s, b, t, c_ = Counter(), Counter(), Counter(), Counter(), Counter()
-        for kind, key, count in rows:
-            {"N": n, "S": s, "B": b, "T": t, "C": c_}[kind][key] += count
-        formal = {x for v in lexicon()[0].values() for x in v}
-        total, protected = sum(n.values()) or 1, sum(s.values()) or 1
-        prior = protected / total
-        self.given = {w for w, c in s.items() if c >= MIN_GIVEN and math.log2(c / max(n[w], 1) / prior) >= DISCLOSURE and w not in MONTHS and w + "." not in CUES and w not in CUES} | (formal & set(n))
-        person: Counter = Counter()
-        led: Counter = Counter()
-        for key, c in b.items():
-            w, e = key.split("|")
-            if w in self.given:
-                person[e] += c
-        for key, c in b.items():
-            w, e = key.split("|")
-            if person[e] >= 3 and person[e] >= 3 * t[e]:
-                led[w] += c
-        # words that stand before surnames as often as given names do are given names, if no cue or month
-        self.given |= {w for w, c in led.items() if c >= 5 and w not in CUES and w + "." not in CUES and w not in {"dr", "prof"} and len(w) > 2 and (c >= 0.25 * n[w] or w in ("jun", "may", "april", "june", "august") and c >= 5) and not re.match(FIRM + "$", w.title())}
-        base = (sum(person.values()) + 1) / (sum(person.values()) + sum(t.values()) + 2)
-        self.ending = {e: math.log2((c + 0.5) / (c + t[e] + 1) / base) for e, c in person.items() if c >= 2}
-        top = math.log2(1 / base)
-        self.sure = {e for e, v in self.ending.items() if v >= top - 0.35}
-        self.loose = {e for e, v in self.ending.items() if v >= top - DISCLOSURE - 1.5}
-        # a frequent word tells its own disclosure: names of systems hardly ever stand beside another capitalised word
-        self.common = {w for w, c in n.items() if c >= 20 and w not in self.given and c_[w] < 0.15 * c}
+    """Terms that disclose: given names, endings of surnames (sure and loose), common words, cues of numbers."""
+
+    def __init__(self, terms: list[tuple[str, str]]):
+        by: dict[str, set[str]] = {}
+        for kind, key in terms:
+            by.setdefault(kind, set()).add(key)
+        self.given, self.sure, self.loose, self.common, self.cues = (by.get(k, set()) for k in ("given", "sure", "loose", "common", "cue"))
 
     def surname(self, word: str, sure: bool = True) -> bool:
-        return len(word) > 5 and word.lower() not in self.common and ending(word) in (self.sure if sure else self.sure | self.loose)
+        return len(word) > 1 and word.lower() not in self.common and (ending(word) in self.sure or not sure and ending(word) in self.loose)
+
+    def open(self, word: str) -> bool:
+        """Whether nothing speaks against a capitalised word's being a surname where the words before it call for one."""
+        w = word.lower()
+        return len(word) > 1 and word[0].isupper() and w not in self.common and w not in MONTHS and w not in self.given and w not in CUES and w + "." not in CUES and w not in UNITS and w not in KINDS and not re.match(FIRM + "$", word)
 
 
 def names(text: str, model: Model) -> Iterator[tuple[int, int]]:
@@ -138,6 +139,7 @@ def names(text: str, model: Model) -> Iterator[tuple[int, int]]:
     given = lambda i: i < n and word(i).lower().removesuffix("'s").removesuffix("’s") in model.given
     initial = lambda i: i < n and len(word(i)) == 1 and word(i).isupper()
     firm = lambda i: i + 1 < n and gap(i).strip() == "" and gap(i) != "" and re.match(FIRM + r"\b", word(i + 1), re.I) is not None and word(i + 1)[0].isupper()
+    cued = lambda i: text[max(0, tokens[i][1] - 14) : tokens[i][1]].rstrip(" \t").rsplit(None, 1)[-1:] and text[max(0, tokens[i][1] - 14) : tokens[i][1]].rstrip(" \t").rsplit(None, 1)[-1].lower() in CUES
     near = lambda i: re.fullmatch(r"\.?[ \t]+|[ \t]*\n?[ \t]*", gap(i)) is not None and gap(i) != ""
     i = 0
     while i < n:
@@ -157,6 +159,11 @@ def names(text: str, model: Model) -> Iterator[tuple[int, int]]:
                     yield a, tokens[k][2]
                     i = k + 1
                     continue
+            # a given name or initial calls for a surname, also for one never seen before
+            if k < n and k == i + 1 and not lower and gap(i) in (" ", ". ") and model.open(word(k)) and not firm(k) and not firm(i) and (given(i) and w.lower() not in MONTHS and gap(i) == " " and cued(i)):
+                yield a, tokens[k][2] - (2 if word(k)[-2:] in ("'s", "’s") else 0)
+                i = k + 1
+                continue
             if given(i) and not lower and not firm(i) and w.lower() not in MONTHS:
                 end = b - 2 if w[-2:] in ("'s", "’s") else b
                 while j > i and not initial(j):
@@ -165,7 +172,8 @@ def names(text: str, model: Model) -> Iterator[tuple[int, int]]:
                 i = j + 1
                 continue
         # surname, given; surname given; surname alone
-        if not lower and model.surname(w, False) and not firm(i):
+        titled = a and re.search(TITLE + r"\.?[ \t]+$", text[max(0, a - 8) : a])
+        if not lower and not firm(i) and (model.surname(w, False) or titled and model.open(w)):
             if i + 1 < n and re.fullmatch(r"\s?,\s?|[ \t]+", gap(i)) and (given(i + 1) or initial(i + 1) and "," in gap(i)) and not (model.surname(word(i + 2), False) and re.fullmatch(r"\.? ", gap(i + 1)) and "," in gap(i) and not firm(i + 2)):
                 end = tokens[i + 1][2]
                 j = i + 1
@@ -174,14 +182,13 @@ def names(text: str, model: Model) -> Iterator[tuple[int, int]]:
                 yield a, end
                 i = j + 1
                 continue
-            titled = re.search(TITLE + r"\.?\s+$", text[max(0, a - 8) : a])
             place = re.search(r"(?:\b(?:in|at|from|near|nach|von|de|à|en|of|the|der|die|das|le|la|el|auf|au|aus|system|système|sistema|archive|archiv)|,)\s+(?:the\s+)?$", text[max(0, a - 14) : a], re.I)
             if titled or model.surname(w, True) and not place and not re.match(r"[ \t]+[A-Z]|\s*[|/-]", text[b : b + 3]) and not re.match(r"\s*(?:,\s*[A-Z]{2}\b|\s[A-Z]{1,2}\d)", text[b : b + 8]):
                 yield a, b - 2 if w[-2:] in ("'s", "’s") else b
         i += 1
 
 
-def values(text: str, model: Model, header: str | None = None) -> list[tuple[int, int, str]]:
+def values(text: str, model: Model) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every personal value, in order and without overlaps."""
     text = text.translate(WIDE)
     found: list[tuple[int, int, str]] = []
@@ -196,7 +203,7 @@ def values(text: str, model: Model, header: str | None = None) -> list[tuple[int
         take(m.start(), m.end(), "email")
     for m in ID.finditer(text):
         before = text[max(0, m.start() - 40) : m.start()]
-        if not PLAIN_NUMBERS.search(before) and (not NUMBER_CUE_NEEDED.match(m[0]) or ID_CUE.search(before)):
+        if not PLAIN_NUMBERS.search(before) and (not NUMBER_CUE_NEEDED.match(m[0]) or ID_CUE.search(before) or cue_before(text, m.start()) in model.cues):
             take(m.start(), m.end(), "id_number")
     for m in PHONE.finditer(text):
         if 9 <= sum(c.isdigit() for c in m[0]) <= 15 and not PLAIN_NUMBERS.search(text[max(0, m.start() - 40) : m.start()]):
@@ -209,8 +216,13 @@ def values(text: str, model: Model, header: str | None = None) -> list[tuple[int
     return sorted(found)
 
 
-def corpus_model(texts: DataFrame, text: str = "text") -> Model:
-    """The model of a corpus: words and endings that pass a share of all counts, so its size doesn't grow with the corpus."""
+def disclosures(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (kind, key): the terms of a corpus whose disclosure passes the threshold.
+
+    Given names are words that stand after a cue, or before surnames, far oftener than words do; endings are a surname's if they
+    follow given names far oftener than words of place. Common words hardly ever stand beside another
+    capitalised word. Cues stand before government numbers far oftener than before others.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -221,70 +233,128 @@ def corpus_model(texts: DataFrame, text: str = "text") -> Model:
 
     counts = texts.select(text).where(F.col(text).isNotNull()).mapInPandas(run, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = written(counts, "p4-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(2, total // 2_000_000)
-    return Model([tuple(r) for r in counts.where(F.col("n") >= least).collect()])  # at most total / least rows
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
+    # B has pairs of word and ending, all other kinds one term a row
+    terms = counts.where("kind <> 'B'").groupBy("key").agg(*[of(k).alias(k.lower()) for k in "NSTCIJ"])
+    terms = written(terms, "p4-terms")
+    sums = terms.agg(*[F.sum(k).alias(k) for k in "nstij"]).first()
+    total, protected, places, ids, numbers = ((v or 0) for v in sums)
+    prior = max(protected, 1) / max(total, 1)
+    no = sorted(MONTHS | set(CUES) | {c.removesuffix(".") for c in CUES})
+    formal = sorted({x for v in lexicon()[0].values() for x in v})
+    first = terms.where(((F.col("s") >= MIN_GIVEN) & (F.log2(F.col("s") / F.greatest("n", F.lit(1)) / prior) >= DISCLOSURE) & ~F.col("key").isin(no)) | F.col("key").isin(formal) & (F.col("n") > 0)).select("key")
+    both = counts.where("kind = 'B'").select(F.substring_index("key", "|", 1).alias("w"), F.substring_index("key", "|", -1).alias("e"), "n")
+    ends = both.join(first.withColumnRenamed("key", "w"), "w", "left_semi").groupBy("e").agg(F.sum("n").alias("p")).join(terms.select(F.col("key").alias("e"), "t"), "e", "left").fillna(0, ["t"])
+    ends = written(ends, "p4-endings")
+    led = both.join(ends.where("p >= 3 and p >= 3 * t").select("e"), "e", "left_semi").groupBy(F.col("w").alias("key")).agg(F.sum("n").alias("c")).join(terms.select("key", "n"), "key")
+    names_of_months = F.col("key").isin("jun", "may", "april", "june", "august")
+    more = led.where((F.col("c") >= 5) & ~F.col("key").isin(sorted({*CUES, *(c.removesuffix(".") for c in CUES), "dr", "prof"})) & (F.length("key") > 2) & ((F.col("c") >= 0.25 * F.col("n")) | names_of_months) & ~F.initcap("key").rlike("^" + FIRM + "$"))
+    # words that stand before surnames as often as given names do are given names too
+    given = written(first.union(more.select("key")).distinct(), "p4-given")
+    people = ends.agg(F.sum("p")).first()[0] or 0
+    base = (people + 1) / (people + places + 2)
+    top = math.log2(1 / base)
+    bits = ends.where("p >= 2").select("e", F.log2((F.col("p") + 0.5) / (F.col("p") + F.col("t") + 1) / base).alias("v"))
+    # a word tells its own disclosure: names of systems hardly ever stand beside another capitalised word
+    common = terms.where((F.col("n") > 0) & ((F.col("c") + 3) / (F.col("n") + 10) < 0.15)).select("key").join(given, "key", "left_anti")
+    cues = terms.where((F.col("i") >= MIN_GIVEN) & (F.log2(F.col("i") / F.greatest("j", F.lit(1)) / (max(ids, 1) / max(numbers, 1))) >= DISCLOSURE) & (F.col("i") >= 0.5 * F.col("j")))
+    kind = lambda d, k, c="key": d.select(F.lit(k).alias("kind"), F.col(c).alias("key"))
+    out = kind(given, "given").union(kind(bits.where(F.col("v") >= top - 0.35), "sure", "e")).union(kind(bits.where(F.col("v") >= top - DISCLOSURE - 1.5), "loose", "e")).union(kind(common, "common")).union(kind(cues, "cue"))
+    return written(out, "p4-model")
+
+
+def corpus_model(texts: DataFrame, text: str = "text") -> Model:
+    """The whole model, for corpora of which it is known to be small."""
+    return Model([tuple(r) for r in disclosures(texts, text).collect()])
+
+
+def lookups(text: str) -> list[str]:
+    """All keys by which a text's words are looked up in the model."""
+    text = text.translate(WIDE)
+    out = set()
+    for w in TOKEN.findall(text):
+        out.update((w.lower(), w.lower().removesuffix("'s").removesuffix("’s"), ending(w)))
+    return sorted(out)
+
+
+def with_terms(texts: DataFrame, key: list[str], text: str, terms: DataFrame) -> DataFrame:
+    """texts (key, text) with a column `terms`: the terms of the model that stand in the text."""
+    own = F.udf(lookups, "array<string>", useArrow=True)
+    rows = written(texts.select(*key, text).distinct().withColumn("_id", F.xxhash64(*key, text)), "p4-texts")
+    words = rows.select("_id", F.explode(own(F.coalesce(text, F.lit("")))).alias("key")).distinct()
+    found = words.join(terms, "key").groupBy("_id").agg(F.collect_list(F.struct("kind", "key")).alias("terms"))  # at most a text's own words
+    return rows.join(found, "_id", "left").drop("_id")
+
 
+def applied(texts: DataFrame, key: list[str], text: str, model: Model | DataFrame | None, one, schema: str, column: str, most: int = MODEL_TERMS) -> DataFrame:
+    """key columns and `column`, one(text, model) of every row: by a broadcast model, or by each text's own terms where there are more than `most`."""
+    terms = disclosures(texts, text) if model is None else model
+    if isinstance(terms, DataFrame) and terms.count() > most:
 
-def find(texts: DataFrame, key: str, text: str = "text", model: Model | None = None) -> DataFrame:
+        @F.pandas_udf(schema)
+        def each(t: pd.Series, own: pd.Series) -> pd.Series:
+            return pd.Series([one(x, Model([] if o is None else [(r["kind"], r["key"]) for r in o])) if x is not None else None for x, o in zip(t, own)], dtype=object)
+
+        return with_terms(texts, key, text, terms).select(*key, each(text, "terms").alias(column))
+    m = terms if isinstance(terms, Model) else Model([tuple(r) for r in terms.collect()])  # at most `most` rows
+    shared = texts.sparkSession.sparkContext.broadcast(m)
+
+    @F.pandas_udf(schema)
+    def every(t: pd.Series) -> pd.Series:
+        return pd.Series([one(x, shared.value) if x is not None else None for x in t], dtype=object)
+
+    return texts.select(*key, every(text).alias(column))
+
+
+VALUES = "array<struct<start_pos:int,end_pos:int,pii_kind:string>>"
+
+
+def find(texts: DataFrame, key: str | list[str], text: str = "text", model: Model | DataFrame | None = None, most: int = MODEL_TERMS) -> DataFrame:
     """Rows (key, pii_kind, start_pos, end_pos) of every personal value; positions count code points from 0.
 
     Null and empty texts have none; equal rows of one key count once; other columns are ignored.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(model or corpus_model(texts, text))
-    kind = texts.schema[key].dataType.simpleString()
+    keys = [key] if isinstance(key, str) else key
+    rows = lambda t, m: [{"start_pos": a, "end_pos": b, "pii_kind": k} for a, b, k in values(t, m)]
+    found = applied(texts.where(F.col(text).isNotNull()), keys, text, model, rows, VALUES, "_v", most)
+    return found.select(*keys, F.explode("_v").alias("_v")).select(*keys, "_v.pii_kind", "_v.start_pos", "_v.end_pos").distinct()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, p, a, b) for k, t in zip(f.iloc[:, 0], f.iloc[:, 1]) for a, b, p in values(t, shared.value)]
-            yield pd.DataFrame(rows, columns=["k", "pii_kind", "start_pos", "end_pos"])
 
-    return texts.where(F.col(text).isNotNull()).select(key, text).distinct().mapInPandas(run, f"k {kind}, pii_kind string, start_pos int, end_pos int").withColumnRenamed("k", key)
+def safe_text(text: str, model: Model) -> str:
+    out, at = [], 0
+    for a, b, kind in values(text, model):
+        out += [text[at:a], f"<{kind.upper()}>"]
+        at = b
+    return "".join([*out, text[at:]])
 
 
-def sanitised(texts: DataFrame, key: str | list[str], text: str = "text", model: Model | None = None) -> DataFrame:
+def sanitised(texts: DataFrame, key: str | list[str], text: str = "text", model: Model | DataFrame | None = None, most: int = MODEL_TERMS) -> DataFrame:
     """Rows (key, safe_text): every value replaced by a placeholder of its kind; null stays null."""
-    shared = texts.sparkSession.sparkContext.broadcast(model or corpus_model(texts, text))
-
-    @F.pandas_udf("string")
-    def safe(t: pd.Series) -> pd.Series:
-        def one(s: str | None) -> str | None:
-            if s is None:
-                return None
-            out, at = [], 0
-            for a, b, kind in values(s, shared.value):
-                out += [s[at:a], f"<{kind.upper()}>"]
-                at = b
-            return "".join([*out, s[at:]])
-
-        return t.map(one, na_action="ignore")
-
-    return texts.select(*([key] if isinstance(key, str) else key), safe(F.col(text)).alias("safe_text"))
+    keys = [key] if isinstance(key, str) else key
+    return applied(texts, keys, text, model, safe_text, "string", "safe_text", most)
 
 
 def both_tables(spark, sf_dir) -> DataFrame:
-    """Both tables as (text_table, text_key, text), nulls included."""
-    b = read(spark, sf_dir, "extracted_blocks").select(F.lit("extracted_blocks").alias("text_table"), F.col("block_id").cast("string").alias("text_key"), "text")
+    """Both tables as (text_table, text_key, text), nulls and repeated rows included: texts are scanned, never shuffled."""
+    b = spread(read(spark, sf_dir, "extracted_blocks").select("block_id", "text")).select(F.lit("extracted_blocks").alias("text_table"), F.col("block_id").cast("string").alias("text_key"), "text")
     p = read(spark, sf_dir, "llm_call_logs").select(F.lit("llm_call_logs").alias("text_table"), F.col("log_id").alias("text_key"), F.col("prompt_text").alias("text"))
-    return b.union(p).distinct()
-
-
-def all_texts(spark, sf_dir) -> DataFrame:
-    """Both tables as (text_table, text_key, text), each text once a key."""
-    return both_tables(spark, sf_dir).where("text is not null and text_key is not null")
+    return b.union(p)
 
 
 def p4_found(spark, sf_dir) -> DataFrame:
-    t = all_texts(spark, sf_dir)
-    t = t.select(F.struct("text_table", "text_key").alias("key"), "text").withColumn("key", F.concat_ws("|", "key.text_table", "key.text_key"))
-    found = find(t, "key")
-    return found.select(F.substring_index("key", "|", 1).alias("text_table"), F.expr("substring(key, instr(key, '|') + 1)").alias("text_key"), "pii_kind", "start_pos").distinct()
+    t = both_tables(spark, sf_dir).where("text is not null and text_key is not null")
+    return find(t, ["text_table", "text_key"]).drop("end_pos").distinct()
 
 
 def p4_sanitised(spark, sf_dir) -> DataFrame:
-    """The texts of both tables with placeholders instead of personal values."""
-    return sanitised(both_tables(spark, sf_dir), ["text_table", "text_key"], model=corpus_model(all_texts(spark, sf_dir)))
+    """The texts of both tables with placeholders instead of personal values; repeated rows count once."""
+    return sanitised(both_tables(spark, sf_dir), ["text_table", "text_key"]).distinct()
+
+
+def p4_terms(spark, sf_dir) -> DataFrame:
+    """How many terms of each kind disclose."""
+    return disclosures(both_tables(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n_terms"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_sanitised": p4_sanitised}
+QUERIES = {"p4_found": p4_found, "p4_sanitised": p4_sanitised, "p4_terms": p4_terms}
 SQL: dict = {}

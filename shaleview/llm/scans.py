@@ -1,21 +1,25 @@
 """Problem 6: noise in text from scanned pages.
 
-A symmetric-delete index over the corpus's frequency lexicon proposes corrections: every attested word is stored under its
-forms with up to two letters deleted, a suspicious word looks its own deletions up, and only candidates that
-are explained by confusion pairs (a letter or two read as another) are kept, weighed by the number of confusions and
-by counts of word pairs. Words split at a line end are joined unless the parts form a compound; headers are
-lines at a page's edge that recur, up to misreadings, on other pages of the document; page numbers are told by their form.
+A symmetric-delete index over the corpus's frequency lexicon proposes corrections: every attested word is stored under the
+forms of its first letters with up to two of them deleted, a suspicious word looks its own deletions up, and only candidates
+that are explained by confusion pairs (a letter or two read as another) are kept. A weighted distance adds what each
+confusion pair weighs: the less often it explains misread words of the corpus, the more. Every occurrence is then judged by
+the ratio of frequencies, the weight, and the counts of word pairs with its neighbours. Words split at a line end are
+joined unless the parts form a compound; headers are lines at a page's edge that recur, up to misreadings, on other
+pages of the document; page numbers are told by their form.
+
+All thresholds are ratios of counts, so they mean the same in a corpus of any size.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import read, written
@@ -28,14 +32,16 @@ NUMBER_END = re.compile(rf"(?:\s{{2,}}|\t|\s*[|·]\s*)(?:{PAGE_NUMBER})\s*$", re
 NUMBER_START = re.compile(rf"^\s*(?:{PAGE_NUMBER})(?:\s{{2,}}|\t|\s*[|·]\s*)", re.I)
 HYPHEN = re.compile(r"([^\W\d_]+(?:[0-9][^\W_]*)?)[-‐‑­][ \t]*\n[ \t]*([^\W_]+)")
 WORD = re.compile(r"[^\W_]+")
-EDGE = 3  # lines at top and foot that may be a header or a page number
-RATIO, RATIO_RARE, RARE = 8, 3, 200  # how much more often the corrected word must occur; less for words that are rare themselves
+PREFIX = 10  # letters of a word that the deletions are made of
+STRONG, SHORT, WEAK = 3.0, 5.6, 1.58  # bits by which the corrected word must be likelier: for most words, for words under four letters, beside word pairs that speak for it
 
 
-def is_page(text: str) -> bool:
+def is_page(text: Column) -> Column:
     """Whether the lines look like a page's: five or more, most of them of a column's width."""
-    lines = text.split("\n")
-    return len(lines) >= 5 and sum(35 <= len(x) <= 90 for x in lines[:-1]) >= 0.6 * (len(lines) - 1)
+    lines = F.split(text, "\n", -1)
+    n = F.size(lines) - 1
+    wide = F.size(F.filter(F.slice(lines, 1, F.greatest(n, F.lit(0))), lambda x: F.length(x).between(35, 90)))
+    return (n >= 4) & (wide >= 0.6 * n)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -45,22 +51,24 @@ def collapsed(word: str) -> str:
 
 
 def deletions(word: str, most: int = 2) -> list[str]:
-    """All forms of the word, as it is and collapsed, with up to `most` letters deleted; at least one stays."""
-    forms = {word, collapsed(word)}
+    """All forms of the first letters of the word, as it is and collapsed, with up to `most` letters deleted; at least one stays."""
+    forms = {word[:PREFIX], collapsed(word)[:PREFIX]}
     return list({"".join(c for i, c in enumerate(w) if i not in out) for w in forms for n in range(min(most, max(0, len(w) - 1)) + 1) for out in combinations(range(len(w)), n)})
 
 
-def confusions(clean: str, seen: str) -> int:
-    """How many letters of `clean` were misread to get `seen`; 0 if confusion pairs don't explain it or both are equal."""
-    best = {(0): 0}
+def confusions(clean: str, seen: str) -> list[str]:
+    """The fewest confusion pairs by which `clean` was misread as `seen`, as "clean>seen"; none if they don't explain it or both are equal."""
+    best: dict[int, tuple[str, ...]] = {0: ()}
     for c in clean:
-        new: dict[int, int] = {}
-        for j, n in best.items():
-            for r, cost in ((c, 0), *((x, 1) for x in CONFUSIONS.get(c, ()))):
-                if seen.startswith(r, j) and n + cost < new.get(j + len(r), 99):
-                    new[j + len(r)] = n + cost
+        new: dict[int, tuple[str, ...]] = {}
+        for j, path in best.items():
+            for r in (c, *CONFUSIONS.get(c, ())):
+                if seen.startswith(r, j):
+                    longer = path if r == c else (*path, f"{c}>{r}")
+                    if j + len(r) not in new or len(longer) < len(new[j + len(r)]):
+                        new[j + len(r)] = longer
         best = new
-    return best.get(len(seen), 0)
+    return list(best.get(len(seen), ()))
 
 
 def skeleton(line: str) -> str:
@@ -75,7 +83,7 @@ def edges(text: str) -> list[tuple[int, str, bool, bool]]:
     out = {}
     for way in (lines, lines[::-1]):
         header = False
-        for i, s in way[:EDGE]:  # only an unbroken row from the very edge is layout: numbers and at most one other line
+        for i, s in way:  # only an unbroken row from the very edge is layout: numbers and at most one other line
             if NUMBER_LINE.match(s):
                 out[i] = (i, "", True, False)
                 continue
@@ -87,72 +95,83 @@ def edges(text: str) -> list[tuple[int, str, bool, bool]]:
     return [out[i] for i in sorted(out)]
 
 
-def page_words(text: str) -> list[str]:
-    """Lower-case words of a text, without those at a line-end hyphen."""
-    return [w.lower() for w in WORD.findall(HYPHEN.sub(" ", text)) if not w.isdigit()]
-
-
-def joined_words(text: str) -> list[str]:
-    return [w.lower() for w in WORD.findall(HYPHEN.sub(r"\1\2", text)) if not w.isdigit()]
-
-
-def following(text: str) -> list[str]:
-    """Each word with the one before it."""
-    words = joined_words(text)
-    return [f"{a} {b}" for a, b in zip(["", *words], words)]
-
-
 def prose(blocks: DataFrame) -> DataFrame:
     return blocks.where("block_type = 'prose' and text is not null and block_id is not null").select("block_id", "doc_id", "text").distinct()
 
 
-def page_documents(blocks: DataFrame) -> DataFrame:
-    """doc_id of documents that have a block whose lines are a page's; the flag is_scanned isn't relied on."""
-    page = F.udf(is_page, "boolean", useArrow=True)
-    return blocks.where("instr(text, '\n') > 0").where(page("text")).select("doc_id").distinct()
+def tokens(text: Column) -> Column:
+    """Lower-case words that aren't numbers."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: ~w.rlike(r"^\p{N}+$"))
 
 
-def lexicon(blocks: DataFrame) -> DataFrame:
-    """Rows (w, n): every word of the prose blocks with its count."""
+def worded(b: DataFrame) -> DataFrame:
+    """Rows (block_id, doc_id, words, plain): the words of a text with line-end hyphens joined, and without the words at such hyphens (null where there are none)."""
+    hyphen = r"(\p{L}+(?:[0-9][\p{L}\p{N}]*)?)[-‐‑\u00ad][ \t]*\n[ \t]*([\p{L}\p{N}]+)"
+    words, plain = tokens(F.regexp_replace("text", hyphen, "$1$2")), tokens(F.regexp_replace("text", hyphen, " "))
+    return b.select("block_id", "doc_id", words.alias("words"), F.when(F.col("text").rlike(hyphen), plain).alias("plain"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            count: dict[str, int] = {}
-            for t in f["text"]:
-                for w in page_words(t):
-                    count[w] = count.get(w, 0) + 1
-            yield pd.DataFrame({"w": list(count), "n": list(count.values())})
 
-    return blocks.select("text").mapInPandas(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+def lexicon(words: DataFrame) -> DataFrame:
+    """Rows (w, n): every word of the prose blocks with its count."""
+    return words.select(F.explode(F.coalesce("plain", "words")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
 
 
 def corrections(pages: DataFrame, lex: DataFrame) -> DataFrame:
-    """Rows (w, to, n_to, cost): misread words of the pages with what each may have been."""
-    seen = pages.select(F.explode(F.udf(lambda t: list(set(joined_words(t))), "array<string>", useArrow=True)("text")).alias("w")).distinct()
+    """Rows (w, n, to, n_to, pairs, weight): misread words of the pages with what each may have been.
+
+    pages: rows of worded(). weight: bits beyond the commonest confusion, by how often each pair is the only explanation of a word.
+    A corrected word is likelier by WEAK bits at least, so it is attested three times or more.
+    """
+    seen = pages.select(F.explode(F.array_distinct("words")).alias("w")).distinct()
     keys = F.udf(deletions, "array<string>", useArrow=True)
-    explained = F.udf(confusions, "int", useArrow=True)
-    words = written(seen.where("length(w) between 2 and 30").join(lex, "w", "left").select("w", F.coalesce("n", F.lit(1)).alias("n")), "p6-words")
+    explained = F.udf(confusions, "array<string>", useArrow=True)
+    words = written(seen.where("length(w) >= 2").join(lex, "w", "left").select("w", F.coalesce("n", F.lit(1)).alias("n")), "p6-words")
     probe = words.select("w", "n", F.explode(keys("w")).alias("k")).select("w", "n", F.xxhash64("k").alias("key"))
-    index = lex.where("n >= 3 and length(w) between 2 and 30 and not w rlike '[0-9]'").select(F.col("w").alias("to"), F.col("n").alias("n_to"), F.explode(keys("w")).alias("k")).select("to", "n_to", F.xxhash64("k").alias("key"))
-    enough = F.col("n_to") >= F.when(F.col("n_to") >= RARE, F.when(F.length("w") < 4, 6 * RATIO).otherwise(RATIO)).otherwise(RATIO_RARE) * F.col("n")
+    index = lex.where("n >= 3 and length(w) >= 2 and not w rlike '[0-9]'").select(F.col("w").alias("to"), F.col("n").alias("n_to"), F.explode(keys("w")).alias("k")).select("to", "n_to", F.xxhash64("k").alias("key"))
     # exploded keys are far larger than the engine's estimate of them: never broadcast
-    pairs = probe.hint("merge").join(index, "key").where((F.col("w") != F.col("to")) & enough).select("w", "n", "to", "n_to").distinct()
-    return pairs.withColumn("cost", explained("to", "w")).where("cost > 0")
+    pairs = probe.hint("merge").join(index, "key").where((F.col("w") != F.col("to")) & (F.col("n_to") >= 3 * F.col("n")) & (F.abs(F.length("w") - F.length("to")) <= 4)).select("w", "n", "to", "n_to").distinct()
+    fixes = written(pairs.withColumn("pairs", explained("to", "w")).where("size(pairs) > 0"), "p6-explained")
+    alone = fixes.groupBy("w").agg(F.count("*").alias("c"), F.first("pairs").alias("pairs")).where("c = 1 and size(pairs) = 1")
+    counts = {r.p: r["count"] for r in alone.groupBy(F.col("pairs")[0].alias("p")).count().collect()}  # a row a confusion pair: CONFUSIONS has under thirty
+    total = sum(counts.values()) + len(counts) + 1
+    bits = {f"{c}>{r}": math.log2(total / (counts.get(f"{c}>{r}", 0) + 1)) for c, rs in CONFUSIONS.items() for r in rs}
+    table, least = F.create_map(*[F.lit(x) for kv in bits.items() for x in kv]), min(bits.values())
+    weight = F.aggregate("pairs", F.lit(0.0), lambda acc, x: acc + table[x]) - least
+    return fixes.withColumn("weight", weight)
+
+
+def occurrences(pages: DataFrame) -> DataFrame:
+    """Rows (block_id, before, w, after) of every word of the pages; "" at either end."""
+    at = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    some = pages.select("block_id", "words", F.posexplode("words").alias("i", "w"))
+    return some.select("block_id", F.when(F.col("i") > 0, at(F.greatest(F.col("i") - 1, F.lit(0)))).otherwise("").alias("before"), "w", at(F.col("i") + 1).alias("after"))
 
 
-def repairs(pages: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Rows (w, before, to): the repair of a word after the word `before`.
+def word_pairs(words: DataFrame) -> DataFrame:
+    """Rows (pair, n): hashes of neighbouring words with their counts."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1)))
+    return words.where("size(words) > 1").select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
-    Of several candidates the one wins that follows the word before it most often, then the one of fewer confusions and
-    greater count; before "" stands for any other word.
+
+def judged(words: DataFrame, pages: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Rows (block_id, before, w, to): occurrences that are misread, with the repair that fits them best.
+
+    Frequencies and weight make the score of a correction. If the word pairs of the neighbours with the word as it
+    stands are clearly more frequent than with the correction, it stays; if those with the correction are more, WEAK bits will do.
     """
-    plain = fixes.groupBy("w").agg(F.max_by("to", F.struct(-F.col("cost"), F.col("n_to"), F.col("to"))).alias("to"), F.count("*").alias("c"))
-    some = fixes.join(plain.where("c > 1").select("w"), "w", "left_semi")
-    pairs = F.udf(following, "array<string>", useArrow=True)
-    two = pages.select(F.explode(pairs("text")).alias("p")).groupBy("p").count().select(F.split("p", " ")[0].alias("before"), F.split("p", " ")[1].alias("x"), "count")
-    near = two.join(some.select("w").distinct(), F.col("x") == F.col("w")).select("w", "before").join(some, "w")
-    best = near.join(two.withColumnRenamed("x", "to"), ["before", "to"]).groupBy("w", "before").agg(F.max_by("to", F.struct(F.col("count"), -F.col("cost"), F.col("n_to"), F.col("to"))).alias("to"))
-    return plain.select("w", F.lit("").alias("before"), "to").unionByName(best.where("before <> ''"))
+    occ = occurrences(pages).join(fixes, "w")
+    key = lambda a, b: F.xxhash64(a, b)
+    occ = written(occ.select("*", key("before", "w").alias("bw"), key("w", "after").alias("wa"), key("before", "to").alias("bt"), key("to", "after").alias("ta")), "p6-suspicious")
+    needed = occ.select(F.explode(F.array("bw", "wa", "bt", "ta")).alias("pair")).distinct()
+    two = written(word_pairs(words).join(needed, "pair", "left_semi"), "p6-pairs")
+    for c in ("bw", "wa", "bt", "ta"):
+        occ = occ.join(two.select(F.col("pair").alias(c), F.col("n").alias(f"n_{c}")), c, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    own, fixed = zero("n_bw") + zero("n_wa"), zero("n_bt") + zero("n_ta")
+    ratio = F.log2(F.col("n_to") / F.col("n"))
+    score = ratio - F.col("weight")
+    enough = (score >= F.when(F.length("w") < 4, SHORT).otherwise(STRONG)) & (own <= 2 * (fixed + 1)) | (ratio >= WEAK) & (F.length("w") >= 4) & (fixed >= own)
+    return occ.where(enough).groupBy("block_id", "before", "w").agg(F.max_by("to", F.struct(F.log2(fixed + 1) + score, F.col("to"))).alias("to"))
 
 
 EDGES = "array<struct<i:int,core:string,number:boolean,beside:boolean,sk:string>>"
@@ -167,17 +186,22 @@ def layout(pages: DataFrame) -> DataFrame:
 
     e = written(pages.select("block_id", "doc_id", F.explode(found("text")).alias("e")).select("block_id", "doc_id", "e.*"), "p6-edges")
     again = e.where("length(sk) >= 8").groupBy("doc_id", "sk").agg(F.min("block_id").alias("lo"), F.max("block_id").alias("hi")).where("lo < hi").select("doc_id", "sk", F.lit(True).alias("again"))
-    # a line that recurs nowhere in its document is a header too if it ends as headers of many documents do
+    # a line that recurs nowhere in its document is a header too if most lines that end so are headers, in other documents
     tail = F.substring("sk", -12, 12)
-    tails = e.join(again, ["doc_id", "sk"]).groupBy(tail.alias("tail")).agg(F.countDistinct("doc_id").alias("d")).where("d >= 3").select("tail", F.lit(True).alias("usual"))
+    lines = e.where("length(sk) >= 8").join(again, ["doc_id", "sk"], "left").groupBy(tail.alias("tail"))
+    tails = lines.agg(F.avg(F.coalesce("again", F.lit(False)).cast("int")).alias("share"), F.countDistinct("doc_id").alias("d")).where("share >= 0.5 and d >= 2").select("tail", F.lit(True).alias("usual"))
     marked = e.withColumn("tail", tail).join(again, ["doc_id", "sk"], "left").join(tails, "tail", "left")
     header = F.coalesce(F.col("again"), F.lit(False)) | F.coalesce(F.col("usual"), F.lit(False)) & ~F.col("core").rlike(r"[.;:,]$")
     return marked.select("block_id", "i", header.alias("header"), (F.col("number") | header & F.col("beside")).alias("number")).where("header or number")
 
 
-def pages_of(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def pages_of(blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(words of all prose blocks, words and texts of page blocks); documents with a block whose lines are a page's count as scanned, the flag is_scanned isn't relied on."""
     b = written(prose(blocks), "p6-prose")
-    return b, written(b.join(page_documents(b), "doc_id", "left_semi").select("block_id", "doc_id", "text"), "p6-pages")
+    scanned = b.where(is_page(F.col("text"))).select("doc_id").distinct()
+    pages = written(b.join(scanned, "doc_id", "left_semi").select("block_id", "doc_id", "text"), "p6-pages")
+    words = written(worded(b).join(scanned.withColumn("scanned", F.lit(True)), "doc_id", "left"), "p6-worded")
+    return words, pages, words.where("scanned")
 
 
 def hyphen_pairs(pages: DataFrame) -> DataFrame:
@@ -187,13 +211,16 @@ def hyphen_pairs(pages: DataFrame) -> DataFrame:
 
 
 def splits(pages: DataFrame, lex: DataFrame) -> DataFrame:
-    """Rows (block_id, a, b) of words that were split: joined they are attested, or a part is no word of its own."""
+    """Rows (block_id, a, b) of words that were split: joined they are attested, or a part is no word of its own.
+
+    A part is a word of its own if it is attested three times as often as the two parts meet at a line end.
+    """
     h = hyphen_pairs(pages)
-    known = lex.where("n >= 3")
-    kinds = h.select("a", "b").distinct()
-    n = lambda c: known.select(F.col("w").alias(c), F.col("n").alias(f"n_{c}"))
-    kinds = kinds.withColumn("j", F.concat("a", "b")).join(lex.select(F.col("w").alias("j"), F.col("n").alias("n_j")), "j", "left").join(n("a"), "a", "left").join(n("b"), "b", "left")
-    return h.join(kinds.where("n_j is not null or n_a is null or n_b is null").select("a", "b"), ["a", "b"])
+    kinds = h.groupBy("a", "b").agg(F.count("*").alias("h"))
+    n = lambda c: lex.select(F.col("w").alias(c), F.col("n").alias(f"n_{c}"))
+    kinds = kinds.withColumn("j", F.concat("a", "b")).join(n("j"), "j", "left").join(n("a"), "a", "left").join(n("b"), "b", "left")
+    own = lambda c: F.coalesce(F.col(f"n_{c}"), F.lit(0)) >= 3 * F.col("h")
+    return h.join(kinds.where(F.col("n_j").isNotNull() | ~own("a") | ~own("b")).select("a", "b"), ["a", "b"])
 
 
 def noise(blocks: DataFrame) -> DataFrame:
@@ -202,13 +229,12 @@ def noise(blocks: DataFrame) -> DataFrame:
     Null and empty texts and other block types have none; repeated rows count once. Documents count as scanned if their
     lines are a page's.
     """
-    b, pages = pages_of(blocks)
-    lex = written(lexicon(b), "p6-lexicon")
-    fixes = written(corrections(pages, lex), "p6-fixes")
+    words, pages, ours = pages_of(blocks)
+    lex = written(lexicon(words), "p6-lexicon")
+    misread = judged(words, ours, corrections(ours, lex)).select("block_id").distinct()
     marks = written(layout(pages), "p6-layout")
-    words = pages.select("block_id", F.explode(F.udf(lambda t: list(set(joined_words(t))), "array<string>", useArrow=True)("text")).alias("w"))
     kind = lambda d, k: d.select("block_id", F.lit(k).alias("noise_kind"))
-    return (kind(splits(pages, lex), "hyphenation").union(kind(words.join(fixes.select("w").distinct(), "w", "left_semi"), "characters"))
+    return (kind(splits(pages, lex), "hyphenation").union(kind(misread, "characters"))
             .union(kind(marks.where("header"), "running_header")).union(kind(marks.where("number"), "page_number"))).distinct()
 
 
@@ -217,16 +243,12 @@ def repaired(blocks: DataFrame) -> DataFrame:
 
     continues: the last paragraph goes on in the next page block. Texts of other documents are left as they are.
     """
-    b, pages = pages_of(blocks)
-    lex = written(lexicon(b), "p6-lexicon")
-    fixes = written(corrections(pages, lex), "p6-fixes")
-    best = written(repairs(pages, fixes), "p6-repairs")
-    gone = layout(pages).groupBy("block_id").agg(F.collect_set("i").alias("gone"))  # at most 2 * EDGE lines of a page
+    words, pages, ours = pages_of(blocks)
+    lex = written(lexicon(words), "p6-lexicon")
+    best = judged(words, ours, corrections(ours, lex))
+    gone = layout(pages).groupBy("block_id").agg(F.collect_set("i").alias("gone"))  # at most a page's lines
     whole = splits(pages, lex).groupBy("block_id").agg(F.collect_set(F.concat_ws(" ", "a", "b")).alias("whole"))
-    pairs = F.udf(lambda t: sorted(set(following(t))), "array<string>", useArrow=True)
-    each = pages.select("block_id", F.explode(pairs("text")).alias("p")).select("block_id", F.split("p", " ")[0].alias("before"), F.split("p", " ")[1].alias("w"))
-    near = each.join(best.where("before <> ''"), ["w", "before"], "left").join(best.where("before = ''").select("w", F.col("to").alias("usual")), "w")
-    done = near.groupBy("block_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "before", "w"), F.coalesce("to", "usual")))).alias("fix"))
+    done = best.groupBy("block_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "before", "w"), "to"))).alias("fix"))  # at most a page's words
 
     @F.pandas_udf("paragraphs array<string>, continues boolean")
     def mend(texts: pd.Series, gone: pd.Series, whole: pd.Series, fix: pd.Series) -> pd.DataFrame:
@@ -244,7 +266,7 @@ def mended(text: str, gone: set[int], whole: set[str], fix: dict[str, str]) -> t
 
     def word(m: re.Match) -> str:
         w = m[0].lower()
-        new = fix.get(f"{before[0]} {w}".strip() if before[0] else w, fix.get(w))
+        new = fix.get(f"{before[0]} {w}")
         if not w.isdigit():
             before[0] = w
         return m[0] if new is None else new.upper() if m[0].isupper() and len(w) > 1 else new.title() if m[0][0].isupper() else new

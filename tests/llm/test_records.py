@@ -141,16 +141,24 @@ def test_matches(spark):
     assert individuals.matches(spark.createDataFrame([], CONTACT))[0].count() == 0
 
 
-def test_skyline_drops_only_dominated(spark):
+def test_skyline_and_layers_equal_brute_force(spark):
     rng = random.Random(9)
-    rows = [(rng.randrange(3), rng.randrange(1, 4), rng.randrange(20), float(rng.randrange(5))) for _ in range(300)] + [(None, 1, 1, 1.0)]
-    d = spark.createDataFrame(rows, "g int, a int, b int, c double").coalesce(1)
-    got = [tuple(r) for r in survivors.skyline(d, ["g"], ["a", "b", "c"]).collect()]
+    rows = [(f"g{rng.randrange(3)}", rng.randrange(1, 4), rng.randrange(2), float(rng.randrange(20)), float(rng.randrange(5))) for _ in range(300)]
+    d = spark.createDataFrame(rows, "g string, a int, e int, b double, c double").repartition(5)
+    got = [tuple(r) for r in survivors.skyline(d, "g", ["a", "e"], ["b", "c"]).collect()]
     beats = lambda x, y: x[0] == y[0] and all(p >= q for p, q in zip(x[1:], y[1:])) and x != y
     want = [r for r in rows if not any(beats(o, r) for o in rows)]
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_dominance_layers(spark):
+    t = lambda day: datetime(2024, 1, day)
+    rows = [("g", "top", "Ann Lee", "a@x.org", None, t(5), 0.9), ("g", "old", "Ann Lee", "a@x.org", None, t(4), 0.8), ("g", "older", "Ann Lee", None, None, t(3), 0.7), ("g", "own", None, None, "+12065553618", t(1), 0.1), ("g", "none", None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "group_id string, subject_id string, canonical_name string, canonical_email string, canonical_phone string, updated_at timestamp, merge_confidence double")
+    assert {r.subject_id: r.layer for r in survivors.dominance_layers(d, 2).collect()} == {"top": 1, "own": 1, "old": 2, "none": 3, "older": 3}
+    assert survivors.dominance_layers(d.where("false"), 2).count() == 0
+
+
 def test_survivors(spark):
     t = lambda day: datetime(2024, 1, day)
     rows = [("g1", "s1", "Ann Marie Lee", "ann@x", "+12065553618", t(1), 0.1), ("g1", "s2", "Ann Lee", "a@x.org", "+1206555", t(2), 0.2), ("g1", "s3", "Unknown", "b@x.org", "0000000000", t(3), None), ("g1", "s3", "Unknown", "b@x.org", "0000000000", t(3), None),

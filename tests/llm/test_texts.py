@@ -157,7 +157,38 @@ def test_history_appends(spark, tmp_path):
     assert h.add(b((1, 1, base), (2, 1, "other words here"))).count() == 0
     assert {tuple(r) for r in h.add(b((3, 2, base.upper()), (4, 2, None))).collect()} == {(1, 3)}
     assert {tuple(r) for r in h.add(b((5, 3, base + " copy"), (6, 3, "quite new text"))).collect()} == {(1, 5)}
-    assert h.index().count() == 5
+    assert h.index().count() == 4  # a row a content: the copy is no new one
+
+
+def test_history_reopens_and_takes_a_batch_once(spark, tmp_path):
+    rng = random.Random(2)
+    texts = [" ".join(family(rng)) for _ in range(6)]
+    b = lambda *rows: spark.createDataFrame([(*r, "x") for r in rows], "doc_id int, run_seq int, text string, content string")
+    path = f"file://{tmp_path}/h"
+    history.History(spark, path, 4).add(b((1, 1, texts[0]), (2, 1, texts[1])), "one")
+    again = history.History(spark, path)
+    assert again.buckets == 4
+    second = b((3, 2, texts[0] + " end"), (4, 2, texts[2]), (4, 2, texts[2]))
+    assert {tuple(r) for r in again.add(second, "two").collect()} == {(1, 3)}
+    # the same batch again: the same answer, nothing stored twice; a later batch meets it once
+    assert {tuple(r) for r in history.History(spark, path).add(second, "two").collect()} == {(1, 3)}
+    third = history.History(spark, path)
+    assert third.index().count() == 4 and len(third.log()) == 2
+    assert {tuple(r) for r in third.add(b((5, 3, texts[2].upper()), (6, 3, texts[5])), "three").collect()} == {(4, 5)}
+
+
+def test_history_is_the_same_run_by_run_and_at_once(spark):
+    rng = random.Random(8)
+    base = [family(rng, 40) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = f"y{rng.randrange(10**6)}"
+        rows.append((i, i // 12, " ".join(w)))
+    index = history.fingerprints(spark.createDataFrame(rows, "doc_id int, run_seq int, text string")).cache()
+    one, all_ = ({tuple(r) for r in history.repeats(index, n, history.History(spark, None, 4)).collect()} for n in (4, 100))
+    assert one == all_ and len(one) > 80
 
 
 # ---- personal values
@@ -181,6 +212,25 @@ def test_no_values(text):
     assert personal.values(text, personal.Model([])) == []
 
 
+def test_short_surnames_and_joined_terms(spark):
+    first = ["Wanda", "Ivan", "Leila", "John"]
+    people = [f"{r} {g} {s}, case handler." for g in first for s in ("Marlcombe", "Gormwick", "Smith", "Lee", "Brown") for r in ("Signed,", "Patient", "Dear")] * 2 + ["The Smith file was closed. We met in Boston and in Dover."] * 3
+    texts = ["Patient John Smith called.", "Dear Ms. Brown, thank you.", "Signed, John Lee", "Contact J. Lee today.", "Dear Ivan Quay, hello", "", None, "Send it to Wanda in Dover."]
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts + people)], "log_id int, text string, kind string")
+    own = lambda found: {(r.log_id, texts[r.log_id][r.start_pos : r.end_pos]) for r in found.where(f"log_id < {len(texts)}").collect()}
+    want = {(0, "John Smith"), (1, "Brown"), (2, "John Lee"), (3, "J. Lee"), (4, "Ivan Quay"), (7, "Wanda")}
+    assert own(personal.find(d, "log_id")) == want
+    assert own(personal.find(d, "log_id", most=0)) == want  # each text joined with its own terms
+    a, b = ({(r.log_id, r.safe_text) for r in personal.sanitised(d, "log_id", most=m).collect()} for m in (0, 10**6))
+    assert a == b and (6, None) in a and (0, "Patient <PERSON_NAME> called.") in a
+
+
+def test_cue_of_numbers_is_learned(spark):
+    rows = [f"Steuernummer {i}23-45-678{i % 10} liegt vor." for i in range(9)] + ["Steuernummer 123456789 liegt vor. Regal 123456789 ist leer."] + [f"Regal {i}2345 ist leer." for i in range(9)]
+    model = personal.corpus_model(spark.createDataFrame([(r,) for r in rows], "text string"))
+    assert [k for _, _, k in personal.values(rows[9], model)] == ["id_number"] and personal.values(rows[9], model)[0][0] == 13
+
+
 def test_both_tables_are_sanitised(spark, tmp_path):
     spark.createDataFrame([(7, "Write to a@b.test today."), (8, None), (7, "Write to a@b.test today.")], "block_id long, text string").write.parquet(f"{tmp_path}/extracted_blocks.parquet")
     spark.createDataFrame([("k", "Call (206) 555-3618."), ("n", None)], "log_id string, prompt_text string").write.parquet(f"{tmp_path}/llm_call_logs.parquet")
@@ -193,7 +243,7 @@ def test_both_tables_are_sanitised(spark, tmp_path):
 
 @pytest.mark.parametrize(("clean", "seen", "n"), [("inform", "inforrn", 1), ("and", "ancl", 1), ("number", "niimber", 1), ("office", "of1cc", 0), ("select", "sclecf", 2), ("same", "same", 0), ("tall", "ta11", 2)])
 def test_confusions(clean, seen, n):
-    assert scans.confusions(clean, seen) == n
+    assert len(scans.confusions(clean, seen)) == n
 
 
 @settings(max_examples=80, deadline=None)
@@ -207,6 +257,22 @@ def test_deletions_meet(word, rng):
     assert set(scans.deletions(word)) & set(scans.deletions("".join(hurt)))
 
 
+def test_misreadings_are_judged_by_context_at_any_size(spark):
+    line = "the training coordinator must mark the folder as restricted now"
+    page = lambda i, t: (i, i, "prose", "\n".join([line] * 5 + [t]))
+    for times in (1, 4):
+        rows = [page(i, f"the cat was fed by hand {i}") for i in range(6 * times)] + [page(1000 + i, f"ask ted about it {i}") for i in range(30 * times)] + [page(2000 + i, "the tralning coordinator") for i in range(times)]
+        d = spark.createDataFrame(rows, "block_id long, doc_id long, block_type string, text string")
+        assert {r.block_id for r in scans.noise(d).where("noise_kind = 'characters'").collect()} == {2000 + i for i in range(times)}
+
+
+def test_long_words_are_repaired(spark):
+    word = "donaudampfschifffahrtsgesellschaftskapitan"
+    line = f"the {word} must mark the folder now"
+    d = spark.createDataFrame([(1, 1, "prose", "\n".join([line] * 9)), (2, 1, "prose", "\n".join([line] * 5 + [line.replace("kapitan", "kapltan")]))], "block_id long, doc_id long, block_type string, text string")
+    assert {r.block_id for r in scans.noise(d).where("noise_kind = 'characters'").collect()} == {2}
+
+
 def test_noise_and_repair(spark):
     line = "the training coordinator must mark the folder as restricted now"
     body = "\n".join([line] * 6)
