@@ -6,9 +6,10 @@ import re
 import unicodedata
 from functools import lru_cache
 
+from ..functions.normalise import STATES as US_STATES
 from .names import near
 
-# Abbreviations of street kinds, directions, units, states and countries.
+# Abbreviations of street kinds, directions, units and countries.
 KINDS = {k: v for v, ks in {
     "court": "ct court crt", "road": "rd road", "lane": "ln lane la", "place": "pl place plc", "drive": "dr drive drv", "avenue": "ave avenue av aven",
     "parkway": "pkwy parkway pky parkwy", "terrace": "ter terrace terr", "street": "st street str strasse straße", "boulevard": "blvd boulevard boul bvd",
@@ -16,11 +17,7 @@ KINDS = {k: v for v, ks in {
 }.items() for k in ks.split()}
 DIRECTIONS = {k: v for v, ks in {"n": "n no north nord", "s": "s so south", "e": "e ea east ost", "w": "w we west", "ne": "ne northeast", "nw": "nw northwest", "se": "se southeast", "sw": "sw southwest"}.items() for k in ks.split()}
 UNITS = {"apt", "apartment", "unit", "ste", "suite", "flat", "whg", "wohnung", "rm", "room", "appt", "app"}
-STATES = dict(x.split(":") for x in """alabama:al alaska:ak arizona:az arkansas:ar california:ca colorado:co connecticut:ct delaware:de florida:fl georgia:ga hawaii:hi idaho:id
-illinois:il indiana:in iowa:ia kansas:ks kentucky:ky louisiana:la maine:me maryland:md massachusetts:ma michigan:mi minnesota:mn mississippi:ms missouri:mo montana:mt
-nebraska:ne nevada:nv new_hampshire:nh new_jersey:nj new_mexico:nm new_york:ny north_carolina:nc north_dakota:nd ohio:oh oklahoma:ok oregon:or pennsylvania:pa rhode_island:ri
-south_carolina:sc south_dakota:sd tennessee:tn texas:tx utah:ut vermont:vt virginia:va washington:wa west_virginia:wv wisconsin:wi wyoming:wy""".split())
-STATES = {k.replace("_", " "): v for k, v in STATES.items()}
+STATES = {k: v.lower() for k, v in US_STATES.items()}
 COUNTRIES = {k: v for v, ks in {
     "us": ["us", "usa", "united states", "united states of america", "u s a", "u s", "america"], "gb": ["gb", "uk", "united kingdom", "england", "great britain", "u k", "scotland", "wales"],
     "de": ["de", "d", "germany", "deutschland"],

@@ -1,11 +1,12 @@
 """Problem 1: addresses that denote the same location.
 
-A gazetteer is built from the addresses themselves: spellings of towns are clustered within a postal code and a region, and
-spellings of streets within a town, a slip leading to the better attested spelling; each (town, street, kind,
-direction) is an entry with an identifier. Every address is then resolved by a beam search over the entries: first
-its town (its own or those of its postal code), then the entry, with missing kind or direction filled from
-entries that hold its number and unit; the best few hypotheses are kept and the address goes to the best one,
-if it beats the second. Addresses that share the identifier, the number and the unit are one location.
+A gazetteer is built from the addresses themselves: spellings of towns are clustered within a postal code and within one set of
+premises, spellings of streets within a town, a slip leading to the better attested spelling; each (town, street, kind,
+direction) is an entry with an identifier, and the numbers and units known on it are its premises. Every address is then resolved by a
+beam search: first its town (its own, or those of its postal code, or those where its premises are known), then the entry,
+with a missing kind or direction filled from entries that have its premises. After each step, hypotheses that are far
+less likely than the best of their address are given up; the address goes to the best one left, unless another of the same
+town contradicts it. Addresses that share the identifier, the number and the unit are one location.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import types as T
 
 from .address_parts import parse
 from .common import pairs_within, read, written
-from .names import leads, segment_pairs
+from .names import FAR, RATIO, leads
 
-BEAM = 4
+BEAM = 7.0  # nats by which a hypothesis may be less likely than the best one of its address
+UNKNOWN = -10.0  # nats of a hypothesis that nothing attests
 PARTS = ["number", "unit", "name", "kind", "direction", "town", "state", "code", "country"]
 FIELDS = ["street", "city", "state", "zip", "country"]
+STREET = ["town", "name", "kind", "direction"]
 
 
 def parts(rows: DataFrame, key: str = "key", address: str = "address") -> DataFrame:
@@ -40,62 +43,80 @@ def parts(rows: DataFrame, key: str = "key", address: str = "address") -> DataFr
     return rows.where(F.col(key).isNotNull()).select(key, *[F.col(f"{address}.{f}").alias(f) for f in FIELDS]).mapInPandas(run, schema)
 
 
-def _settled(rows: DataFrame, by: list[str], column: str) -> DataFrame:
-    """rows with slips in `column` led to the better attested spelling within the `by` group."""
-    counts = rows.where(F.col(column) != "").groupBy(*by, F.col(column).alias("s")).agg(F.countDistinct("key").alias("n"))
-    led = leads(counts, by).select(*by, F.col("s").alias(column), F.col("t").alias("_to"))
+def _settled(rows: DataFrame, by: list[str], column: str, ratio: int = RATIO, far: int = FAR) -> DataFrame:
+    """rows with slips in `column` led to the better attested spelling within the `by` group; only rows that are `sure` attest."""
+    counts = rows.where(F.col(column) != "").groupBy(*by, F.col(column).alias("s")).agg(F.countDistinct(F.when(F.col("sure"), F.col("key"))).alias("n"))
+    led = leads(counts, by, ratio, far).select(*by, F.col("s").alias(column), F.col("t").alias("_to"))
     return rows.join(led, [*by, column], "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
 
-def _closest(rows: DataFrame, by: list[str], column: str) -> DataFrame:
-    """rows with spellings that differ by up to two slips within one set of premises brought together."""
-    counts = rows.where(F.col(column) != "").groupBy(*by, F.col(column).alias("s")).agg(F.countDistinct("key").alias("n"))
-    pairs = segment_pairs(counts.where("length(s) >= 7"), by, 2)
-    n = lambda a, b: counts.select(*by, F.col("s").alias(a), F.col("n").alias(b))
-    led = pairs.join(n("x", "nx"), [*by, "x"]).join(n("y", "ny"), [*by, "y"]).where("ny > nx or ny = nx and y > x").groupBy(*by, F.col("x").alias(column)).agg(F.max_by("y", F.struct("ny", "y")).alias("_to"))
-    return rows.join(led, [*by, column], "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+def pruned(hypotheses: DataFrame, beam: float = BEAM) -> DataFrame:
+    """Hypotheses (key, score, ...) that are at most `beam` less likely than the best of their key."""
+    return hypotheses.withColumn("_best", F.max("score").over(W.partitionBy("key"))).where(F.col("score") >= F.col("_best") - beam).drop("_best")
+
+
+def localities(p: DataFrame) -> DataFrame:
+    """Addresses with settled towns: spellings within a postal code, and within one set of premises."""
+    p = p.withColumn("sure", F.lit(True))
+    coded = _settled(p.where("code <> ''"), ["code"], "town")
+    p = written(coded.unionByName(p.where("code = ''")), "p1-codes")
+    return written(_settled(p, ["number", "unit", "name"], "town", 1), "p1-towns")
+
+
+def supposed_towns(p: DataFrame) -> DataFrame:
+    """Addresses with a hypothesis a town: their own, else those of their postal code or those where their premises are known.
 
+    Of a code the best attested town and all towns in which the premises are known are tried, so no town is out of reach.
+    """
+    named = p.where("town <> ''").withColumn("score", F.lit(0.0))
+    there = named.groupBy("code", "number", "unit", "name", "direction", F.col("town").alias("t")).agg(F.countDistinct("key").alias("n"))
+    usual = named.where("code <> ''").groupBy("code", F.col("town").alias("t")).agg(F.countDistinct("key").alias("n")).groupBy("code").agg(F.max_by("t", F.struct("n", "t")).alias("t"))
+    lost = p.where("town = ''").withColumn("sure", F.lit(False))
+    place = ["number", "unit", "name", "direction"]
+    own = lost.where("code <> ''").join(there.where("code <> ''").select("code", *place, "t", F.log("n").alias("score")), ["code", *place])
+    first = lost.where("code <> ''").join(usual, "code").withColumn("score", F.lit(-1.0))
+    known = first.select("key").distinct()
+    any_ = lost.join(known, "key", "left_anti").join(there.groupBy(*place, "t").agg(F.log(F.sum("n")).alias("score")), place, "left")
+    any_ = any_.withColumn("t", F.coalesce("t", F.when(F.col("code") != "", F.concat(F.lit("#"), "code")), F.concat(F.lit("?"), "key"))).fillna(0.0, ["score"])
+    cols = ["key", *[c for c in PARTS if c != "town"], "t", "sure", "score"]
+    lost = own.select(cols).unionByName(first.select(cols)).unionByName(any_.select(cols)).groupBy(*[c for c in cols if c != "score"]).agg(F.max("score").alias("score")).withColumnRenamed("t", "town")
+    return pruned(named.select(lost.columns).unionByName(lost))
+
+
+def gazetteer(hypotheses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hypotheses with settled street names, premises): premises has rows (entry, town, name, kind, direction, number, unit, n).
+
+    Towns that are only supposed learn the spellings of the named ones, never the reverse.
+    """
+    h = written(_settled(hypotheses, ["town"], "name"), "p1-streets")
+    h = written(_settled(h, ["town", "number", "unit", "direction"], "name", 1, 7), "p1-premises")
+    known = h.where("kind <> ''").groupBy(*STREET, "number", "unit").agg(F.countDistinct("key").alias("n"))
+    return h, written(known.withColumn("entry", F.xxhash64(*STREET)), "p1-gazetteer")
 
-def locations(rows: DataFrame, key: str = "key", address: str = "address", beam: int = BEAM) -> DataFrame:
+
+def locations(rows: DataFrame, key: str = "key", address: str = "address", beam: float = BEAM) -> DataFrame:
     """Rows (key, location) of every address that can be placed.
 
     Null addresses and those without a street name are left out. Repeated rows of a key count once. An address
-    whose town is neither given nor known from its postal code, or whose missing kind of street could be one of several,
-    is a location of its own.
+    whose town is neither given nor known from its postal code or premises, or whose missing kind of street could be one of
+    several, is a location of its own.
     """
     p = written(parts(rows, key, address).withColumnRenamed(key, "key").distinct(), "p1-parts")
-    # localities: spellings of towns within a postal code, and within one set of premises
-    coded = _settled(p.where("code <> ''"), ["code"], "town")
-    p = written(coded.unionByName(p.where("code = ''")), "p1-codes")
-    p = written(_settled(p, ["number", "unit", "name"], "town"), "p1-towns")
-    by_code = p.where("code <> '' and town <> ''").groupBy("code", "town").agg(F.countDistinct("key").alias("n"))
-    ranked = by_code.withColumn("r", F.row_number().over(W.partitionBy("code").orderBy(F.desc("n"), "town"))).where(F.col("r") <= beam).select("code", F.col("town").alias("t"), F.log(F.col("n")).alias("lt"))
-    named = p.where("town <> ''").withColumn("lt", F.lit(0.0))
-    placed = p.where("town = '' and code <> ''").join(ranked, "code").withColumn("town", F.col("t")).drop("t")
-    # neither: the towns where these premises are known, or else the code in place of a town
-    lost = p.where("town = ''").join(ranked.select("code").distinct(), "code", "left_anti")
-    where_known = named.groupBy("number", "unit", "name", "direction", "town").agg(F.log(F.countDistinct("key")).alias("lw")).withColumnRenamed("town", "t")
-    lost = lost.join(where_known, ["number", "unit", "name", "direction"], "left").select(
-        *[F.coalesce("t", F.when(F.col("code") != "", F.concat(F.lit("#"), "code")), F.concat(F.lit("?"), "key")).alias("town") if c == "town" else F.col(c) for c in ["key", *PARTS]], F.coalesce("lw", F.lit(0.0)).alias("lt"))
-    hyp = written(named.unionByName(placed).unionByName(lost), "p1-hypotheses")
-    # the spellings of street names within each town; hypothetical towns learn from the named ones, never the reverse
-    counted = written(_settled(hyp, ["town"], "name"), "p1-streets")
-    counted = written(_closest(counted, ["town", "number", "unit", "direction"], "name"), "p1-premises")
-    counted = written(_closest(counted, ["name", "kind", "direction", "number", "unit"], "town"), "p1-settled")
-    # entries, with the premises known on each
-    street = ["town", "name", "kind", "direction"]
-    premises = counted.where("kind <> ''").groupBy(*street, "number", "unit").agg(F.countDistinct("key").alias("n"))
-    full = counted.where("kind <> ''").select("key", *street, "number", "unit", F.col("lt").alias("score"))
-    bare = counted.where("kind = ''").drop("kind").alias("c").join(
-        premises.alias("e"), F.expr("c.town = e.town and c.name = e.name and c.number = e.number and c.unit = e.unit and c.direction = e.direction"), "left"
-    ).select("c.key", "c.town", "c.name", F.coalesce("e.kind", F.lit("")).alias("kind"), "c.direction", "c.number", "c.unit", (F.col("lt") + F.coalesce(F.log(F.col("e.n")), F.lit(-10.0))).alias("score"), F.col("e.kind").isNotNull().alias("filled"))
-    # a town that was only supposed counts for more where the premises are known there
-    known = premises.groupBy(*street, "number", "unit").agg(F.sum("n").alias("m"))
-    scored = full.withColumn("filled", F.lit(False)).unionByName(bare).join(known, [*street, "number", "unit"], "left").withColumn("score", F.col("score") + F.log1p(F.coalesce("m", F.lit(0))))
-    w = W.partitionBy("key").orderBy(F.desc("score"), *street)
-    best = scored.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("kind").over(w)).withColumn("next_town", F.lead("town").over(w)).where("r = 1")
-    unsure = F.col("filled") & F.col("next").isNotNull() & (F.col("next_town") == F.col("town")) & (F.col("next") != F.col("kind"))
-    return best.select(F.col("key").alias(key), F.concat_ws("|", *street, "number", "unit", F.when(unsure, F.col("key"))).alias("location"))
+    h, premises = gazetteer(written(supposed_towns(localities(p)), "p1-supposed"))
+    own = ["key", "number", "unit"]
+    # the entry that the address itself writes out, and those that have its premises and contradict nothing
+    written_out = h.withColumn("entry", F.xxhash64(*STREET)).select(*own, "entry", "town", "kind", "direction", (F.col("score") + F.when(F.col("kind") != "", 0.0).otherwise(UNKNOWN)).alias("score"), F.lit(False).alias("filled"))
+    gaps = h.where("kind = '' or direction = ''").alias("c")
+    fits = F.expr("c.town = e.town and c.name = e.name and c.number = e.number and c.unit = e.unit and c.number <> '' and (c.kind = '' or c.kind = e.kind) and (c.direction = '' or c.direction = e.direction) and not (c.kind = e.kind and c.direction = e.direction)")
+    filled = gaps.join(premises.alias("e"), fits).select(*[f"c.{x}" for x in own], "e.entry", "e.town", "e.kind", "e.direction", (F.col("c.score") + F.when(F.col("c.direction") == F.col("e.direction"), 0.0).otherwise(-1.0) + F.log("e.n")).alias("score"), F.lit(True).alias("filled"))
+    # what is known there counts for more
+    attested = premises.select("entry", "number", "unit", F.log1p("n").alias("known"))
+    tried = written_out.unionByName(filled).join(attested, ["entry", "number", "unit"], "left").withColumn("score", F.col("score") + F.coalesce("known", F.lit(0.0))).drop("known")
+    tried = pruned(tried, beam)
+    w = W.partitionBy("key").orderBy(F.desc("score"), "town", "kind", "direction", "entry")
+    ranked = tried.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead(F.struct("town", "kind", "direction", "filled")).over(w)).where("r = 1")
+    unsure = F.col("filled") & F.col("next").isNotNull() & (F.col("next.town") == F.col("town")) & (F.col("next.kind") != "") & ((F.col("next.kind") != F.col("kind")) | (F.col("next.direction") != F.col("direction")) & F.col("next.filled"))
+    return ranked.select(F.col("key").alias(key), F.concat_ws("|", "entry", "number", "unit", F.when(unsure, F.col("key"))).alias("location"))
 
 
 def all_addresses(spark, sf_dir) -> DataFrame:
@@ -114,5 +135,12 @@ def p1_locations(spark, sf_dir) -> DataFrame:
     return locations(all_addresses(spark, sf_dir)).groupBy("location").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
 
-QUERIES = {"p1_found": p1_found, "p1_locations": p1_locations}
+def p1_gazetteer(spark, sf_dir) -> DataFrame:
+    """The entries of the gazetteer by kind of street: how many there are, and how many premises they have."""
+    p = written(parts(all_addresses(spark, sf_dir)).distinct(), "p1-parts")
+    premises = gazetteer(written(supposed_towns(localities(p)), "p1-supposed"))[1]
+    return premises.groupBy("kind").agg(F.countDistinct("entry").alias("n_entries"), F.count("*").alias("n_premises"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_locations": p1_locations, "p1_gazetteer": p1_gazetteer}
 SQL: dict = {}

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import codepoints as cp
@@ -242,5 +243,11 @@ def p8_found(spark, sf_dir) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p8_found": p8_found}
+def p8_report(spark, sf_dir) -> DataFrame:
+    """Every item with the number of documents that it leaked into."""
+    found = p8_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    return read(spark, sf_dir, "eval_items").select("item_id", "suite").distinct().join(found, "item_id", "left").fillna(0, ["n_documents"])
+
+
+QUERIES = {"p8_found": p8_found, "p8_report": p8_report}
 SQL: dict = {}

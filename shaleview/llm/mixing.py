@@ -101,10 +101,14 @@ def limited_weights(shares: np.ndarray, targets: np.ndarray, most: np.ndarray, t
     return w(x), x, min(total, room(x))
 
 
-def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", total_tokens: float | None = None,
-            tokenizer: str = TOKENIZER, pattern: str = PATTERN, blocks: int = BLOCKS, seed: int = 17) -> DataFrame:
+def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", total_tokens: float | str | None = None,
+            tokenizer: str = TOKENIZER, pattern: str = PATTERN, blocks: int = BLOCKS, seed: int = 17, by_entropy: bool = False) -> DataFrame:
     """Rows (key, source, n_tokens, repeats) of the chosen documents.
 
+    total_tokens: the size wanted; "all" is that of all documents that may be chosen; None is the largest at which every source
+    reaches its target exactly, for which the exponent is 0. A larger size is reached by the least exponent that keeps the
+    repetition limits. by_entropy: token shares are exponentiated to the entropy of the targets instead.
+
     Documents of a null source, of one without a target, and without tokens aren't chosen; rows of a repeated key count once.
     Each source misses its budget by less than one document. A source with a target but no documents gives its weight to the others.
     """
@@ -117,7 +121,10 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: st
     t = targets.groupBy(source).agg(F.max("target_weight").alias("weight"), F.max("max_repeats").alias("most")).toPandas()
     have = per_block.groupby(source)["t"].sum()
     size = np.array([float(have.get(s, 0)) for s in t[source]])
-    weights, _, total = limited_weights(size / max(size.sum(), 1), t["weight"].to_numpy(float), size * t["most"].to_numpy(float), total_tokens)
+    shares, wanted, most = size / max(size.sum(), 1), t["weight"].to_numpy(float), size * t["most"].to_numpy(float)
+    if by_entropy:
+        wanted = entropy_weights(shares, entropy(wanted / max(wanted.sum(), 1e-300)))[0] if size.any() else wanted
+    weights, _, total = limited_weights(shares, wanted, most, size.sum() if total_tokens == "all" else total_tokens)
     rounds, cut = [], []
     order = np.random.default_rng(seed).permutation(blocks)
     place = np.argsort(order)
@@ -149,14 +156,28 @@ def p9_mix(spark, sf_dir) -> DataFrame:
     return mixture(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))
 
 
-def p9_shares(spark, sf_dir) -> DataFrame:
-    """The actual share of each source in the mix, beside its target."""
-    m = written(p9_mix(spark, sf_dir), "p9-mix")
+def shares(spark, sf_dir, **options) -> DataFrame:
+    """The actual share of each source in a mix, beside its target."""
+    m = written(mixture(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"), **options), "p9-mix")
     by = m.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("n_documents"), F.max("repeats").alias("most_repeats"))
     total = F.sum("tokens").over(W.partitionBy())  # one row a source
     return read(spark, sf_dir, "mix_targets").join(by, "source", "left").select(
         "source", "target_weight", "max_repeats", F.round(F.col("tokens") / total, 6).alias("actual_share"), "tokens", "n_documents", "most_repeats")
 
 
-QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares}
+def p9_shares(spark, sf_dir) -> DataFrame:
+    return shares(spark, sf_dir)
+
+
+def p9_shares_of_all(spark, sf_dir) -> DataFrame:
+    """Shares of a mix as large as all documents: the exponent is bisected to keep the repetition limits."""
+    return shares(spark, sf_dir, total_tokens="all")
+
+
+def p9_shares_by_entropy(spark, sf_dir) -> DataFrame:
+    """Shares of a mix by token shares, exponentiated to the entropy of the targets."""
+    return shares(spark, sf_dir, by_entropy=True)
+
+
+QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_of_all": p9_shares_of_all, "p9_shares_by_entropy": p9_shares_by_entropy}
 SQL: dict = {}

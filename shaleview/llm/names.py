@@ -28,24 +28,38 @@ PLACEHOLDERS = {
 }
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "professor", "sir", "madam", "dame", "rev", "herr", "frau", "mx", "jr", "sr", "phd", "md", "esq"}
 LEGAL = {"inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "plc", "gmbh", "lp", "llp", "the", "and"}
-NICKNAMES = """abby:abigail alex:alexander andy:andrew becca:rebecca becky:rebecca ben:benjamin benny:benjamin beth:elizabeth betty:elizabeth bill:william
-billy:william bob:robert bobby:robert cathy:katherine charlie:charles chris:christopher chuck:charles cindy:cynthia dan:daniel danny:daniel dave:david davey:david
-deb:deborah debbie:deborah des:desmond dick:richard dot:dorothy dottie:dorothy ed:edward eddie:edward ella:eleanor fran:frances frannie:frances fred:frederick
-freddie:frederick freddy:frederick fritz:frederick ginny:virginia greg:gregory gus:gustavo gwen:gwendolyn hal:harold hank:henry harry:harold,henry izzy:isabella
-jack:john jake:jacob jen:jennifer jenny:jennifer jerry:gerald jim:james jimmy:james joe:joseph joey:joseph josie:josephine kat:katherine kate:katherine kathy:katherine
-katie:katherine ken:kenneth kenny:kenneth kit:christopher larry:lawrence len:leonard lenny:leonard lil:lillian lily:lillian liz:elizabeth lizzie:elizabeth
-maggie:margaret mandy:amanda matt:matthew meg:margaret mick:michael mickey:michael mike:michael nat:nathaniel nate:nathaniel nick:nicholas nicky:nicholas
-ollie:oliver pat:patricia patty:patricia peggy:margaret penny:penelope pete:peter ray:raymond rich:richard richie:richard rick:richard ricky:richard rob:robert
-robbie:robert ron:ronald sam:samuel sammy:samuel steph:stephanie steve:stephen sue:susan susie:susan ted:theodore teddy:theodore theo:theodore tilda:matilda
-tilly:matilda tim:timothy timmy:timothy tom:thomas tommy:thomas tony:anthony trish:patricia trisha:patricia val:valerie vic:victor vicky:victoria wally:walter
-walt:walter will:william willy:william zach:zachary zack:zachary larri:lawrence laurie:lawrence meggie:margaret mina:wilhelmina""".split()
-BUSINESS = """airways:airways airwys:airways associates:associates assoc:associates bank:bank bk:bank center:center centre:center ctr:center credit:credit cr:credit
-union:union cu:credit,union dental:dental dentl:dental engineering:engineering eng:engineering engrg:engineering food:foods foods:foods freight:freight frt:freight
-hospital:hospital hosp:hospital insurance:insurance ins:insurance laboratories:laboratories lab:laboratories labs:laboratories laboratory:laboratories
-manufacturing:manufacturing mfg:manufacturing marine:marine medical:medical med:medical pharmacy:pharmacy pharm:pharmacy rx:pharmacy properties:properties
-props:properties prop:properties property:properties public:public pub:public savings:savings svgs:savings schools:schools schls:schools school:schools
-services:services svcs:services svc:services service:services telecommunications:telecommunications telecom:telecommunications telco:telecommunications
-textiles:textiles textile:textiles university:university univ:university""".split()
+NICKNAMES = {
+    "abby": ["abigail"], "alex": ["alexander"], "andy": ["andrew"], "becca": ["rebecca"], "becky": ["rebecca"], "ben": ["benjamin"], "benny": ["benjamin"],
+    "beth": ["elizabeth"], "betty": ["elizabeth"], "bill": ["william"], "billy": ["william"], "bob": ["robert"], "bobby": ["robert"], "cathy": ["katherine"],
+    "charlie": ["charles"], "chris": ["christopher"], "chuck": ["charles"], "cindy": ["cynthia"], "dan": ["daniel"], "danny": ["daniel"], "dave": ["david"],
+    "davey": ["david"], "deb": ["deborah"], "debbie": ["deborah"], "des": ["desmond"], "dick": ["richard"], "dot": ["dorothy"], "dottie": ["dorothy"], "ed": ["edward"],
+    "eddie": ["edward"], "ella": ["eleanor"], "fran": ["frances"], "frannie": ["frances"], "fred": ["frederick"], "freddie": ["frederick"], "freddy": ["frederick"],
+    "fritz": ["frederick"], "ginny": ["virginia"], "greg": ["gregory"], "gus": ["gustavo"], "gwen": ["gwendolyn"], "hal": ["harold"], "hank": ["henry"],
+    "harry": ["harold", "henry"], "izzy": ["isabella"], "jack": ["john"], "jake": ["jacob"], "jen": ["jennifer"], "jenny": ["jennifer"], "jerry": ["gerald"],
+    "jim": ["james"], "jimmy": ["james"], "joe": ["joseph"], "joey": ["joseph"], "josie": ["josephine"], "kat": ["katherine"], "kate": ["katherine"],
+    "kathy": ["katherine"], "katie": ["katherine"], "ken": ["kenneth"], "kenny": ["kenneth"], "kit": ["christopher"], "larry": ["lawrence"], "len": ["leonard"],
+    "lenny": ["leonard"], "lil": ["lillian"], "lily": ["lillian"], "liz": ["elizabeth"], "lizzie": ["elizabeth"], "maggie": ["margaret"], "mandy": ["amanda"],
+    "matt": ["matthew"], "meg": ["margaret"], "mick": ["michael"], "mickey": ["michael"], "mike": ["michael"], "nat": ["nathaniel"], "nate": ["nathaniel"],
+    "nick": ["nicholas"], "nicky": ["nicholas"], "ollie": ["oliver"], "pat": ["patricia"], "patty": ["patricia"], "peggy": ["margaret"], "penny": ["penelope"],
+    "pete": ["peter"], "ray": ["raymond"], "rich": ["richard"], "richie": ["richard"], "rick": ["richard"], "ricky": ["richard"], "rob": ["robert"], "robbie": ["robert"],
+    "ron": ["ronald"], "sam": ["samuel"], "sammy": ["samuel"], "steph": ["stephanie"], "steve": ["stephen"], "sue": ["susan"], "susie": ["susan"], "ted": ["theodore"],
+    "teddy": ["theodore"], "theo": ["theodore"], "tilda": ["matilda"], "tilly": ["matilda"], "tim": ["timothy"], "timmy": ["timothy"], "tom": ["thomas"],
+    "tommy": ["thomas"], "tony": ["anthony"], "trish": ["patricia"], "trisha": ["patricia"], "val": ["valerie"], "vic": ["victor"], "vicky": ["victoria"],
+    "wally": ["walter"], "walt": ["walter"], "will": ["william"], "willy": ["william"], "zach": ["zachary"], "zack": ["zachary"], "larri": ["lawrence"],
+    "laurie": ["lawrence"], "meggie": ["margaret"], "mina": ["wilhelmina"],
+}
+BUSINESS = {
+    "airways": ["airways"], "airwys": ["airways"], "associates": ["associates"], "assoc": ["associates"], "bank": ["bank"], "bk": ["bank"], "center": ["center"],
+    "centre": ["center"], "ctr": ["center"], "credit": ["credit"], "cr": ["credit"], "union": ["union"], "cu": ["credit", "union"], "dental": ["dental"],
+    "dentl": ["dental"], "engineering": ["engineering"], "eng": ["engineering"], "engrg": ["engineering"], "food": ["foods"], "foods": ["foods"], "freight": ["freight"],
+    "frt": ["freight"], "hospital": ["hospital"], "hosp": ["hospital"], "insurance": ["insurance"], "ins": ["insurance"], "laboratories": ["laboratories"],
+    "lab": ["laboratories"], "labs": ["laboratories"], "laboratory": ["laboratories"], "manufacturing": ["manufacturing"], "mfg": ["manufacturing"], "marine": ["marine"],
+    "medical": ["medical"], "med": ["medical"], "pharmacy": ["pharmacy"], "pharm": ["pharmacy"], "rx": ["pharmacy"], "properties": ["properties"],
+    "props": ["properties"], "prop": ["properties"], "property": ["properties"], "public": ["public"], "pub": ["public"], "savings": ["savings"], "svgs": ["savings"],
+    "schools": ["schools"], "schls": ["schools"], "school": ["schools"], "services": ["services"], "svcs": ["services"], "svc": ["services"], "service": ["services"],
+    "telecommunications": ["telecommunications"], "telecom": ["telecommunications"], "telco": ["telecommunications"], "textiles": ["textiles"], "textile": ["textiles"],
+    "university": ["university"], "univ": ["university"],
+}
 
 
 TURN = 0.1  # by how much more the last word must be a given name than the first for a name to be turned
@@ -53,9 +67,8 @@ FAR = 8  # spellings of so many letters may be two slips apart, shorter ones one
 RATIO = 5  # a spelling leads another if it is so many times as well attested
 
 
-@lru_cache(maxsize=1)
 def lexicon() -> tuple[dict[str, list[str]], dict[str, list[str]]]:
-    return tuple({k: v.split(",") for k, v in (x.split(":") for x in words)} for words in (NICKNAMES, BUSINESS))
+    return NICKNAMES, BUSINESS
 
 
 def near(a: str, b: str) -> bool:
@@ -262,7 +275,7 @@ def near_spellings(counts: DataFrame, by: list[str], far: int | None = FAR) -> D
     return probe.hint("merge").join(index, [*by, "key"]).where("x <> y").select(*by, "x", "y", "nx", "ny").distinct().withColumn("d", d).where("d is not null")
 
 
-def leads(counts: DataFrame, by: list[str], ratio: int = RATIO) -> DataFrame:
+def leads(counts: DataFrame, by: list[str], ratio: int = RATIO, far: int = FAR) -> DataFrame:
     """Rows (by, s, t): s is a slip of t, its best attested neighbour, followed on to what leads t.
 
     A neighbour leads if it is `ratio` times as well attested; among spellings of six letters or more, whose
@@ -272,7 +285,7 @@ def leads(counts: DataFrame, by: list[str], ratio: int = RATIO) -> DataFrame:
     long = F.least(F.length("x"), F.length("y")) >= 6
     better = (F.col("ny") > F.col("nx")) | (F.col("ny") == F.col("nx")) & (F.col("x") > F.col("y"))
     ok = better & ((F.col("ny") >= ratio * F.col("nx")) | long & (F.col("d") == 1) | (F.col("d") == 2) & (F.col("ny") >= 2 * F.col("nx")))
-    one = written(near_spellings(counts, by).where(ok).groupBy(*by, "x").agg(F.max_by("y", F.struct((-F.col("d")).alias("d"), F.col("ny").alias("n"), F.col("y"))).alias("t")).withColumnRenamed("x", "s"), "leads")
+    one = written(near_spellings(counts, by, far).where(ok).groupBy(*by, "x").agg(F.max_by("y", F.struct((-F.col("d")).alias("d"), F.col("ny").alias("n"), F.col("y"))).alias("t")).withColumnRenamed("x", "s"), "leads")
     on = one.select(*by, F.col("s").alias("t"), F.col("t").alias("u"))
     two = one.join(on, [*by, "t"], "left").join(on.select(*by, F.col("t").alias("u"), F.col("u").alias("v")), [*by, "u"], "left")
     return two.select(*by, "s", F.coalesce("v", "u", "t").alias("t"))

@@ -315,3 +315,10 @@ def test_mixture(spark):
     total, longest = sum(size.values()), 40
     assert len({r.doc_id for r in m}) == len(m) and all(abs(size[s] - w / 0.95 * total) <= 3 * longest for s, w in (("a", 0.4), ("b", 0.4), ("c", 0.15)))
     assert mixing.mixture(d.where("false"), t).count() == 0
+    # as much as there is: over the limits of the targets, so the exponent is bisected and the limits hold
+    m = mixing.mixture(d, t, blocks=16, total_tokens="all").collect()
+    assert all(r.repeats <= limit[r.source] for r in m) and sum(r.n_tokens * r.repeats for r in m) > 1.02 * total
+    m = mixing.mixture(d, t, blocks=16, by_entropy=True).collect()
+    size = {s: sum(r.n_tokens * r.repeats for r in m if r.source == s) for s in limit}
+    w = np.array(list(size.values())) / sum(size.values())
+    assert abs(mixing.entropy(w) - mixing.entropy(np.array([0.4, 0.4, 0.15, 0.05]))) < 0.1 or size["a"] > size["b"] > size["c"]
