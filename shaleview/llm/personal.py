@@ -32,14 +32,16 @@ MIN_GIVEN = 3  # protected contexts that a word needs to be taken for a given na
 # Words before a name, words after a firm's own name, words before a number that is no personal one.
 CUES = ["patient", "claimant", "member", "student", "tenant", "signed,", "dear", "hi", "hello", "cc:", "attn", "chair:", "present:", "apologies:", "mr", "mr.", "mrs", "mrs.", "ms", "ms.", "dr", "dr.", "prof", "prof.", "regards,", "name:", "spouse", "solicitor", "carer"]
 TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Madam|Herr|Frau)"
+TITLED = re.compile(TITLE + r"\.?[ \t]+$")
 FIRM = r"(?:Foods?|Manufacturing|Insurance|Hospital|Savings|Medical|Marine|University|Lab\w*|Pharm\w*|Airw\w*|Textiles?|Freight|Dental|Eng\w*|Assoc\w*|Propert\w*|Public|Credit|Telecom\w*|Bank|Services|Schools|Ltd|LLC|Inc|Corp|Company|Group|Center|Centre|Union)"
 PLAIN_NUMBERS = re.compile(r"(?i)\b(?:invoice|order|ticket|ref|reference|batch|version|serial|tracking|lot|po|rechnung|facture|factura|case|code|shipment)\b[^\w]{0,3}(?:(?:no|nr|number|id)\b\.?)?[^\w]{0,3}$")
 MONTHS = set("january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec monday tuesday wednesday thursday friday saturday sunday".split())
 
-EMAIL = re.compile(
-    r"(?<![\w.+-])[\w][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-    r"|(?<![\w.+-])[\w][\w.+-]*\s?[(\[]\s?at\s?[)\]]\s?[A-Za-z0-9-]+(?:\s?[(\[]\s?dot\s?[)\]]\s?[A-Za-z0-9-]+|\sdot\s[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+"
+EMAIL = re.compile(r"(?<![\w.+-])[\w][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+SPELT_EMAIL = re.compile(
+    r"(?<![\w.+-])[\w][\w.+-]*\s?[(\[]\s?at\s?[)\]]\s?[A-Za-z0-9-]+(?:\s?[(\[]\s?dot\s?[)\]]\s?[A-Za-z0-9-]+|\sdot\s[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+"
     r"|(?<![\w.+-])[\w][\w.+-]*\sat\s[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\s?[(\[]?\s?\bdot\b\s?[)\]]?\s?[A-Za-z0-9-]+)+", re.I)
+SPELT = re.compile(r"[(\[]\s?at\s?[)\]]|\sat\s(?=[^\n]{0,80}dot)", re.I)  # what a spelt mailbox has, found far faster
 PHONE = re.compile(
     r"(?<![\w.,/#+$€£-])(?:"
     r"(?:\+|00)\d{2,3}[ .-]?(?:\(0\)[ .-]?)?\d{2,4}(?:[ ./-]?\d{2,7}){1,4}"
@@ -136,7 +138,10 @@ def names(text: str, model: Model) -> Iterator[tuple[int, int]]:
     gap = lambda i: text[tokens[i][2] : tokens[i + 1][1]] if i + 1 < len(tokens) else "\0"
     n = len(tokens)
     word = lambda i: tokens[i][0] if i < n else ""
-    given = lambda i: i < n and word(i).lower().removesuffix("'s").removesuffix("’s") in model.given
+    low = [w.lower() for w, _, _ in tokens]
+    low = [w[:-2] if w[-2:] in ("'s", "’s") else w for w in low] if "'" in text or "’" in text else low
+    named = [w in model.given for w in low]
+    given = lambda i: i < n and named[i]
     initial = lambda i: i < n and len(word(i)) == 1 and word(i).isupper()
     firm = lambda i: i + 1 < n and gap(i).strip() == "" and gap(i) != "" and re.match(FIRM + r"\b", word(i + 1), re.I) is not None and word(i + 1)[0].isupper()
     cued = lambda i: text[max(0, tokens[i][1] - 14) : tokens[i][1]].rstrip(" \t").rsplit(None, 1)[-1:] and text[max(0, tokens[i][1] - 14) : tokens[i][1]].rstrip(" \t").rsplit(None, 1)[-1].lower() in CUES
@@ -145,6 +150,9 @@ def names(text: str, model: Model) -> Iterator[tuple[int, int]]:
     while i < n:
         w, a, b = tokens[i]
         lower = w.islower()
+        if lower and not named[i]:
+            i += 1
+            continue
         if a and text[a - 1] in "@.+_-" and not text[a - 1 :].startswith("- ") and (text[a - 1] != "." or a > 1 and text[a - 2].isalnum()) or b < len(text) and (text[b] in "@_+" or text[b] == "." and b + 1 < len(text) and text[b + 1].isalnum() and len(w) > 1):
             i += 1
             continue
@@ -172,7 +180,7 @@ def names(text: str, model: Model) -> Iterator[tuple[int, int]]:
                 i = j + 1
                 continue
         # surname, given; surname given; surname alone
-        titled = a and re.search(TITLE + r"\.?[ \t]+$", text[max(0, a - 8) : a])
+        titled = not lower and a > 2 and text[a - 1] in " \t" and TITLED.search(text[max(0, a - 8) : a])
         if not lower and not firm(i) and (model.surname(w, False) or titled and model.open(w)):
             if i + 1 < n and re.fullmatch(r"\s?,\s?|[ \t]+", gap(i)) and (given(i + 1) or initial(i + 1) and "," in gap(i)) and not (model.surname(word(i + 2), False) and re.fullmatch(r"\.? ", gap(i + 1)) and "," in gap(i) and not firm(i + 2)):
                 end = tokens[i + 1][2]
@@ -199,8 +207,12 @@ def values(text: str, model: Model) -> list[tuple[int, int, str]]:
             found.append((a, b, kind))
             taken[a:b] = b"\1" * (b - a)
 
-    for m in EMAIL.finditer(text):
-        take(m.start(), m.end(), "email")
+    if "@" in text:
+        for m in EMAIL.finditer(text):
+            take(m.start(), m.end(), "email")
+    if SPELT.search(text):
+        for m in SPELT_EMAIL.finditer(text):
+            take(m.start(), m.end(), "email")
     for m in ID.finditer(text):
         before = text[max(0, m.start() - 40) : m.start()]
         if not PLAIN_NUMBERS.search(before) and (not NUMBER_CUE_NEEDED.match(m[0]) or ID_CUE.search(before) or cue_before(text, m.start()) in model.cues):
@@ -257,7 +269,7 @@ def disclosures(texts: DataFrame, text: str = "text") -> DataFrame:
     bits = ends.where("p >= 2").select("e", F.log2((F.col("p") + 0.5) / (F.col("p") + F.col("t") + 1) / base).alias("v"))
     # a word tells its own disclosure: names of systems hardly ever stand beside another capitalised word
     common = terms.where((F.col("n") > 0) & ((F.col("c") + 3) / (F.col("n") + 10) < 0.15)).select("key").join(given, "key", "left_anti")
-    cues = terms.where((F.col("i") >= MIN_GIVEN) & (F.log2(F.col("i") / F.greatest("j", F.lit(1)) / (max(ids, 1) / max(numbers, 1))) >= DISCLOSURE) & (F.col("i") >= 0.5 * F.col("j")))
+    cues = terms.where((F.length("key") > 3) & (F.col("i") >= MIN_GIVEN) & (F.log2(F.col("i") / F.greatest("j", F.lit(1)) / (max(ids, 1) / max(numbers, 1))) >= DISCLOSURE) & (F.col("i") >= 0.5 * F.col("j")))
     kind = lambda d, k, c="key": d.select(F.lit(k).alias("kind"), F.col(c).alias("key"))
     out = kind(given, "given").union(kind(bits.where(F.col("v") >= top - 0.35), "sure", "e")).union(kind(bits.where(F.col("v") >= top - DISCLOSURE - 1.5), "loose", "e")).union(kind(common, "common")).union(kind(cues, "cue"))
     return written(out, "p4-model")

@@ -107,8 +107,9 @@ def tokens(text: Column) -> Column:
 def worded(b: DataFrame) -> DataFrame:
     """Rows (block_id, doc_id, words, plain): the words of a text with line-end hyphens joined, and without the words at such hyphens (null where there are none)."""
     hyphen = r"(\p{L}+(?:[0-9][\p{L}\p{N}]*)?)[-‐‑\u00ad][ \t]*\n[ \t]*([\p{L}\p{N}]+)"
-    words, plain = tokens(F.regexp_replace("text", hyphen, "$1$2")), tokens(F.regexp_replace("text", hyphen, " "))
-    return b.select("block_id", "doc_id", words.alias("words"), F.when(F.col("text").rlike(hyphen), plain).alias("plain"))
+    broken = F.col("text").rlike("[-‐‑\\u00ad][ \\t]*\n")  # quick to tell, so that few texts are matched for more
+    words = tokens(F.when(broken, F.regexp_replace("text", hyphen, "$1$2")).otherwise(F.col("text")))
+    return b.select("block_id", "doc_id", words.alias("words"), F.when(broken, tokens(F.regexp_replace("text", hyphen, " "))).alias("plain"))
 
 
 def lexicon(words: DataFrame) -> DataFrame:

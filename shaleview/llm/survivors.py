@@ -188,9 +188,12 @@ SQL = {
     "p5_found": _BEST + "SELECT group_id, field_name, subject_id FROM b WHERE rn = 1 AND group_id IN (SELECT group_id FROM s GROUP BY 1 HAVING count(DISTINCT subject_id) > 1)",
     "p5_survivors": _BEST + "SELECT group_id, max(value) FILTER (field_name = 'canonical_name') AS canonical_name, max(value) FILTER (field_name = 'canonical_email') AS canonical_email, max(value) FILTER (field_name = 'canonical_phone') AS canonical_phone FROM b WHERE rn = 1 GROUP BY 1",
 }
-_FULL = _BEST[: _BEST.rindex("b AS (")].rstrip().rstrip(",")
-_ROWS = _FULL + """, r AS (SELECT group_id, subject_id, updated_at, merge_confidence, max(fullness) FILTER (field_name = 'canonical_name') AS a, max(fullness) FILTER (field_name = 'canonical_email') AS b, max(fullness) FILTER (field_name = 'canonical_phone') AS c FROM v GROUP BY 1, 2, 3, 4),
-t AS (SELECT *, coalesce(updated_at, TIMESTAMP '0001-01-01') AS u, coalesce(merge_confidence, -1) AS m FROM r)"""
+_PARTS = r"regexp_extract_all(trim(coalesce(canonical_name, '')), '[\pL\pM''’-]+')"
+_ROWS = rf"""
+WITH r AS (SELECT DISTINCT group_id, subject_id, updated_at, merge_confidence, canonical_name, canonical_email, canonical_phone FROM notification_subjects WHERE group_id IS NOT NULL AND subject_id IS NOT NULL),
+t AS (SELECT DISTINCT group_id, subject_id, coalesce(updated_at, TIMESTAMP '0001-01-01') AS u, coalesce(merge_confidence, -1) AS m, CASE WHEN lower(trim(coalesce(canonical_name, ''))) IN ({", ".join(f"'{x}'" for x in FILLERS)}) OR regexp_matches(coalesce(canonical_name, ''), '[0-9*?@]') THEN 0
+  WHEN len(list_filter({_PARTS}, lambda x: regexp_matches(x, '\pL.'))) = 0 THEN 0 ELSE 2 * len(list_filter({_PARTS}, lambda x: regexp_matches(x, '\pL.'))) + len(list_filter({_PARTS}, lambda x: regexp_matches(x, '^\pL$'))) END AS a,
+  regexp_matches(trim(coalesce(canonical_email, '')), '^[^@\s*?]+@[^@\s.*?]+(\.[^@\s.*?]+)+$')::INT AS b, regexp_matches(regexp_replace(trim(coalesce(canonical_phone, '')), '[\s().-]', '', 'g'), '^\+(1[0-9]{{10}}|[2-9][0-9]{{10,14}})$')::INT AS c FROM r)"""
 _OVER = "SELECT 1 FROM {0} y WHERE y.group_id = x.group_id AND y.a >= x.a AND y.b >= x.b AND y.c >= x.c AND y.u >= x.u AND y.m >= x.m AND (y.a > x.a OR y.b > x.b OR y.c > x.c OR y.u > x.u OR y.m > x.m)"
 SQL["p5_layers"] = _ROWS + f""", l1 AS (SELECT * FROM t x WHERE NOT EXISTS ({_OVER.format('t')})), d AS (SELECT * FROM t x WHERE EXISTS ({_OVER.format('t')})), l2 AS (SELECT * FROM d x WHERE NOT EXISTS ({_OVER.format('d')})),
 a AS (SELECT group_id, subject_id, 1 AS layer FROM l1 UNION ALL SELECT group_id, subject_id, 2 FROM l2 UNION ALL SELECT group_id, subject_id, 3 FROM d x WHERE EXISTS ({_OVER.format('d')}))
