@@ -21,22 +21,48 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a local one where the session names none."""
+    """The shared folder that the session names in spark.checkpoint.dir.
+
+    Without one, a local session uses a folder of this machine; a cluster, whose executors don't share it, raises.
+    """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         set_dir = "file://" + os.path.join(tempfile.gettempdir(), "shaleview-checkpoint")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir
 
 
+_TABLES: list[str] = []  # tables written and not yet deleted
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage through a table in the shared folder and read it back."""
+    """Cut the lineage through a table in the shared folder and read it back; clear() deletes it."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the tables that written() has made, once the results that read them are used up; how many.
+
+    keep: the number of tables, from the first, that stay.
+    """
+    gone = _TABLES[keep:]
+    del _TABLES[keep:]
+    for path in gone:
+        _delete(spark, path)
+    return len(gone)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: rows (node, component), component the least node.
 
@@ -59,7 +85,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
-        e = written(small.select("p.*").where("u <> v").distinct(), "cc")
+        last, e = len(_TABLES) - 1, written(small.select("p.*").where("u <> v").distinct(), "cc")
+        if before is not None:  # the table of the round before isn't read any more
+            _delete(e.sparkSession, _TABLES.pop(last))
         now = e.agg(*sums).first()
         if now == before:
             break

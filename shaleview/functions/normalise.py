@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from . import values as V
 from .text import C, col, python_title, strip
 
-STATES = dict(x.split("=") for x in """alabama=AL,alaska=AK,arizona=AZ,arkansas=AR,california=CA,colorado=CO,connecticut=CT,delaware=DE,florida=FL,georgia=GA,hawaii=HI,idaho=ID,illinois=IL,
-indiana=IN,iowa=IA,kansas=KS,kentucky=KY,louisiana=LA,maine=ME,maryland=MD,massachusetts=MA,michigan=MI,minnesota=MN,mississippi=MS,missouri=MO,montana=MT,nebraska=NE,nevada=NV,
-new hampshire=NH,new jersey=NJ,new mexico=NM,new york=NY,north carolina=NC,north dakota=ND,ohio=OH,oklahoma=OK,oregon=OR,pennsylvania=PA,rhode island=RI,south carolina=SC,
-south dakota=SD,tennessee=TN,texas=TX,utah=UT,vermont=VT,virginia=VA,washington=WA,west virginia=WV,wisconsin=WI,wyoming=WY,district of columbia=DC""".replace("\n", "").split(","))  # fixed values
+# fixed values: names and abbreviations of the states
+STATES = {
+    "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT", "delaware": "DE", "florida": "FL",
+    "georgia": "GA", "hawaii": "HI", "idaho": "ID", "illinois": "IL", "indiana": "IN", "iowa": "IA", "kansas": "KS", "kentucky": "KY", "louisiana": "LA", "maine": "ME",
+    "maryland": "MD", "massachusetts": "MA", "michigan": "MI", "minnesota": "MN", "mississippi": "MS", "missouri": "MO", "montana": "MT", "nebraska": "NE",
+    "nevada": "NV", "new hampshire": "NH", "new jersey": "NJ", "new mexico": "NM", "new york": "NY", "north carolina": "NC", "north dakota": "ND", "ohio": "OH",
+    "oklahoma": "OK", "oregon": "OR", "pennsylvania": "PA", "rhode island": "RI", "south carolina": "SC", "south dakota": "SD", "tennessee": "TN", "texas": "TX",
+    "utah": "UT", "vermont": "VT", "virginia": "VA", "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY", "district of columbia": "DC",
+}
 POSTAL = {"US": r"\b(\d{5})(?:-\d{4})?\b", "GB": r"(?i)\b([A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2})\b", "IN": r"\b([1-9]\d{5})\b", "CA": r"(?i)\b([A-Z]\d[A-Z]\s*\d[A-Z]\d)\b", "AU": r"\b(\d{4})\b"}  # fixed values
 
 
@@ -82,16 +87,28 @@ def country_of(c: C) -> Column:
 
 
 def address(c: C) -> Column:
-    """struct<street, city, state, zip, country>, or null without a street number and a postal code."""
+    """struct<street, city, state, zip, country>, or null without a street number and a postal code.
+
+    What stands before the postal code is cut into state (at its end, a name or two letters in any case, in the US only), street and city.
+    """
     v = strip(c)
     country = F.coalesce(country_of(v), F.lit("US"))
-    code = None
-    for k, pattern in POSTAL.items():
-        hit = F.regexp_extract(v, pattern, 1)
-        code = F.when(country == k, hit) if code is None else code.when(country == k, hit)
-    code = F.upper(F.replace(code.otherwise(F.regexp_extract(v, POSTAL["US"], 1)), F.lit(" "), F.lit("")))
-    numbered = v.rlike(r"\b\d+\s+\w")
-    parts = F.transform(F.split(v, ","), lambda x: F.lower(strip(x)))
-    tail = F.regexp_extract(v, r"\b([A-Z]{2})\b(?:\s+\d{5}(?:-\d{4})?)?\s*(?:,.*)?$", 1)
-    state = F.when((country == "US") & tail.isin(*set(STATES.values())), tail)
-    return F.when(numbered | (code != ""), F.struct(parts.getItem(0).alias("street"), F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).alias("city"), state.alias("state"), F.nullif(code, F.lit("")).alias("zip"), country.alias("country")))
+    kinds = {k: p for k, p in POSTAL.items() if k != "US"}
+    pick = lambda of: F.coalesce(*[F.when(country == k, of(p)) for k, p in kinds.items()], of(POSTAL["US"]))
+    code = pick(lambda p: F.regexp_extract(v, p, 1))
+    # the text before the first code: the pattern is anchored behind the shortest beginning
+    flags = lambda p: (p.removeprefix("(?i)"), "(?i)" if p.startswith("(?i)") else "")
+    before = pick(lambda p: F.regexp_extract(v, f"(?s){flags(p)[1]}^(.*?){flags(p)[0]}", 1))
+    has = code != ""
+    text = F.when(has, F.regexp_replace(before, r"[, ]+$", "")).otherwise(v)
+    names = "|".join(sorted(STATES, key=len, reverse=True))
+    end = rf"(?i)(?:^|[,\s]+)({names})\s*$"
+    short = rf"(?i)(?:^|[,\s]+)({'|'.join(sorted(set(STATES.values())))})\s*$"
+    by_name, by_letters = F.lower(F.regexp_extract(text, end, 1)), F.upper(F.regexp_extract(text, short, 1))
+    table = F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv])
+    us = country == "US"
+    state = F.when(us & (by_name != ""), table[by_name]).when(us & (by_letters != ""), by_letters)
+    rest = F.when(us & (by_name != ""), F.regexp_replace(text, end, "")).when(us & (by_letters != ""), F.regexp_replace(text, short, "")).otherwise(text)
+    parts = F.filter(F.transform(F.split(rest, ","), lambda x: F.lower(strip(x))), lambda x: x != "")
+    zip_ = F.when(country.isin("GB", "CA", "US"), F.upper(F.replace(code, F.lit(" "), F.lit("")))).otherwise(code)
+    return F.when(v.rlike(r"\b\d+\s+\w") | has, F.struct(F.get(parts, F.lit(0)).alias("street"), F.get(parts, F.lit(1)).alias("city"), state.alias("state"), F.nullif(zip_, F.lit("")).alias("zip"), country.alias("country")))

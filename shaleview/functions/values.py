@@ -99,10 +99,13 @@ HEADERS = {
 }
 
 # words that look like identifiers and are none
-COMMON_WORDS = """statement summary description street transactions balance payment opening amount total period account reference number date page report
-invoice receipt credit debit transfer other schedule subtotal category status address telephone services information department division customer supplier
-purchase discount quantity interest commission settlement withdrawal deposit processing outstanding previous current closing narrative particulars details
-comments notes clearance reversal adjustment reconciliation""".split()
+COMMON_WORDS = [
+    "statement", "summary", "description", "street", "transactions", "balance", "payment", "opening", "amount", "total", "period", "account", "reference", "number",
+    "date", "page", "report", "invoice", "receipt", "credit", "debit", "transfer", "other", "schedule", "subtotal", "category", "status", "address", "telephone",
+    "services", "information", "department", "division", "customer", "supplier", "purchase", "discount", "quantity", "interest", "commission", "settlement", "withdrawal",
+    "deposit", "processing", "outstanding", "previous", "current", "closing", "narrative", "particulars", "details", "comments", "notes", "clearance", "reversal",
+    "adjustment", "reconciliation",
+]
 
 # labels of reference numbers
 REFERENCE_LABELS = [
@@ -175,9 +178,14 @@ STRUCTURE_CLASSES = {"structured": ["csv", "xlsx", "xls", "parquet", "avro"], "s
 GOVERNMENT_TYPES = ["US_SSN", "SSN", "US_PASSPORT", "PASSPORT", "US_DRIVER_LICENSE", "DRIVER_LICENSE", "UK_NHS", "UK_NINO", "AU_TFN", "AU_MEDICARE", "IN_AADHAAR", "IN_PAN", "GOVERNMENT_ID"]
 HONORIFICS = r"(?i)^(?:miss|mrs|mr|ms|prof|rev|dr|sir|lord|lady|jr|sr|shri|kumari|smt|sri|herr|frau|mme|mlle|m\.|srta|sra)\.?\s+"
 NON_LATIN = r"[؀-ۿऀ-ॿ฀-๿぀-ヿ一-鿿가-힯]"
-PLACES = """india,united states,united kingdom,uk,us,usa,canada,australia,germany,france,china,japan,brazil,mexico,italy,spain,russia,pakistan,bangladesh,nigeria,egypt,indonesia,iran,turkey,
-ukraine,poland,netherlands,belgium,sweden,norway,denmark,finland,switzerland,austria,portugal,greece,mumbai,delhi,kolkata,chennai,bangalore,hyderabad,london,paris,berlin,rome,madrid,beijing,
-shanghai,tokyo,dubai,singapore,maharashtra,karnataka,gujarat,rajasthan,punjab,kerala,tamilnadu,tamil nadu,andhra pradesh,telangana,uttar pradesh,west bengal,bihar,odisha""".replace("\n", "").split(",")
+# places that stand second in "City, Country"
+PLACES = [
+    "india", "united states", "united kingdom", "uk", "us", "usa", "canada", "australia", "germany", "france", "china", "japan", "brazil", "mexico", "italy", "spain",
+    "russia", "pakistan", "bangladesh", "nigeria", "egypt", "indonesia", "iran", "turkey", "ukraine", "poland", "netherlands", "belgium", "sweden", "norway", "denmark",
+    "finland", "switzerland", "austria", "portugal", "greece", "mumbai", "delhi", "kolkata", "chennai", "bangalore", "hyderabad", "london", "paris", "berlin", "rome",
+    "madrid", "beijing", "shanghai", "tokyo", "dubai", "singapore", "maharashtra", "karnataka", "gujarat", "rajasthan", "punjab", "kerala", "tamilnadu", "tamil nadu",
+    "andhra pradesh", "telangana", "uttar pradesh", "west bengal", "bihar", "odisha",
+]
 COUNTRY_WORDS = [
     (r"(?i)\b(?:india|bharat)\b", "IN"), (r"(?i)\b(?:united\s+kingdom|u\.k\.|uk|england|scotland|wales|great\s+britain)\b", "GB"), (r"(?i)\bcanada\b", "CA"),
     (r"(?i)\baustralia\b", "AU"), (r"(?i)\b(?:germany|deutschland)\b", "DE"), (r"(?i)\bfrance\b", "FR"), (r"(?i)\b(?:united\s+states|u\.s\.a\.|u\.s\.|usa)\b", "US"),

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.text import around, luhn, strip
+from ..functions.text import around, luhn, mask_ends, strip
 
 HIT = "struct<entity_type:string,start:int,end:int,score:double,value:string,geography:string,framework:string>"
 
@@ -19,22 +19,56 @@ def chosen(geographies: list[str] | None = None, types: list[str] | None = None)
     return [p for p in V.PATTERNS if (geographies is None or p[3] == "GLOBAL" or p[3] in geographies) and (types is None or p[0] in types)]
 
 
-def hits(text: Column, pattern: tuple, ignore_case: bool = False, unicode_classes: bool = True) -> Column:
-    """array<HIT> of one pattern: the pieces between matches give the places."""
-    kind, expression, score, geography, framework = pattern
-    flags = ("(?U)" if unicode_classes else "") + ("(?i)" if ignore_case else "")
-    found = F.regexp_extract_all(text, F.lit(flags + expression), F.lit(0))
-    between = F.split(text, flags + expression, -1)
-    run = F.aggregate(
-        F.sequence(F.lit(1), F.size(found)), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{HIT}>").alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get(between, i - 1)) + F.length(F.get(found, i - 1))).alias("at"),
-            F.array_append(acc["out"], F.struct(
-                F.lit(kind).alias("entity_type"), (acc["at"] + F.length(F.get(between, i - 1))).alias("start"),
-                (acc["at"] + F.length(F.get(between, i - 1)) + F.length(F.get(found, i - 1))).alias("end"), F.lit(float(score)).alias("score"),
-                F.get(found, i - 1).alias("value"), F.lit(geography).alias("geography"), F.lit(framework).alias("framework"))).alias("out")),
-        lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, run).otherwise(F.array().cast(f"array<{HIT}>"))
+def regions() -> list[str]:
+    """All regions that patterns are for, in order."""
+    return sorted({p[3] for p in V.PATTERNS})
+
+
+def target_types(settings: dict | None, default: str | None, defaults: dict[str, list[str]]) -> list[str] | None:
+    """The types to look for: those that the settings name, else those of the base they name, else of the default; None is all."""
+    settings = settings or {}
+    if settings.get("target_entity_types"):
+        return list(settings["target_entity_types"])
+    return next((list(defaults[k]) for k in (settings.get("base_protocol_id"), default) if k and k in defaults), None)
+
+
+ODD = r"[^\x00-\x7F]"
+
+
+def expression(pattern: str, ignore_case: bool = False, plain: bool = False) -> str:
+    """A pattern as all scans use it: classes and word limits are those of all scripts; in plain (ASCII) text both mean the same and the second is faster."""
+    return ("" if plain else "(?U)") + ("(?i)" if ignore_case else "") + pattern
+
+
+def occurrences(text: Column, pattern: str, odd: Column | None = None) -> Column:
+    """How often a pattern occurs, by the rules of expression()."""
+    odd = text.rlike(ODD) if odd is None else odd
+    return F.when(odd, F.regexp_count(text, F.lit(expression(pattern)))).otherwise(F.regexp_count(text, F.lit(expression(pattern, plain=True))))
+
+
+CHUNK = 256
+
+
+def running(lengths: Column) -> Column:
+    """array<int> of what comes before each element: sums within chunks, then over chunks, so that a text of very many matches isn't quadratic."""
+    n = F.size(lengths)
+    sums = lambda xs: F.aggregate(xs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda k: F.slice(lengths, k * CHUNK + 1, CHUNK))
+    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + x))
+    return F.flatten(F.zip_with(chunks, sums(totals), lambda c, before: F.transform(sums(c), lambda x: x + before)))
+
+
+def hits(text: Column, pattern: tuple, ignore_case: bool = False) -> Column:
+    """array<HIT> of one pattern: the pieces between matches give the places. Only texts with a match are split."""
+    kind, expr, score, geography, framework = pattern
+    e = expression(expr, ignore_case)
+    found = F.regexp_extract_all(text, F.lit(e), F.lit(0))
+    between = F.split(text, e, -1)
+    lengths = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, f: F.length(b) + F.length(f))
+    starts = F.zip_with(running(lengths), F.slice(between, 1, F.size(found)), lambda at, b: at + F.length(b))
+    out = F.zip_with(starts, found, lambda at, f: F.struct(
+        F.lit(kind).alias("entity_type"), at.alias("start"), (at + F.length(f)).alias("end"), F.lit(float(score)).alias("score"), f.alias("value"), F.lit(geography).alias("geography"), F.lit(framework).alias("framework")))
+    return F.when(F.size(found) > 0, out).otherwise(F.array().cast(f"array<{HIT}>"))
 
 
 def detect(blocks: DataFrame, text: str = "text", geographies: list[str] | None = None, types: list[str] | None = None, min_score: float = 0.10, ignore_case: bool = False, check_luhn: bool = False) -> DataFrame:
@@ -47,8 +81,9 @@ def detect(blocks: DataFrame, text: str = "text", geographies: list[str] | None
 
 def counts(blocks: DataFrame, text: str = "text", types: list[str] | None = None) -> DataFrame:
     """Matches of each type over all texts: counted in the scan, so only one row a type and task is shuffled."""
-    pairs = [F.struct(F.lit(p[0]).alias("entity_type"), F.regexp_count(F.col(text), F.lit(p[1])).cast("bigint").alias("n")) for p in chosen(None, types)]
-    return blocks.where(F.col(text).isNotNull()).select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("n > 0").groupBy("entity_type").agg(F.sum("n").alias("n_matches"), F.count("*").alias("n_texts"))
+    b = blocks.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(text).rlike(ODD).alias("odd"))
+    pairs = [F.struct(F.lit(p[0]).alias("entity_type"), occurrences(F.col("t"), p[1], F.col("odd")).cast("bigint").alias("n")) for p in chosen(None, types)]
+    return b.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("n > 0").groupBy("entity_type").agg(F.sum("n").alias("n_matches"), F.count("*").alias("n_texts"))
 
 
 def best_per_value(found: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -127,32 +162,69 @@ def confidence_label(df: DataFrame, by: list[str], score: str = "score") -> Data
 
 
 SCHEMA_RULES = ["field_map", "table", "date", "person", "hint"]
+TABLES = "doc_id bigint, table_no int, has_pii boolean, plain array<string>, personal array<string>"
 
 
-def schema_filter(found: DataFrame, fields: DataFrame, dates: DataFrame, people: DataFrame, hints: DataFrame, min_confidence: float = 0.50, confidence: str = "schema_confidence") -> DataFrame:
+def _table_region(near: Column, tables: Column) -> Column:
+    """Whether a text around a match is in the region of a table without personal data.
+
+    tables: array<struct<has_pii, plain, personal>>, the headers of columns without and with personal data. A table with both
+    is left if one of the first and none of the second stand in the text; one without is left if any plain header of the document does.
+    """
+    quoted = lambda h: F.concat(F.lit(r"\Q"), F.replace(F.trim(h), F.lit(r"\E"), F.lit("")), F.lit(r"\E"))
+    ends = lambda h: F.regexp_like(near, F.concat(F.lit("(?i)"), quoted(h), F.lit(r"\b")))
+    whole = lambda h: F.regexp_like(near, F.concat(F.lit(r"(?i)\b"), quoted(h), F.lit(r"\b")))
+    mixed = lambda t: t["has_pii"] & F.exists(t["plain"], ends) & ~F.exists(t["personal"], ends)
+    any_ = F.exists(tables, lambda t: F.exists(t["plain"], whole))
+    return F.exists(tables, lambda t: mixed(t) | ~t["has_pii"] & any_) & F.exists(tables, lambda t: F.size(t["plain"]) > 0)
+
+
+def schema_filter(found: DataFrame, fields: DataFrame, dates: DataFrame, people: DataFrame, hints: DataFrame, tables: DataFrame | None = None, min_confidence: float = 0.50, confidence: str = "schema_confidence") -> DataFrame:
     """found with action (keep, suppress, reclassify), rule and new_type by what is known of the document.
 
     fields (doc_id, value, is_pii, suppress_types, override, seq), dates (doc_id, value, is_pii), people (doc_id, name),
-    hints (doc_id, hint). The first rule that acts decides; below the confidence nothing is touched.
+    hints (doc_id, hint), tables (TABLES; found must then have `near`, 200 characters on either side). The first rule that acts decides; below
+    the confidence nothing is touched. Values of fields and people are compared without case, dates as they are.
     """
     v = F.lower(strip("value"))
-    f = found.withColumn("_k", v).withColumn("_id", F.monotonically_increasing_id()) if "_id" not in found.columns else found.withColumn("_k", v)
-    acting = f.alias("d").join(fields.alias("f"), F.expr("d.doc_id = f.doc_id and d._k = lower(trim(f.value))"), "left").select(
-        "d.*", F.when(~F.col("f.is_pii"), F.struct(F.lit("suppress").alias("action"), F.lit(None).cast("string").alias("new_type"), F.col("f.seq").alias("seq")))
-        .when(F.array_contains("f.suppress_types", F.col("d.entity_type")), F.struct(F.lit("suppress").alias("action"), F.lit(None).cast("string").alias("new_type"), F.col("f.seq").alias("seq")))
-        .when(F.col("f.override") != F.col("d.entity_type"), F.struct(F.lit("reclassify").alias("action"), F.col("f.override").alias("new_type"), F.col("f.seq").alias("seq"))).alias("_a"))
-    one = acting.groupBy(*f.columns).agg(F.min_by("_a", "_a.seq").alias("_r1"))
-    d = dates.where(~F.col("is_pii")).select("doc_id", F.lower(strip("value")).alias("_k"), F.lit(True).alias("_r3")).distinct()
+    f = found.withColumn("_k", v).withColumn("_v", strip("value"))
+    f = f.withColumn("_id", F.monotonically_increasing_id()) if "_id" not in f.columns else f
+    e = fields.select(F.col("doc_id"), F.lower(strip("value")).alias("_k"), "is_pii", "suppress_types", "override", "seq")
+    acting = f.select("_id", "doc_id", "_k", "entity_type").join(e, ["doc_id", "_k"]).select(
+        "_id", F.when(~F.col("is_pii"), F.struct(F.lit("suppress").alias("action"), F.lit(None).cast("string").alias("new_type"), F.col("seq").alias("seq")))
+        .when(F.array_contains("suppress_types", F.col("entity_type")), F.struct(F.lit("suppress").alias("action"), F.lit(None).cast("string").alias("new_type"), F.col("seq").alias("seq")))
+        .when(F.col("override") != F.col("entity_type"), F.struct(F.lit("reclassify").alias("action"), F.col("override").alias("new_type"), F.col("seq").alias("seq"))).alias("_a"))
+    one = acting.where("_a is not null").groupBy("_id").agg(F.min_by("_a", "_a.seq").alias("_r1"))
+    d = dates.where(~F.col("is_pii")).select("doc_id", strip("value").alias("_v"), F.lit(True).alias("_r3")).distinct()
     p = people.select("doc_id", F.lower(strip("name")).alias("_k"), F.lit(True).alias("_r4")).distinct()
-    h = hints.groupBy("doc_id").agg(F.collect_set(F.lower(strip("hint"))).alias("_hints"))
-    j = one.join(d, ["doc_id", "_k"], "left").join(p, ["doc_id", "_k"], "left").join(h, "doc_id", "left")
+    h = hints.groupBy("doc_id").agg(F.collect_set(F.lower("hint")).alias("_hints"))  # those of one document
+    j = f.join(one, "_id", "left").join(d, ["doc_id", "_v"], "left").join(p, ["doc_id", "_k"], "left").join(h, "doc_id", "left")
+    if tables is not None:
+        t = tables.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("table_no", "has_pii", "plain", "personal"))).alias("_tables"))  # those of one document
+        j = j.join(t, "doc_id", "left").withColumn("_r2", F.coalesce(_table_region(F.col("near"), F.col("_tables")), F.lit(False))).drop("_tables")
+    else:
+        j = j.withColumn("_r2", F.lit(False))
     hit = F.exists(F.coalesce("_hints", F.array().cast("array<string>")), lambda x: F.contains(x, F.col("_k")) | F.contains(F.col("_k"), x))
-    rule = (F.when(F.coalesce(F.col(confidence), F.lit(1.0)) < min_confidence, F.lit(None)).when(F.col("_r1").isNotNull(), "field_map")
-            .when(F.col("_r3") & F.contains("entity_type", F.lit("DATE")), "date").when(F.col("_r4") & (F.col("entity_type") == "ORGANIZATION"), "person").when(hit, "hint"))
+    rule = (F.when(F.coalesce(F.col(confidence), F.lit(1.0)) < min_confidence, F.lit(None)).when(F.col("_r1").isNotNull(), "field_map").when(F.col("_r2"), "table")
+            .when(F.col("_r3") & F.contains(F.upper("entity_type"), F.lit("DATE")), "date").when(F.col("_r4") & (F.col("entity_type") == "ORGANIZATION"), "person").when(hit, "hint"))
     j = j.withColumn("rule", rule)
     action = F.when(F.col("rule").isNull(), "keep").when(F.col("rule") == "field_map", F.col("_r1.action")).when(F.col("rule") == "person", "reclassify").otherwise("suppress")
     new = F.when(F.col("rule") == "field_map", F.col("_r1.new_type")).when(F.col("rule") == "person", "PERSON")
-    return j.withColumn("action", action).withColumn("new_type", new).drop("_k", "_id", "_r1", "_r3", "_r4", "_hints")
+    return j.withColumn("action", action).withColumn("new_type", new).drop("_k", "_v", "_id", "_r1", "_r2", "_r3", "_r4", "_hints")
+
+
+def suppression_log(filtered: DataFrame) -> DataFrame:
+    """Rows (doc_id, entity_type, detected_text, action, reason, new_type) of what schema_filter() acted on, the value masked but for its last four."""
+    return filtered.where("rule is not null").select("doc_id", "entity_type", mask_ends("value", 0, 4).alias("detected_text"), "action", F.col("rule").alias("reason"), "new_type")
+
+
+def page_report(blocks: DataFrame, found: DataFrame, doc: str = "doc_id", page: str = "page_or_sheet") -> DataFrame:
+    """Rows (doc, page, page_type, blocks_extracted, pii_hits, low_confidence, by_type) of every page with blocks or matches."""
+    tabular = F.lower("file_type").isin("csv", "xlsx", "xls", "parquet", "avro")
+    b = blocks.groupBy(doc, page).agg(F.count("*").alias("blocks_extracted"), F.when(F.max(tabular), "sheet").otherwise("digital").alias("page_type"))
+    kinds = found.groupBy(doc, page, "entity_type").agg(F.count("*").alias("n"), F.count_if(F.col("score") < 0.75).alias("low"))
+    h = kinds.groupBy(doc, page).agg(F.sum("n").alias("pii_hits"), F.sum("low").alias("low_confidence"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("entity_type", "n")))).alias("by_type"))  # a row a type
+    return b.join(h, [doc, page], "full").fillna(0, ["blocks_extracted", "pii_hits", "low_confidence"]).fillna("digital", ["page_type"])
 
 
 def latest(df: DataFrame, by: list[str], order: Column) -> DataFrame:

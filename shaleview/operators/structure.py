@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import values as V
 
@@ -30,25 +31,34 @@ def page_class(text: Column) -> Column:
     return F.when(words > 50, "digital").when(words > 5, "corrupted").otherwise("scanned")
 
 
-def document_type(blocks: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc, document_type, confidence): the kind of most known words on the first five pages.
+SEAM = 24  # letters at the end of a block in which a word that goes on in the next may begin: more than any of DOCUMENT_WORDS has
 
-    Each block yields one bit a word, the bits are or-ed per document, so no text is collected.
+
+def document_type(blocks: DataFrame, doc: str = "doc_id", text: str = "text", order: str = "block_id") -> DataFrame:
+    """Rows (doc, document_type, confidence): the kind of most known words on the first five pages, the first kind on a tie.
+
+    Confidence is fifty times the hits a word of text plus half of the share by which the best kind leads, between 0.3 and 0.95.
+    Blocks are joined by a space: each yields one bit a known word, also where one begins at the end of the block before; the
+    bits are or-ed and words summed per document, so no text is collected.
     """
-    words = [(k, w) for k, ws in V.DOCUMENT_WORDS.items() for w in ws]
-    low = F.lower(F.col(text))
+    known = [(k, w) for k, ws in V.DOCUMENT_WORDS.items() for w in ws]
     page = F.expr("try_cast(page_or_sheet as int)")
-    flags = [F.max(F.contains(low, F.lit(w))).alias(f"w{i}") for i, (_, w) in enumerate(words)]
-    found = blocks.where(page.isNull() | (page <= 5)).groupBy(doc).agg(*flags)
+    low = F.lower(F.col(text))
+    b = blocks.where(page.isNull() | (page <= 5)).where(F.col(text).isNotNull())
+    spaced = [w for _, w in known if " " in w]
+    b = b.withColumn("_t", low).withColumn("_seam", F.concat(F.right(F.lag(low).over(W.partitionBy(doc).orderBy(order)), F.lit(SEAM)), F.lit(" "), F.left(low, F.lit(SEAM)))) if spaced else b
+    flags = [F.max(F.contains("_t", F.lit(w)) | (F.coalesce(F.contains("_seam", F.lit(w)), F.lit(False)) if " " in w else F.lit(False))).alias(f"w{i}") for i, (_, w) in enumerate(known)]
+    words = F.size(F.filter(F.split(F.col(text), r"(?U)\s+"), lambda x: x != ""))
+    found = b.groupBy(doc).agg(F.sum(words).alias("words"), *flags)
     scores = []
     at = 0
-    for order, (kind, ws) in enumerate(V.DOCUMENT_WORDS.items()):
+    for place, (kind, ws) in enumerate(V.DOCUMENT_WORDS.items()):
         hits = sum((F.coalesce(F.col(f"w{at + i}"), F.lit(False)).cast("int") for i in range(len(ws))), F.lit(0))
-        scores.append(F.struct(hits.alias("n"), F.lit(-order).alias("order"), F.lit(kind).alias("kind"), F.lit(len(ws)).alias("size")))
+        scores.append(F.struct(hits.alias("n"), F.lit(-place).alias("place"), F.lit(kind).alias("kind")))
         at += len(ws)
     s = F.reverse(F.array_sort(F.array(*scores)))
     top, second = s.getItem(0), s.getItem(1)
-    raw = F.least(F.lit(1.0), top["n"] / top["size"] + (top["n"] - second["n"]) / top["size"] * 0.5)
+    raw = F.least(F.lit(1.0), top["n"] / F.greatest("words", F.lit(1)) * 50 + (top["n"] - second["n"]) / top["n"] * 0.5)
     conf = F.greatest(F.lit(0.3), F.least(F.lit(0.95), raw))
     return found.select(doc, F.when(top["n"] == 0, "unknown").otherwise(top["kind"]).alias("document_type"), F.when(top["n"] == 0, 0.0).otherwise(F.round(conf, 6)).alias("confidence"))
 
@@ -67,13 +77,70 @@ def section_heading(text: Column, header: Column) -> Column:
 def sections(blocks: DataFrame, doc: str = "doc_id", order: str = "block_id") -> DataFrame:
     """blocks with section, section_no and role: a heading opens a section, which lasts until another kind's heading."""
     w = W.partitionBy(doc).orderBy(order)
-    b = blocks.withColumn("heading", section_heading(F.col("text"), F.col("col_header"))).withColumn("section", F.last("heading", ignorenulls=True).over(w))
+    b = blocks if "heading" in blocks.columns else blocks.withColumn("heading", section_heading(F.col("text"), F.col("col_header")))
+    b = b.withColumn("section", F.last("heading", ignorenulls=True).over(w))
     changed = F.coalesce((F.col("section") != F.lag("section").over(w)) | F.lag("section").over(w).isNull() & F.col("section").isNotNull(), F.lit(False))
     roles = F.create_map(*[F.lit(x) for kv in V.SECTION_ROLES.items() for x in kv])
     return b.withColumn("_c", changed.cast("int")).withColumn("section_no", F.sum("_c").over(w)).withColumn("role", F.coalesce(roles[F.col("section")], F.lit("unknown"))).withColumn(
         "role_confidence", F.when(F.col("section").isNull(), 0.0).otherwise(F.lit(0.85) * F.lit(0.9))).drop("_c")
 
 
+def block_roles(blocks: DataFrame, doc: str = "doc_id", order: str = "block_id") -> DataFrame:
+    """Rows (doc, order, section, role, role_confidence) of all blocks; texts are read once and left before the shuffle."""
+    b = blocks.select(doc, order, section_heading(F.col("text"), F.col("col_header")).alias("heading")).distinct()
+    return sections(b, doc, order).select(doc, order, "section", "role", "role_confidence")
+
+
+def with_roles(found: DataFrame, roles: DataFrame, doc: str = "doc_id", order: str = "block_id") -> DataFrame:
+    """Matches with entity_role and entity_role_confidence of their block; null where its role isn't known."""
+    r = roles.groupBy(doc, order).agg(F.min_by(F.struct("role", "role_confidence"), F.struct("role")).alias("_r"))
+    return found.join(r, [doc, order], "left").withColumn("entity_role", F.col("_r.role")).withColumn("entity_role_confidence", F.col("_r.role_confidence")).drop("_r")
+
+
+def merged_roles(own: DataFrame, model: DataFrame, doc: str = "doc_id", order: str = "block_id") -> DataFrame:
+    """Roles by headings and by a model in one: the model's count only where the headings tell none."""
+    a = own.select(doc, order, F.struct("role", "role_confidence").alias("_a"))
+    b = model.groupBy(doc, order).agg(F.max_by(F.struct("role", "role_confidence"), "role_confidence").alias("_b"))
+    r = F.when(F.col("_a.role") != "unknown", F.col("_a")).otherwise(F.coalesce("_b", "_a"))
+    return a.join(b, [doc, order], "full").select(doc, order, r.alias("_r")).select(doc, order, "_r.role", "_r.role_confidence")
+
+
+def merged_types(own: DataFrame, model: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Kinds of documents (doc, document_type, confidence): the model's only where the words tell none."""
+    b = model.select(doc, F.struct("document_type", "confidence").alias("_b"))
+    r = F.when((F.col("document_type") == "unknown") & F.col("_b").isNotNull(), F.col("_b")).otherwise(F.struct("document_type", "confidence"))
+    return own.join(b, doc, "left").select(doc, r.alias("_r")).select(doc, "_r.*")
+
+
+def merged_sections(own: DataFrame, model: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Sections (doc, section, blocks array<bigint>, seq): all by headings, and those of a model that share no block with them or with one of the model's taken before."""
+    claimed = own.groupBy(doc).agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("_c"))
+    m = model.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("seq", "section", "blocks"))).alias("_m"))  # the sections of one reply
+    start = F.struct(F.coalesce("_c", F.array().cast("array<bigint>")).alias("c"), F.array().cast("array<struct<seq:int,section:string,blocks:array<bigint>>>").alias("out"))
+    taken = F.aggregate("_m", start, lambda acc, x: F.when(F.arrays_overlap(acc["c"], x["blocks"]), acc).otherwise(F.struct(F.array_union(acc["c"], x["blocks"]).alias("c"), F.array_append(acc["out"], x).alias("out"))))["out"]
+    more = m.join(claimed, doc, "left").select(doc, F.explode(taken).alias("x")).select(doc, "x.section", "x.blocks", "x.seq", F.lit("model").alias("by"))
+    return own.select(doc, "section", "blocks", "seq", F.lit("headings").alias("by")).unionByName(more)
+
+
+TABULAR = ["csv", "xlsx", "xls", "parquet", "avro"]
+
+
+def block_onset(blocks: DataFrame, doc: str = "doc_id", order: str = "block_id") -> DataFrame:
+    """Rows (doc, onset): the page or sheet of the first block with a signal; "0" for tables and without any."""
+    hit = has_signal(F.col("text")) & ~F.lower("file_type").isin(TABULAR)
+    return blocks.groupBy(doc).agg(F.min_by("page_or_sheet", F.when(hit, F.col(order))).alias("p")).select(doc, F.coalesce("p", F.lit("0")).alias("onset"))
+
+
+def sample_blocks(blocks: DataFrame, starts: DataFrame, doc: str = "doc_id", order: str = "block_id", table_rows: int = 50, prose: int = 20) -> DataFrame:
+    """The sample of each document, by kind: all blocks of a PDF's onset page, the first of a table's onset sheet, the first of other texts from the onset on."""
+    b = blocks.join(starts, doc).withColumn("_on", F.col("page_or_sheet") == F.col("onset")).withColumn("_kind", F.when(F.lower("file_type") == "pdf", "pdf").when(F.lower("file_type").isin(TABULAR), "table").otherwise("prose"))
+    b = b.withColumn("_from", F.min(F.when(F.col("_on"), F.col(order))).over(W.partitionBy(doc)))
+    b = b.where(F.when(F.col("_kind") == "prose", F.col(order) >= F.col("_from")).otherwise(F.col("_on")))
+    b = b.withColumn("sample_no", F.row_number().over(W.partitionBy(doc).orderBy(order)))
+    most = F.when(F.col("_kind") == "table", table_rows).when(F.col("_kind") == "prose", prose)
+    return b.where(F.col("sample_no") <= F.coalesce(most, F.col("sample_no"))).drop("_on", "_kind", "_from")
+
+
 def has_signal(text: Column) -> Column:
     out = F.lit(False)
     for pattern in V.ONSET_SIGNALS:
@@ -111,11 +178,12 @@ def sampled(blocks: DataFrame, starts: DataFrame, doc: str = "doc_id", page: str
 
 
 def stitched(pages: DataFrame, doc: str = "doc_id", sheet: str | None = None, page: str = "page", text: str = "text", lines: int = 5) -> DataFrame:
-    """pages with the last lines of the page before in front, and how long that tail is (without the line break)."""
+    """pages with the last lines of the page before in front, how long that tail is (without the line break), and from_page, the page it is of: what is found in it spans both."""
     w = W.partitionBy(*[c for c in (doc, sheet) if c]).orderBy(page)
     before = F.split(F.lag(text).over(w), r"\R")
     tail = F.array_join(F.slice(before, F.greatest(F.size(before) - lines + 1, F.lit(1)), lines), "\n")
-    return pages.withColumn("tail", tail).withColumn("tail_len", F.coalesce(F.length("tail"), F.lit(0))).withColumn("stitched", F.when(F.col("tail").isNull(), F.col(text)).otherwise(F.concat("tail", F.lit("\n"), F.col(text)))).drop("tail")
+    out = pages.withColumn("tail", tail).withColumn("tail_len", F.coalesce(F.length("tail"), F.lit(0))).withColumn("from_page", F.when(F.col("tail").isNotNull(), F.lag(page).over(w)))
+    return out.withColumn("stitched", F.when(F.col("tail").isNull(), F.col(text)).otherwise(F.concat("tail", F.lit("\n"), F.col(text)))).drop("tail")
 
 
 def id_columns(cells: DataFrame, by: list[str], share: float = 0.80) -> DataFrame:
@@ -139,7 +207,46 @@ def prompt_budget(blocks: DataFrame, doc: str = "doc_id", order: str = "block_id
     return b.where((left > 0) & (F.col("no") <= most)).withColumn("excerpt", F.substring("text", F.lit(1), left.cast("int"))).drop("upto")
 
 
+def unfenced(reply: Column) -> Column:
+    """A model's reply without the lines that fence its code."""
+    lines = F.filter(F.split(F.trim(reply), "\n"), lambda x: ~F.startswith(F.trim(x), F.lit("```")))
+    return F.when(F.startswith(F.trim(reply), F.lit("```")), F.array_join(lines, "\n")).otherwise(F.trim(reply))
+
+
 def parsed_reply(reply: Column, schema: str) -> Column:
     """JSON of a model's reply without its code fence; what doesn't parse is null."""
     return F.from_json(F.regexp_replace(F.regexp_replace(reply, r"^\s*```(?:json)?\s*", ""), r"\s*```\s*$", ""), schema, {"mode": "PERMISSIVE"})
 
+
+def each(reply: Column, field: str, schema: str) -> Column:
+    """The elements of an array of a reply, each parsed by itself: one that is none is dropped and hurts no other."""
+    raw = F.from_json(reply, f"`{field}` array<string>")[field]
+    known = F.filter(F.transform(raw, lambda x: F.when(F.startswith(F.ltrim(x), F.lit("{")), F.from_json(x, schema))), lambda x: x.isNotNull())
+    return F.coalesce(known, F.from_json(F.lit("[]"), f"array<{T.StructType.fromDDL(schema).simpleString()}>"))
+
+
+def clamped(c: Column, default: float = 0.5) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(default))))
+
+
+def structure_reply(reply: Column) -> Column:
+    """A model's structure of a document: kind (unknown if it is none) and clamped confidence, sections and roles of known kinds only; null if the reply is no JSON object."""
+    r = unfenced(reply)
+    head = F.from_json(r, "document_type string, confidence double")
+    kind = F.when(head["document_type"].isin(list(V.DOCUMENT_WORDS)), head["document_type"]).otherwise("unknown")
+    sections_ = F.filter(each(r, "sections", "section_type string, page_start int, page_end int, block_indices array<int>, confidence double"), lambda x: x["section_type"].isin(list(V.SECTION_ROLES)))
+    roles = F.filter(each(r, "entity_roles", "block_index int, entity_role string, confidence double"), lambda x: x["entity_role"].isin(sorted(set(V.SECTION_ROLES.values()))) & (x["block_index"] >= 0))
+    return F.when(F.startswith(r, F.lit("{")) & F.get_json_object(r, "$").isNotNull(), F.struct(kind.alias("document_type"), clamped(head["confidence"]).alias("confidence"), sections_.alias("sections"), roles.alias("entity_roles")))
+
+
+def schema_reply(reply: Column) -> Column:
+    """A model's understanding of a document, element by element: fields, people, dates, tables, hints and the clamped confidence; null if the reply is no JSON object."""
+    r = unfenced(reply)
+    head = F.from_json(r, "document_type string, suppression_hints array<string>, schema_confidence double")
+    fields = each(r, "field_map", "label string, value_example string, semantic_type string, is_pii boolean, presidio_override string, suppress_types array<string>")
+    people = F.transform(each(r, "people", "name string, role string, is_pii_subject boolean"), lambda p: F.struct(p["name"].alias("name"), F.coalesce(p["role"], F.lit("unknown")).alias("role"), F.coalesce(p["is_pii_subject"], F.lit(False)).alias("is_pii_subject")))
+    fields = F.transform(fields, lambda f: F.struct(f["label"].alias("label"), f["value_example"].alias("value"), F.coalesce(f["is_pii"], F.lit(False)).alias("is_pii"), f["presidio_override"].alias("override"), F.coalesce(f["suppress_types"], F.array().cast("array<string>")).alias("suppress_types")))
+    return F.when(F.startswith(r, F.lit("{")) & F.get_json_object(r, "$").isNotNull(), F.struct(
+        F.coalesce(head["document_type"], F.lit("unknown")).alias("document_type"), fields.alias("fields"), people.alias("people"), each(r, "date_contexts", "value string, semantic_type string, is_pii boolean").alias("dates"),
+        each(r, "tables", "columns array<struct<header:string,contains_pii:boolean>>, has_pii_columns boolean").alias("tables"),
+        F.coalesce(head["suppression_hints"], F.array().cast("array<string>")).alias("hints"), clamped(head["schema_confidence"]).alias("confidence")))

@@ -70,8 +70,8 @@ def categories_sql(kind: str) -> str:
 @query("SELECT source, category, count(*) AS n FROM (SELECT source, unnest(" + categories_sql("entity_type") + ") AS category FROM (" + spans_sql("documents", CORE, "doc_id, source") + ")) GROUP BY 1, 2")
 def detect_category_counts(spark, sf_dir) -> DataFrame:
     """Detections of the most common types by source and category."""
-    pairs = [F.struct(F.lit(k).alias("entity_type"), F.regexp_count("text", F.lit(pattern(k))).cast("bigint").alias("n")) for k in CORE]
-    d = spread(read(spark, sf_dir, "documents").where("text is not null").select("source", "text")).select("source", F.explode(F.array(*pairs)).alias("p")).select("source", "p.*").where("n > 0")
+    pairs = [F.struct(F.lit(k).alias("entity_type"), D.occurrences(F.col("text"), pattern(k), F.col("odd")).cast("bigint").alias("n")) for k in CORE]
+    d = spread(read(spark, sf_dir, "documents").where("text is not null").select("source", "text", F.col("text").rlike(D.ODD).alias("odd"))).select("source", F.explode(F.array(*pairs)).alias("p")).select("source", "p.*").where("n > 0")
     return D.with_categories(d.groupBy("source", "entity_type").agg(F.sum("n").alias("n"))).groupBy("source", "category").agg(F.sum("n").alias("n"))
 
 
@@ -159,16 +159,91 @@ def suppression_reasons(spark, sf_dir) -> DataFrame:
     return d.groupBy("entity_type", "fp_reason").agg(F.count("*").alias("n"))
 
 
-@query()
+_FILTER_KINDS = ["EMAIL", "IPV4", "DATE_OF_BIRTH_ISO", "DATE_OF_BIRTH_MDY", "EIN", "GST_NUMBER", "VAT_EU"]
+
+
+def _filter_inputs(spark, sf_dir) -> DataFrame:
+    """Detections in blocks and names in cells, filtered by what the tables and cells of their document tell."""
+    b = read(spark, sf_dir, "extracted_blocks").select("doc_id", "block_id", "text", "block_type", "col_header", "table_id").distinct()
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("is_scanned"), 0.4).otherwise(0.9).alias("schema_confidence"))
+    found = D.detect(b.select("doc_id", "block_id", "text"), types=_FILTER_KINDS).withColumn("near", X.around("text", "start", "end", 200)).select("doc_id", "block_id", "entity_type", "value", "near")
+    cells = b.where("block_type = 'table_cell' and text is not null and col_header is not null")
+    named = cells.where("col_header in ('Employee', 'Member name', 'Contact', 'Department')").select("doc_id", "block_id", F.lit("ORGANIZATION").alias("entity_type"), F.col("text").alias("value"), F.lit("").alias("near"))
+    every = found.unionByName(named).join(docs, "doc_id")
+    fields = cells.where("col_header in ('Mail', 'Ref')").select("doc_id", F.col("text").alias("value"), (F.col("col_header") == "Mail").alias("is_pii"), F.array().cast("array<string>").alias("suppress_types"), F.lit("EMAIL_ADDRESS").alias("override"), F.col("block_id").alias("seq"))
+    people = cells.where("col_header in ('Employee', 'Member name', 'Contact')").select("doc_id", F.col("text").alias("name"))
+    dates = b.where("block_type = 'prose'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b(?:issued|posted|dated|on|of) ([0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})"), F.lit(1))).alias("value"), F.lit(False).alias("is_pii"))
+    hints = cells.where("col_header = 'Tag'").select("doc_id", F.col("text").alias("hint"))
+    heads = cells.select("doc_id", "table_id", F.col("col_header").alias("h"), F.col("col_header").isin("Mail", "E-mail", "Tel.", "Phone", "Mobile", "Employee", "Member name", "Contact").alias("pii")).distinct()
+    per = heads.groupBy("doc_id", "table_id").agg(F.max("pii").alias("has_pii"), F.array_compact(F.collect_list(F.when(~F.col("pii"), F.col("h")))).alias("plain"), F.array_compact(F.collect_list(F.when(F.col("pii"), F.col("h")))).alias("personal"))
+    tables = per.withColumn("table_no", F.pmod(F.crc32("table_id"), F.lit(2**31 - 1)).cast("int")).select("doc_id", "table_no", "has_pii", "plain", "personal")
+    return D.schema_filter(every, fields, dates, people, hints, tables)
+
+
+_FILTERED = f"""WITH b AS (SELECT DISTINCT doc_id, block_id, text, block_type, col_header, table_id FROM extracted_blocks), c AS (SELECT * FROM b WHERE block_type = 'table_cell' AND text IS NOT NULL AND col_header IS NOT NULL),
+f AS (SELECT doc_id, block_id, entity_type, value, substr(text, greatest(start - 200, 0)::BIGINT + 1, (least(start + length(value) + 200, length(text)) - greatest(start - 200, 0))::BIGINT) AS near FROM ({spans_sql('b', _FILTER_KINDS, 'doc_id, block_id')})
+  UNION ALL SELECT doc_id, block_id, 'ORGANIZATION', text, '' FROM c WHERE col_header IN ('Employee', 'Member name', 'Contact', 'Department')),
+d AS (SELECT row_number() OVER () AS id, f.*, CASE WHEN is_scanned THEN 0.4 ELSE 0.9 END AS confidence FROM f JOIN documents USING (doc_id)),
+fields AS (SELECT doc_id, lower(trim(text)) AS k, col_header = 'Mail' AS pii, block_id AS seq FROM c WHERE col_header IN ('Mail', 'Ref')),
+r1 AS (SELECT id, arg_min(CASE WHEN pii THEN 'reclassify' ELSE 'suppress' END, seq) AS act FROM d JOIN fields e ON e.doc_id = d.doc_id AND e.k = lower(trim(d.value)) WHERE NOT pii OR entity_type <> 'EMAIL_ADDRESS' GROUP BY 1),
+t AS (SELECT doc_id, table_id, bool_or(p) AS has_pii, coalesce(list(h) FILTER (NOT p), []) AS plain, coalesce(list(h) FILTER (p), []) AS personal FROM (SELECT DISTINCT doc_id, table_id, col_header AS h, col_header IN ('Mail', 'E-mail', 'Tel.', 'Phone', 'Mobile', 'Employee', 'Member name', 'Contact') AS p FROM c) GROUP BY 1, 2),
+h AS (SELECT doc_id, flatten(list(plain)) AS any_plain FROM t GROUP BY 1),
+r2 AS (SELECT DISTINCT id FROM d JOIN t USING (doc_id) JOIN h USING (doc_id) WHERE len(any_plain) > 0 AND CASE WHEN has_pii THEN len(list_filter(plain, lambda x: regexp_matches(near, '(?i)' || regexp_escape(trim(x)) || '\\b'))) > 0 AND len(list_filter(personal, lambda x: regexp_matches(near, '(?i)' || regexp_escape(trim(x)) || '\\b'))) = 0
+  ELSE len(list_filter(any_plain, lambda x: regexp_matches(near, '(?i)\\b' || regexp_escape(trim(x)) || '\\b'))) > 0 END),
+dates AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b(?:issued|posted|dated|on|of) ([0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1)) AS v FROM b WHERE block_type = 'prose'),
+people AS (SELECT DISTINCT doc_id, lower(trim(text)) AS k FROM c WHERE col_header IN ('Employee', 'Member name', 'Contact')), hints AS (SELECT doc_id, list(DISTINCT lower(text)) AS hs FROM c WHERE col_header = 'Tag' GROUP BY 1),
+x AS (SELECT d.*, r1.act, CASE WHEN confidence < 0.5 THEN NULL WHEN r1.act IS NOT NULL THEN 'field_map' WHEN r2.id IS NOT NULL THEN 'table' WHEN contains(upper(entity_type), 'DATE') AND dates.v IS NOT NULL THEN 'date' WHEN entity_type = 'ORGANIZATION' AND people.k IS NOT NULL THEN 'person'
+  WHEN len(list_filter(coalesce(hs, []), lambda y: contains(y, lower(trim(value))) OR contains(lower(trim(value)), y))) > 0 THEN 'hint' END AS rule FROM d LEFT JOIN r1 USING (id) LEFT JOIN r2 ON r2.id = d.id LEFT JOIN dates ON dates.doc_id = d.doc_id AND dates.v = trim(value) LEFT JOIN people ON people.doc_id = d.doc_id AND people.k = lower(trim(value)) LEFT JOIN hints ON hints.doc_id = d.doc_id),
+z AS (SELECT *, CASE WHEN rule IS NULL THEN 'keep' WHEN rule = 'field_map' THEN act WHEN rule = 'person' THEN 'reclassify' ELSE 'suppress' END AS action, CASE WHEN rule = 'field_map' AND act = 'reclassify' THEN 'EMAIL_ADDRESS' WHEN rule = 'person' THEN 'PERSON' END AS new_type FROM x)
+"""
+
+
+@query(_FILTERED + "SELECT entity_type, action, rule, new_type, count(*) AS n FROM z GROUP BY 1, 2, 3, 4")
 def schema_filtered(spark, sf_dir) -> DataFrame:
-    """Detections of contact cells against what the table's people and headers tell."""
-    b = read(spark, sf_dir, "extracted_blocks").distinct()
-    found = D.detect(b.select("doc_id", "block_id", "text"), types=["EMAIL", "PHONE_US", "IPV4"]).withColumn("schema_confidence", F.lit(0.9)).drop("text")
-    heads = b.where("block_type = 'table_cell'").select("doc_id", F.col("text").alias("value"), F.when(F.col("col_header").isin("Mail", "E-mail"), True).otherwise(False).alias("is_pii"), F.array().cast("array<string>").alias("suppress_types"), F.lit("EMAIL_ADDRESS").alias("override"), F.col("block_id").alias("seq"))
-    people = b.where("col_header in ('Employee', 'Member name', 'Contact')").select("doc_id", F.col("text").alias("name"))
-    dates = b.where("false").select("doc_id", F.col("text").alias("value"), F.lit(False).alias("is_pii"))
-    hints = b.where("col_header = 'Ref'").select("doc_id", F.col("text").alias("hint"))
-    return D.schema_filter(found, heads, dates, people, hints).groupBy("entity_type", "action", "rule").agg(F.count("*").alias("n"))
+    return _filter_inputs(spark, sf_dir).groupBy("entity_type", "action", "rule", "new_type").agg(F.count("*").alias("n"))
+
+
+@query(_FILTERED + "SELECT doc_id, entity_type, CASE WHEN length(value) <= 4 THEN repeat('*', length(value)) ELSE repeat('*', length(value) - 4) || right(value, 4) END AS detected_text, action, rule AS reason, new_type FROM z WHERE rule IS NOT NULL")
+def suppression_log(spark, sf_dir) -> DataFrame:
+    return D.suppression_log(_filter_inputs(spark, sf_dir))
+
+
+@query("SELECT region, count(*) AS n_patterns FROM (SELECT unnest([" + ", ".join(f"'{p[3]}'" for p in V.PATTERNS) + "]) AS region) GROUP BY 1")
+def pattern_regions(spark, sf_dir) -> DataFrame:
+    """The regions that patterns are for, with how many each has."""
+    return spark.createDataFrame([(r, sum(p[3] == r for p in V.PATTERNS)) for r in D.regions()], "region string, n_patterns bigint")
+
+
+_UK = [p[0] for p in D.chosen(["UK"]) if p[0] not in LOOKAROUND]
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS entity_type, sum(len(regexp_extract_all(text, {q(pattern(k))})))::BIGINT AS n_matches, count(*) AS n_texts FROM documents WHERE regexp_matches(text, {q(pattern(k))}) HAVING count(*) > 0" for k in _UK))
+def detect_region_counts(spark, sf_dir) -> DataFrame:
+    """Matches of the patterns of one region and of those that hold everywhere."""
+    return D.counts(spread(read(spark, sf_dir, "documents").select("text")), types=_UK)
+
+
+_REPORT = " UNION ALL ".join(f"SELECT doc_id, page_or_sheet, '{k}' AS k, {dict((p[0], p[2]) for p in V.PATTERNS)[k]} AS s, unnest(regexp_extract_all(text, {q(pattern(k))})) AS v FROM b WHERE text IS NOT NULL" for k in CORE)
+
+
+@query(f"""WITH b AS (SELECT DISTINCT doc_id, block_id, page_or_sheet, file_type, text FROM extracted_blocks), h AS (SELECT doc_id, page_or_sheet, count(*) AS pii_hits, count(*) FILTER (s < 0.75) AS low_confidence, count(DISTINCT k) AS n_types FROM ({_REPORT}) GROUP BY 1, 2)
+SELECT doc_id, page_or_sheet, CASE WHEN bool_or(lower(file_type) IN ('csv', 'xlsx', 'xls', 'parquet', 'avro')) THEN 'sheet' ELSE 'digital' END AS page_type, count(*) AS blocks_extracted, coalesce(any_value(pii_hits), 0) AS pii_hits, coalesce(any_value(low_confidence), 0) AS low_confidence, coalesce(any_value(n_types), 0) AS n_types FROM b LEFT JOIN h USING (doc_id, page_or_sheet) GROUP BY 1, 2""")
+def page_reports(spark, sf_dir) -> DataFrame:
+    b = read(spark, sf_dir, "extracted_blocks").select("doc_id", "block_id", "page_or_sheet", "file_type", "text").distinct()
+    r = D.page_report(b, D.detect(b, types=CORE).drop("text"))
+    return r.withColumn("n_types", F.coalesce(F.size(F.map_keys("by_type")), F.lit(0))).withColumn("n_types", F.greatest("n_types", F.lit(0)).cast("bigint")).drop("by_type")
+
+
+_ROLE_SQL = "CASE " + " ".join(f"WHEN section = {q(k)} THEN {q(v)}" for k, v in V.SECTION_ROLES.items()) + " ELSE 'unknown' END"
+_HEAD_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, {q('(?i)' + '|'.join(p))}) THEN {q(k)}" for k, p in V.SECTION_HEADINGS.items()) + " " + " ".join(f"WHEN contains(lower(col_header), {q(w)}) THEN {q(k)}" for w, k in V.SECTION_COLUMNS.items()) + " END"
+
+
+@query(f"""WITH b AS (SELECT DISTINCT doc_id, block_id, text, col_header FROM extracted_blocks WHERE text IS NOT NULL), h AS (SELECT *, {_HEAD_SQL} AS heading FROM b), s AS (SELECT *, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_id ROWS UNBOUNDED PRECEDING) AS section FROM h)
+SELECT entity_type, role, count(*) AS n FROM (SELECT block_id, {_ROLE_SQL} AS role FROM s) JOIN ({spans_sql('b', CORE, 'block_id')}) USING (block_id) GROUP BY 1, 2""")
+def detection_roles(spark, sf_dir) -> DataFrame:
+    """Detections by the role of the section they stand in."""
+    b = read(spark, sf_dir, "extracted_blocks").where("text is not null").select("doc_id", "block_id", "text", "col_header").distinct()
+    return S.with_roles(D.detect(b, types=CORE).drop("text"), S.block_roles(b)).groupBy("entity_type", F.col("entity_role").alias("role")).agg(F.count("*").alias("n"))
 
 
 # ---- text functions
@@ -233,26 +308,73 @@ def normal_dobs(spark, sf_dir) -> DataFrame:
     return r.select("record_id", "raw_dob", N.dob("raw_dob", F.coalesce("country", F.lit("US"))).alias("dob"))
 
 
-@query()
+_TRIM = lambda c: f"regexp_replace({c}, '^[\\s\\p{{Z}}\\x{{85}}]+|[\\s\\p{{Z}}\\x{{85}}]+$', '', 'g')"
+_COLLAPSE = lambda c: f"regexp_replace({c}, '[\\s\\p{{Z}}\\x{{85}}]+', ' ', 'g')"
+
+
+def soundex_sql(c: str) -> str:
+    s = f"regexp_replace(upper(regexp_replace({c}, '[^A-Za-z]', '', 'g')), '[^A-Z]', '', 'g')"
+    runs = f"translate({s}, 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000000')"
+    for d in "0123456":
+        runs = f"regexp_replace({runs}, '{d}+', '{d}', 'g')"
+    return f"CASE WHEN {s} = '' THEN '0000' ELSE rpad(left({s}, 1) || replace(substr({runs}, 2), '0', ''), 4, '0') END"
+
+
+def title_sql(c: str) -> str:
+    return f"array_to_string([upper(left(x, 1)) || lower(substr(x, 2)) FOR x IN regexp_extract_all({c}, '\\pL+|[^\\pL]+')], '')"
+
+
+
+@query(f"""WITH r AS (SELECT record_id, raw_name, {_COLLAPSE(_TRIM('raw_name'))} AS v FROM pii_records WHERE raw_name IS NOT NULL), b AS (SELECT *, regexp_replace(v, {q(V.HONORIFICS)}, '') AS bare FROM r), p AS (SELECT *, [{_TRIM('x')} FOR x IN string_split(bare, ',')] AS ps FROM b),
+t AS (SELECT *, len(ps) = 2 AND len(list_filter(ps, lambda x: x = '' OR regexp_matches(x, '\\p{{Nd}}') OR regexp_matches(x, {q(V.NON_LATIN)}) OR lower(x) IN ({", ".join(map(q, V.PLACES))}))) = 0 AS turned FROM p)
+SELECT record_id, raw_name, CASE WHEN regexp_matches(v, {q(V.NON_LATIN)}) THEN v ELSE {title_sql(_COLLAPSE(_TRIM("CASE WHEN turned THEN regexp_replace(ps[2] || ' ', " + q(V.HONORIFICS) + ", '') || ps[1] ELSE bare END")))} END AS name, {soundex_sql('raw_name')} AS code FROM t""")
 def normal_names(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "pii_records").where("raw_name is not null").select("record_id", "raw_name", N.name("raw_name").alias("name"), soundex("raw_name").alias("code"))
 
 
-@query()
+@query("""WITH r AS (SELECT record_id, raw_phone, regexp_replace(raw_phone, '(?i)\\s*(?:x|ext\\.?)\\s*\\d+\\s*$', '') AS v FROM pii_records WHERE raw_phone IS NOT NULL),
+d AS (SELECT *, regexp_matches(trim(v), '^(\\+|00)') AS plus, regexp_replace(regexp_replace(regexp_replace(v, '\\(0\\)', '', 'g'), '^\\s*00', '+'), '\\D', '', 'g') AS d FROM r)
+SELECT record_id, raw_phone, CASE WHEN plus AND regexp_matches(d, '^[1-9]\\d{6,14}$') AND (d[1] <> '1' OR regexp_matches(d, '^1[2-9]\\d{2}[2-9]\\d{6}$')) THEN '+' || d
+WHEN NOT plus AND regexp_matches(d, '^1?([2-9]\\d{2}[2-9]\\d{6})$') THEN '+1' || regexp_extract(d, '^1?([2-9]\\d{2}[2-9]\\d{6})$', 1) END AS phone FROM d""")
 def normal_phones(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "pii_records").where("raw_phone is not null").select("record_id", "raw_phone", N.phone("raw_phone").alias("phone"))
 
 
-@query()
+def jaro_winkler_sql(source: str) -> str:
+    """Common table expressions jr and jw (x, y, s) with the similarity of distinct pairs of a table (x, y); half transpositions count."""
+    return f"""jr AS (SELECT x, y, 0 AS i, repeat('0', length(y)) AS used, '' AS seen FROM {source} UNION ALL
+SELECT x, y, i + 1, CASE WHEN js IS NULL THEN used ELSE left(used, js - 1) || '1' || substr(used, js + 1) END, CASE WHEN js IS NULL THEN seen ELSE seen || x[i + 1] END
+FROM (SELECT x, y, i, used, seen, list_min(list_filter(range(greatest(1, i + 1 - greatest(greatest(length(x), length(y)) // 2 - 1, 0)), least(length(y), i + 1 + greatest(greatest(length(x), length(y)) // 2 - 1, 0)) + 1), lambda k: used[k] = '0' AND y[k] = x[i + 1]))::INT AS js FROM jr WHERE i < length(x))),
+jm AS (SELECT x, y, seen, length(seen) AS m, array_to_string(list_transform(list_filter(range(1, length(y) + 1), lambda k: used[k] = '1'), lambda k: y[k]), '') AS other FROM jr WHERE i = length(x)),
+jj AS (SELECT x, y, CASE WHEN x = y THEN 1.0 WHEN m = 0 THEN 0.0 ELSE (m::DOUBLE / length(x) + m::DOUBLE / length(y) + (m - len(list_filter(range(1, m + 1), lambda k: seen[k] <> other[k])) / 2.0)::DOUBLE / m) / 3 END AS j,
+  CASE WHEN x[1:4] = y[1:4] THEN least(4, length(x), length(y)) WHEN x[1:3] = y[1:3] THEN 3 WHEN x[1:2] = y[1:2] THEN 2 WHEN x[1] = y[1] THEN 1 ELSE 0 END AS p FROM jm),
+jw AS MATERIALIZED (SELECT x, y, (j + p * 0.1 * (1 - j))::DOUBLE AS s FROM jj)"""
+
+
+_NAMES = "|".join(sorted(N.STATES, key=len, reverse=True))
+_SHORT = "|".join(sorted(set(N.STATES.values())))
+_COUNTRY = "CASE " + " ".join(f"WHEN regexp_matches(v, {q(p)}) THEN '{c}'" for p, c in V.COUNTRY_WORDS) + f" WHEN regexp_matches(v, {q(N.POSTAL['GB'])}) THEN 'GB' WHEN regexp_matches(v, {q(N.POSTAL['IN'])}) THEN 'IN' WHEN regexp_matches(v, {q(N.POSTAL['CA'])}) THEN 'CA' WHEN regexp_matches(v, {q(f'(?i){chr(92)}b(?:{_NAMES}){chr(92)}b')}) THEN 'US' WHEN regexp_matches(v, {q(f'{chr(92)}b(?:{_SHORT}){chr(92)}b')}) THEN 'US' WHEN regexp_matches(v, {q(N.POSTAL['US'])}) THEN 'US' END"
+_PICK = lambda of: "CASE l " + " ".join(f"WHEN '{k}' THEN {of(p)}" for k, p in N.POSTAL.items()) + f" ELSE {of(N.POSTAL['US'])} END"
+_BEFORE = lambda p: "(?s)" + ("(?i)" if p.startswith("(?i)") else "") + "^(.*?)" + p.removeprefix("(?i)")
+_END, _END2 = f"(?i)(?:^|[,\\s]+)({_NAMES})\\s*$", f"(?i)(?:^|[,\\s]+)({_SHORT})\\s*$"
+_STATE = "CASE lower(regexp_extract(t, " + q(_END) + ", 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in N.STATES.items()) + " END"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT record_id, normalized_value, {_TRIM('normalized_value')} AS v FROM pii_records WHERE entity_type = 'ADDRESS' AND normalized_value IS NOT NULL), c AS (SELECT *, {_COUNTRY} AS country, coalesce({_COUNTRY}, 'US') AS l FROM r),
+z AS (SELECT *, {_PICK(lambda p: f"regexp_extract(v, {q(p)}, 1)")} AS code, {_PICK(lambda p: f"regexp_extract(v, {q(_BEFORE(p))}, 1)")} AS before FROM c), t AS (SELECT *, CASE WHEN code <> '' THEN regexp_replace(before, '[, ]+$', '') ELSE v END AS t FROM z),
+s AS (SELECT *, CASE WHEN l = 'US' THEN coalesce({_STATE}, nullif(upper(regexp_extract(t, {q(_END2)}, 1)), '')) END AS state, CASE WHEN l = 'US' AND regexp_matches(t, {q(_END)}) THEN regexp_replace(t, {q(_END)}, '') WHEN l = 'US' THEN regexp_replace(t, {q(_END2)}, '') ELSE t END AS rest FROM t),
+p AS (SELECT *, list_filter([lower({_TRIM('x')}) FOR x IN string_split(rest, ',')], lambda x: x <> '') AS ps, regexp_matches(v, '\\b\\d+\\s+\\w') OR code <> '' AS ok FROM s)
+SELECT record_id, normalized_value, country, CASE WHEN ok THEN ps[1] END AS street, CASE WHEN ok THEN ps[2] END AS city, CASE WHEN ok THEN state END AS state, CASE WHEN ok THEN nullif(CASE WHEN l IN ('GB', 'CA', 'US') THEN upper(replace(code, ' ', '')) ELSE code END, '') END AS zip FROM p""")
 def normal_addresses(spark, sf_dir) -> DataFrame:
-    r = read(spark, sf_dir, "pii_records").where("entity_type = 'ADDRESS' and normalized_value is not null")
-    return r.select("record_id", "normalized_value", N.country_of("normalized_value").alias("country"), F.to_json(N.address("normalized_value")).alias("address"))
+    r = read(spark, sf_dir, "pii_records").where("entity_type = 'ADDRESS' and normalized_value is not null").select("record_id", "normalized_value").distinct()
+    a = r.withColumn("country", N.country_of("normalized_value")).withColumn("a", N.address("normalized_value"))
+    return a.select("record_id", "normalized_value", "country", "a.street", "a.city", "a.state", "a.zip")
 
 
-@query()
+@query(f"""WITH RECURSIVE n AS (SELECT record_id, lower(raw_name) AS x, lower(normalized_value) AS y FROM pii_records WHERE raw_name <> '' AND normalized_value <> ''), u AS (SELECT DISTINCT x, y FROM n), {jaro_winkler_sql("u")} SELECT record_id, round(s, 6) AS similarity FROM n JOIN jw USING (x, y)""")
 def name_similarity(spark, sf_dir) -> DataFrame:
-    """Jaro-Winkler of raw and normalised names that differ."""
-    r = read(spark, sf_dir, "pii_records").where("entity_type = 'PERSON' and raw_name <> normalized_value")
+    """Jaro-Winkler of raw and normalised values."""
+    r = read(spark, sf_dir, "pii_records").where("raw_name <> '' and normalized_value <> ''")
     return r.select("record_id", F.round(jaro_winkler(F.lower("raw_name"), F.lower("normalized_value")), 6).alias("similarity"))
 
 
@@ -279,10 +401,14 @@ def page_classes(spark, sf_dir) -> DataFrame:
     return b.groupBy(S.page_class(F.col("text")).alias("page_class")).agg(F.count("*").alias("n"))
 
 
-@query()
+_KINDS = ", ".join(f"{{'k': {q(k)}, 'p': {i}, 'n': len(list_filter({words(ws)}, lambda w: contains(c, w)))}}" for i, (k, ws) in enumerate(V.DOCUMENT_WORDS.items()))
+
+
+@query(f"""WITH b AS (SELECT DISTINCT doc_id, block_id, text, page_or_sheet FROM extracted_blocks WHERE text IS NOT NULL AND (try_cast(page_or_sheet AS INT) IS NULL OR try_cast(page_or_sheet AS INT) <= 5)), d AS (SELECT doc_id, string_agg(lower(text), ' ' ORDER BY block_id) AS c FROM b GROUP BY 1),
+k AS (SELECT doc_id, len(list_filter(string_split_regex(c, '[\\s\\p{{Z}}\\x{{85}}]+'), lambda x: x <> '')) AS w, list_sort([{_KINDS}], 'ASC') AS ks FROM d), u AS (SELECT doc_id, w, unnest(ks) AS s FROM k), r AS (SELECT doc_id, w, s.k AS k, s.n AS n, row_number() OVER (PARTITION BY doc_id ORDER BY s.n DESC, s.p) AS i FROM u)
+SELECT doc_id, CASE WHEN a.n = 0 THEN 'unknown' ELSE a.k END AS document_type, CASE WHEN a.n = 0 THEN 0.0 ELSE round(greatest(0.3, least(0.95, least(1.0, a.n::DOUBLE / greatest(a.w, 1) * 50 + (a.n - b.n)::DOUBLE / a.n * 0.5))), 6) END AS confidence FROM r a JOIN r b USING (doc_id) WHERE a.i = 1 AND b.i = 2""")
 def document_types(spark, sf_dir) -> DataFrame:
-    b = read(spark, sf_dir, "extracted_blocks").where("text is not null")
-    return S.document_type(b).groupBy("document_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+    return S.document_type(read(spark, sf_dir, "extracted_blocks").where("text is not null").select("doc_id", "block_id", "text", "page_or_sheet").distinct())
 
 
 _HEAD = "CASE " + " ".join(f"WHEN regexp_matches(text, {q('(?i)' + '|'.join(p))}) THEN {q(k)}" for k, p in V.SECTION_HEADINGS.items()) + " " + " ".join(f"WHEN contains(lower(col_header), {q(w)}) THEN {q(k)}" for w, k in V.SECTION_COLUMNS.items()) + " END"
@@ -315,13 +441,43 @@ def candidate_pages(spark, sf_dir) -> DataFrame:
     return S.candidate_pages(_pages(spark, sf_dir)).select("doc_id", "page", "rank")
 
 
-@query()
+_SURE = [p for p in V.PATTERNS if p[2] >= 0.70]
+_NINO = pattern("NATIONAL_INSURANCE_UK").replace("(?!BG|GB|NK|KN|TN|NT|ZZ)", "")
+_OWN = {"PHONE_US": "regexp_matches(text, " + q("(?:^|[^\\pL\\p{Nd}_])" + pattern("PHONE_US").removeprefix(r"(?<!\w)").removesuffix(r"(?!\w)") + "(?:$|[^\\pL\\p{Nd}_])") + ")",
+        "NATIONAL_INSURANCE_UK": f"len(list_filter(regexp_extract_all(text, {q(_NINO)}), lambda x: left(x, 2) NOT IN ('BG', 'GB', 'NK', 'KN', 'TN', 'NT', 'ZZ'))) > 0"}
+_SURE_SQL = " OR ".join(_OWN.get(p[0], f"regexp_matches(text, {q(p[1])})") for p in _SURE)
+
+
+@query(f"""WITH p AS (SELECT * FROM {_PAGES}), sure AS (SELECT DISTINCT doc_id, page FROM p WHERE {_SURE_SQL}), c AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY min(block_id)) AS r FROM p WHERE {_SIG} GROUP BY 1, 2 QUALIFY r <= 5),
+t AS (SELECT doc_id, r * 2 AS k, page AS p FROM c UNION ALL SELECT doc_id, r * 2 + 1, page + 1 FROM c), o AS (SELECT doc_id, page AS p, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS r FROM (SELECT DISTINCT doc_id, page FROM p) WHERE (doc_id, page) NOT IN (SELECT doc_id, p FROM t) QUALIFY r <= 20),
+f AS (SELECT doc_id, arg_min(p, k) AS o FROM (SELECT * FROM t UNION ALL SELECT doc_id, r + 1000, p FROM o) x WHERE (doc_id, p) IN (SELECT doc_id, page FROM sure) GROUP BY 1) SELECT DISTINCT p.doc_id, coalesce(f.o, 0) AS onset FROM p LEFT JOIN f USING (doc_id)""")
 def verified_onsets(spark, sf_dir) -> DataFrame:
     p = _pages(spark, sf_dir)
-    found = D.detect(p, types=["EMAIL", "SSN", "PHONE_US", "PAN"]).select("doc_id", "page", "score")
+    found = D.detect(p, types=[x[0] for x in _SURE]).select("doc_id", "page", "score")
     return S.verified_onset(p, found)
 
 
+@query(f"""WITH b AS (SELECT DISTINCT doc_id, block_id, text, page_or_sheet, file_type FROM extracted_blocks WHERE text IS NOT NULL) SELECT doc_id, coalesce(arg_min(page_or_sheet, block_id) FILTER ({_SIG} AND lower(file_type) NOT IN ('csv', 'xlsx', 'xls', 'parquet', 'avro')), '0') AS onset FROM b GROUP BY 1""")
+def block_onsets(spark, sf_dir) -> DataFrame:
+    return S.block_onset(_kinds_of_blocks(spark, sf_dir))
+
+
+def _kinds_of_blocks(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "extracted_blocks").where("text is not null").select("doc_id", "block_id", "text", "page_or_sheet", "file_type").distinct()
+
+
+@query(f"""WITH b AS (SELECT DISTINCT doc_id, block_id, text, page_or_sheet, lower(file_type) AS f FROM extracted_blocks WHERE text IS NOT NULL), o AS (SELECT doc_id, CASE WHEN bool_or(f IN ('csv', 'xlsx', 'xls', 'parquet', 'avro')) THEN arg_min(page_or_sheet, block_id) ELSE coalesce(arg_min(page_or_sheet, block_id) FILTER ({_SIG}), arg_min(page_or_sheet, block_id)) END AS onset FROM b GROUP BY 1),
+x AS (SELECT *, page_or_sheet = onset AS here, min(block_id) FILTER (page_or_sheet = onset) OVER (PARTITION BY doc_id) AS first FROM b JOIN o USING (doc_id)), s AS (SELECT block_id, f, row_number() OVER (PARTITION BY doc_id ORDER BY block_id)::INT AS sample_no FROM x WHERE CASE WHEN f = 'pdf' OR f IN ('csv', 'xlsx', 'xls', 'parquet', 'avro') THEN here ELSE block_id >= first END)
+SELECT block_id, sample_no FROM s WHERE f = 'pdf' OR sample_no <= CASE WHEN f IN ('csv', 'xlsx', 'xls', 'parquet', 'avro') THEN 50 ELSE 20 END""")
+def kind_samples(spark, sf_dir) -> DataFrame:
+    """The sample of each document by its kind, from the first sheet of a workbook, else the first page with a signal, else the first."""
+    b = _kinds_of_blocks(spark, sf_dir)
+    first = b.groupBy("doc_id").agg(F.min_by("page_or_sheet", "block_id").alias("p"), F.max(F.lower("file_type").isin(S.TABULAR)).alias("table"))
+    hit = b.where(S.has_signal(F.col("text"))).groupBy("doc_id").agg(F.min_by("page_or_sheet", "block_id").alias("h"))
+    on = first.join(hit, "doc_id", "left").select("doc_id", F.when(F.col("table"), F.col("p")).otherwise(F.coalesce("h", "p")).alias("onset"))
+    return S.sample_blocks(b, on).select("block_id", "sample_no")
+
+
 @query(f"WITH o AS (SELECT doc_id, greatest(coalesce(min(page) FILTER ({_SIG}) - 1, 0), 0) AS onset FROM {_PAGES} GROUP BY 1) SELECT block_id, sample_no FROM (SELECT block_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_id)::INT AS sample_no FROM {_PAGES} JOIN o USING (doc_id) WHERE page >= onset) WHERE sample_no <= 20")
 def sample_blocks(spark, sf_dir) -> DataFrame:
     p = _pages(spark, sf_dir)
@@ -350,11 +506,19 @@ def prompt_excerpts(spark, sf_dir) -> DataFrame:
     return S.prompt_budget(b, chars=1000).select("block_id", "excerpt")
 
 
-@query("""WITH o AS (SELECT l_orderkey, l_linenumber, l_quantity AS x0, l_quantity + 5 AS x1, l_extendedprice AS y0, l_extendedprice + 9000 AS y1 FROM lineitem) SELECT a.l_orderkey, count(*) AS n FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY 1""")
+@query("""WITH b AS (SELECT DISTINCT doc_id, page_or_sheet, block_id, bbox.x0 AS x0, bbox.y0 AS y0, bbox.x1 AS x1, bbox.y1 AS y1 FROM extracted_blocks WHERE bbox IS NOT NULL)
+SELECT a.block_id AS a, b.block_id AS b FROM b a JOIN b ON a.doc_id = b.doc_id AND a.page_or_sheet = b.page_or_sheet AND a.block_id < b.block_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""")
 def box_overlaps(spark, sf_dir) -> DataFrame:
-    """The range join of page boxes, on order lines as boxes of quantity and price."""
-    o = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 5).alias("x1"), F.col("l_extendedprice").alias("y0"), (F.col("l_extendedprice") + 9000).alias("y1"))
-    return S.overlapping(o, o, ["l_orderkey"]).where("l.l_linenumber < r.l_linenumber").groupBy(F.col("l.l_orderkey").alias("l_orderkey")).agg(F.count("*").alias("n"))
+    """Blocks of one page whose boxes share an area."""
+    b = read(spark, sf_dir, "extracted_blocks").where("bbox is not null").select("doc_id", "page_or_sheet", "block_id", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1").distinct()
+    return S.overlapping(b, b, ["doc_id", "page_or_sheet"]).where("l.block_id < r.block_id").select(F.col("l.block_id").alias("a"), F.col("r.block_id").alias("b"))
+
+
+@query("""SELECT log_id, CASE WHEN json_valid(response_text) AND trim(response_text) LIKE '{%' THEN 'unknown' END AS document_type, CASE WHEN json_valid(response_text) AND trim(response_text) LIKE '{%' THEN greatest(0.0, least(1.0, coalesce(json_extract(response_text, '$.confidence')::DOUBLE, 0.5))) END AS confidence FROM llm_call_logs""")
+def structure_replies(spark, sf_dir) -> DataFrame:
+    """Replies read as a structure: none names a known kind, confidences are clamped, what is no JSON object is null."""
+    r = read(spark, sf_dir, "llm_call_logs").select("log_id", S.structure_reply(F.col("response_text")).alias("r"))
+    return r.select("log_id", "r.document_type", "r.confidence")
 
 
 @query("SELECT decision, count(*) AS n, round(avg(confidence), 4) AS mean FROM (SELECT json_extract_string(response_text, '$.decision') AS decision, json_extract(response_text, '$.confidence')::DOUBLE AS confidence FROM llm_call_logs WHERE json_valid(response_text)) GROUP BY 1")
@@ -372,20 +536,37 @@ def _records(spark, sf_dir) -> DataFrame:
     return r.groupBy("record_id").agg(F.max_by(F.struct(*keep), F.struct("ingested_at", F.xxhash64(*keep))).alias("v")).select("record_id", "v.*")
 
 
-@query()
+_DOB = f"""CASE WHEN regexp_matches(v, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}$') THEN {_ISO(f'{_P}[1]', f'{_P}[2]', f'{_P}[3]')}
+WHEN regexp_matches(v, '^\\d{{1,2}} [A-Za-z]{{3}} \\d{{4}}$') THEN strftime(try_strptime(v, '%d %b %Y'), '%Y-%m-%d') WHEN regexp_matches(v, '^\\d{{1,2}} [A-Za-z]{{4,}} \\d{{4}}$') THEN strftime(try_strptime(v, '%d %B %Y'), '%Y-%m-%d')
+WHEN regexp_matches(v, '^[A-Za-z]{{3}} \\d{{1,2}}, \\d{{4}}$') THEN strftime(try_strptime(v, '%b %d, %Y'), '%Y-%m-%d') WHEN regexp_matches(v, '^[A-Za-z]{{4,}} \\d{{1,2}}, \\d{{4}}$') THEN strftime(try_strptime(v, '%B %d, %Y'), '%Y-%m-%d')
+WHEN regexp_matches(v, '^\\d{{1,2}}[-./]\\d{{1,2}}[-./]\\d{{1,4}}$') THEN CASE WHEN c IN ('US', 'PH') THEN {_ISO(_YEAR, f'{_P}[1]', f'{_P}[2]')} ELSE {_ISO(_YEAR, f'{_P}[2]', f'{_P}[1]')} END
+WHEN regexp_matches(v, '^\\d{{4}}[-./]\\d{{1,2}}[-./]\\d{{1,4}}$') THEN {_ISO(f'{_P}[1]', f'{_P}[2]', f'{_P}[3]')} END"""
+# all pairs of records, scored: what the blocked joins must come to
+_PAIRS = f"""WITH RECURSIVE l AS (SELECT *, {_TRIM('raw_dob')} AS v, upper(coalesce(country, 'US')) AS c FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ingested_at DESC) AS latest FROM pii_records) WHERE latest = 1),
+n AS MATERIALIZED (SELECT record_id, nullif(CASE WHEN instr({_MAIL}, '@') = 0 THEN {_MAIL} WHEN substr({_MAIL}, instr({_MAIL}, '@') + 1) IN ('gmail.com', 'googlemail.com') THEN replace(left({_MAIL}, instr({_MAIL}, '@') - 1), '.', '') || '@' || substr({_MAIL}, instr({_MAIL}, '@') + 1) ELSE {_MAIL} END, '') AS email,
+  nullif(raw_phone, '') AS phone, nullif(lower({_TRIM('raw_name')}), '') AS nm, {soundex_sql('lower(' + _TRIM('raw_name') + ')')} AS sx, {_DOB} AS dob, nullif(upper(replace(coalesce(raw_address.zip, ''), ' ', '')), '') AS zip, upper(coalesce(raw_address.country, '')) AS land, lower(coalesce(raw_address.street, '')) AS street, entity_role AS role FROM l),
+c AS MATERIALIZED (SELECT DISTINCT x.nm AS x, y.nm AS y FROM n x JOIN n y ON x.record_id < y.record_id WHERE x.nm <> y.nm AND jaro_winkler_similarity(x.nm, y.nm) >= 0.80
+  UNION SELECT DISTINCT x.street, y.street FROM n x JOIN n y ON x.record_id < y.record_id AND x.zip = y.zip WHERE x.street <> y.street AND x.street <> '' AND y.street <> ''), {jaro_winkler_sql("c")},
+j AS MATERIALIZED (SELECT x.record_id AS a, y.record_id AS b, coalesce(x.email = y.email, false) AS e, coalesce(x.phone = y.phone, false) AS p, coalesce(x.dob = y.dob, false) AS d, coalesce(x.nm = y.nm OR CASE WHEN regexp_matches(x.nm || y.nm, {q(V.NON_LATIN)}) THEN w.s >= 0.88 ELSE w.s >= 0.92 OR x.sx = y.sx AND w.s >= 0.80 END, false) AS nm,
+  coalesce((x.land = '' OR y.land = '' OR x.land = y.land) AND x.zip = y.zip AND (x.street = '' OR y.street = '' OR x.street = y.street OR z.s >= 0.85), false) AS ad, coalesce(x.role, '') IN ('primary_subject') AND coalesce(y.role, '') IN ('institutional', 'provider') OR coalesce(y.role, '') IN ('primary_subject') AND coalesce(x.role, '') IN ('institutional', 'provider') AS veto FROM n x JOIN n y ON x.record_id < y.record_id LEFT JOIN jw w ON w.x = x.nm AND w.y = y.nm LEFT JOIN jw z ON z.x = x.street AND z.y = y.street),
+s AS MATERIALIZED (SELECT a, b, (CASE WHEN veto THEN 0.0 ELSE least(1.0, e::INT * 0.40 + p::INT * 0.35 + (nm AND d)::INT * 0.35 + (nm AND ad)::INT * 0.25 + nm::INT * 0.10) END)::DOUBLE AS confidence FROM j), e AS MATERIALIZED (SELECT * FROM s WHERE confidence >= 0.3 - 1e-9)"""
+_GROUPS = _PAIRS + """, two AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT record_id AS n, record_id AS m FROM n UNION SELECT two.b, r.m FROM r JOIN two ON two.a = r.n), g AS MATERIALIZED (SELECT n AS record_id, min(m) AS group_id FROM r GROUP BY 1)"""
+
+
+@query(_PAIRS + " SELECT a, b, round(confidence, 6) AS confidence FROM e")
 def resolved_edges(spark, sf_dir) -> DataFrame:
     return R.edges(_records(spark, sf_dir)).select("a", "b", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+@query(_GROUPS + " SELECT record_id, group_id FROM g")
 def resolved_groups(spark, sf_dir) -> DataFrame:
     return R.groups(_records(spark, sf_dir))
 
 
-@query()
+@query(_GROUPS + """, c AS (SELECT x.group_id, min(confidence) AS least FROM s JOIN g x ON x.record_id = a JOIN g y ON y.record_id = b WHERE x.group_id = y.group_id GROUP BY 1)
+SELECT group_id, count(*) AS size, round(coalesce(any_value(least), 1.0::DOUBLE), 6) AS merge_confidence, coalesce(any_value(least), 1.0) < 0.8 - 1e-9 AS needs_review FROM g LEFT JOIN c USING (group_id) GROUP BY 1""")
 def group_confidence(spark, sf_dir) -> DataFrame:
-    r = _records(spark, sf_dir)
-    return R.group_confidence(R.groups(r), R.edges(r)).groupBy("size", "needs_review").agg(F.count("*").alias("n"))
+    return R.group_confidence(_records(spark, sf_dir)).withColumn("merge_confidence", F.round("merge_confidence", 6)).withColumn("needs_review", F.col("merge_confidence") < 0.8)
 
 
 @query()

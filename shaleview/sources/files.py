@@ -11,10 +11,12 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import ID_FORMS
+from . import avro
 
 EXTENSIONS = ["pdf", "docx", "xlsx", "xls", "csv", "html", "htm", "eml", "msg", "parquet", "avro"]
 BLOCK = "text string, page_or_sheet string, source_path string, file_type string, block_type string, row_no int, column_no int, table_id string, col_header string, row_index int"
@@ -139,12 +141,21 @@ def read_docx(data: bytes, path: str) -> Iterator[tuple]:
                     yield block(text, 0, "table_cell", r, i, f"{path}#{n}", heads[i] if i < len(heads) else None, r - 1)
 
 
-READERS: dict[str, Callable[[bytes, str], Iterator[tuple]]] = {"html": read_html, "htm": read_html, "xml": read_html, "eml": read_email, "xlsx": read_xlsx, "docx": read_docx}
+def read_avro(data: bytes, path: str) -> Iterator[tuple]:
+    for text, page, row, column, header in avro.cells(data):
+        yield block(text, page, "table_cell", row, column, None, header, row)
+
+
+READERS: dict[str, Callable[[bytes, str], Iterator[tuple]]] = {"html": read_html, "htm": read_html, "xml": read_html, "eml": read_email, "xlsx": read_xlsx, "docx": read_docx, "avro": read_avro}
+FALLBACK: list[Callable[[bytes, str], Iterator[tuple]]] = []  # at most one reader, for extensions that have none
 
 
 def register(extension: str, reader: Callable[[bytes, str], Iterator[tuple]]) -> None:
-    """Use reader(bytes, path) for files of an extension, before any built-in one."""
-    READERS[extension.lower().lstrip(".")] = reader
+    """Use reader(bytes, path) for files of an extension, before any built-in one; "*" is for those that have none."""
+    if extension == "*":
+        FALLBACK[:] = [reader]
+    else:
+        READERS[extension.lower().lstrip(".")] = reader
 
 
 def reader_for(path: str) -> Callable[[bytes, str], Iterator[tuple]]:
@@ -152,6 +163,8 @@ def reader_for(path: str) -> Callable[[bytes, str], Iterator[tuple]]:
     if "." not in name:
         raise ValueError(f"{path}: no extension")
     extension = name.rsplit(".", 1)[1].lower()
+    if extension not in READERS and FALLBACK:
+        return FALLBACK[0]
     if extension not in READERS:
         raise ValueError(f"{path}: no reader for {extension}")
     return READERS[extension]
@@ -170,30 +183,65 @@ def discovered(spark: SparkSession, *roots: str, extensions: list[str] | None =
     return found.groupBy("sha256").agg(F.min_by(F.struct("source_path", "file_name", "file_type", "size_bytes"), first).alias("f")).select("f.*", "sha256").orderBy("source_path")
 
 
+def fetched(spark: SparkSession, documents: DataFrame, path: str = "source_path") -> DataFrame:
+    """documents with the content of their file; each path is opened by one task, a missing file gives null."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for at in f[path]:
+                try:
+                    with open(str(at).removeprefix("file://").removeprefix("file:"), "rb") as h:
+                        out.append(h.read())
+                except OSError:
+                    out.append(None)
+            yield f.assign(content=out)
+
+    return documents.mapInPandas(run, T.StructType([*documents.schema.fields, T.StructField("content", T.BinaryType())]))
+
+
+# Kinds of failures, and which of them are worth another try.
+CATEGORIES = {"transient_io": True, "ocr_timeout": True, "corrupt_file": False, "schema_violation": False, "unknown": True}
+
+
+def category(e: BaseException) -> str:
+    """The kind of a failure."""
+    if isinstance(e, TimeoutError):
+        return "ocr_timeout"
+    if isinstance(e, (AssertionError, TypeError)) or isinstance(e, ValueError) and "block" in str(e) and "avro" not in str(e):
+        return "schema_violation"
+    if isinstance(e, (zipfile.BadZipFile, ElementTree.ParseError, UnicodeError, EOFError, KeyError, ValueError, IndexError)):
+        return "corrupt_file"
+    return "transient_io" if isinstance(e, OSError) else "unknown"
+
+
 def blocks(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
-    """Block rows of every file below root that has a byte reader; a file that can't be read gives one row of type error."""
+    """Block rows of every file below root that has a byte reader; a file that can't be read gives one row of type error, with its category."""
     readers = dict(READERS)
-    schema = BLOCK + ", error string"
+    fallback = list(FALLBACK)
+    schema = BLOCK + ", error string, category string, retryable boolean"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path, content in zip(f["path"], f["content"]):
                 extension = path.rsplit(".", 1)[-1].lower()
                 try:
-                    rows = [(t, page, path, extension, kind, *rest, None) for t, page, kind, *rest in readers[extension](bytes(content), path)]
+                    rows = [(t, page, path, extension, kind, *rest, None, None, None) for t, page, kind, *rest in readers.get(extension, *fallback)(bytes(content), path)]
                 except Exception as e:  # a corrupt file must not end the job
-                    rows = [(None, None, path, extension, "error", None, None, None, None, None, f"{type(e).__name__}: {e}"[:200])]
-                yield pd.DataFrame(rows, columns=[*COLUMNS, "error"])
+                    rows = [(None, None, path, extension, "error", None, None, None, None, None, f"{type(e).__name__}: {e}"[:200], category(e), CATEGORIES[category(e)])]
+                yield pd.DataFrame(rows, columns=[*COLUMNS, "error", "category", "retryable"])
 
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    wanted = [e for e in (extensions or list(readers)) if e in readers]
-    return d.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(wanted)).select("path", "content").mapInPandas(run, schema)
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    wanted = kind.isin([e for e in (extensions or list(readers)) if e in readers]) | (kind.isin(extensions) if extensions and fallback else F.lit(bool(fallback) and not extensions))
+    return d.where(wanted).select("path", "content").mapInPandas(run, schema)
 
 
-def cells(df: DataFrame, path: str, file_type: str) -> DataFrame:
+def cells(df: DataFrame, path: str, file_type: str, page: Column | None = None) -> DataFrame:
     """A table's cells as block rows: trimmed, blank ones dropped, every value as text."""
-    each = F.array(*[F.struct(F.lit(i).alias("column_no"), F.lit(c).alias("col_header"), F.trim(F.col(f"`{c}`").cast("string")).alias("text")) for i, c in enumerate(df.columns)])
-    return df.select(F.explode(each).alias("c")).where("c.text <> ''").select("c.text", F.lit("0").alias("page_or_sheet"), F.lit(path).alias("source_path"), F.lit(file_type).alias("file_type"), F.lit("table_cell").alias("block_type"), "c.column_no", "c.col_header")
+    names = [c for c in df.columns if c != "_page"]
+    each = F.array(*[F.struct(F.lit(i).alias("column_no"), F.lit(c).alias("col_header"), F.trim(F.col(f"`{c}`").cast("string")).alias("text")) for i, c in enumerate(names)])
+    return df.select((F.lit("0") if page is None else page).alias("page_or_sheet"), F.explode(each).alias("c")).where("c.text <> ''").select("c.text", "page_or_sheet", F.lit(path).alias("source_path"), F.lit(file_type).alias("file_type"), F.lit("table_cell").alias("block_type"), "c.column_no", "c.col_header")
 
 
 def csv_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -203,8 +251,35 @@ def csv_blocks(spark: SparkSession, path: str) -> DataFrame:
     return heads.unionByName(cells(df, path, "csv"))
 
 
+def row_groups(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """Rows (path, page, first, last): the rows of each row group, from the footers of the files, each read by one task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs, parquet
+
+        for f in frames:
+            out = []
+            for path in f["path"]:
+                files, at = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+                meta = parquet.read_metadata(at, filesystem=files)
+                n = 0
+                for i in range(meta.num_row_groups):
+                    out.append((path, i, n, n + meta.row_group(i).num_rows - 1))
+                    n += meta.row_group(i).num_rows
+            yield pd.DataFrame(out, columns=["path", "page", "first", "last"])
+
+    return paths.mapInPandas(run, "path string, page int, first bigint, last bigint")
+
+
 def parquet_blocks(spark: SparkSession, path: str) -> DataFrame:
-    return cells(spark.read.parquet(path), path, "parquet")
+    """Cells of Parquet files; the page is the number of the row group."""
+    df = spark.read.parquet(path)
+    names = df.columns
+    d = df.select(*[f"`{c}`" for c in names], F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    g = row_groups(spark, spark.createDataFrame([(p,) for p in df.inputFiles()], "path string"))
+    # the file's path joins, its few row groups are told apart by their rows
+    at = d.join(g, (F.regexp_replace("_path", "^file:/+", "/") == F.regexp_replace("path", "^file:/+", "/")) & F.col("_row").between(F.col("first"), F.col("last")))
+    return cells(at.select(*[f"`{c}`" for c in names], F.col("page").cast("string").alias("_page")), path, "parquet", F.col("_page"))
 
 
 def table_blocks(spark: SparkSession, url: str, table: str, properties: dict | None = None) -> DataFrame:

@@ -50,8 +50,16 @@ def letters(subjects: DataFrame, protocol: str, template: str) -> DataFrame:
                            F.when(skipped, "no address").otherwise("").alias("error"), F.when(~skipped, X.safe_substitute(template, values)).alias("letter"))
 
 
-def deliver(subjects: DataFrame, send: Callable[[str, str], None], body: str, attempts: int = 3, per_minute: int = 100, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Rows (subject_id, status, attempts): send(address, text) with retries after 1, 2, 4 s and a rate limit in each task."""
+def deliver(subjects: DataFrame, send: Callable[[str, str], None], body: str, attempts: int = 3, per_minute: int = 100, sleep: Callable[[float], None] = time.sleep,
+            tasks: int = 1, already: DataFrame | None = None) -> DataFrame:
+    """Rows (subject_id, status, attempts): send(address, text) with retries after 1, 2, 4 s.
+
+    per_minute holds for the whole job: each of `tasks` tasks sends its share of it. already: subjects (subject_id) that have got
+    their mail and get none again. Delivery is at least once: a task that is lost is run again, so write the result and pass
+    it as `already` next time.
+    """
+    if already is not None:
+        subjects = subjects.join(already.select("subject_id").distinct(), "subject_id", "left_anti")
 
     def run(frames):
         for f in frames:
@@ -70,11 +78,11 @@ def deliver(subjects: DataFrame, send: Callable[[str, str], None], body: str, at
                             out.append((key, "FAILED", n))
                         else:
                             sleep(2.0 ** (n - 1))
-                sleep(60.0 / per_minute)
+                sleep(60.0 * tasks / per_minute)
             f = f.iloc[: len(out)].assign(status=[o[1] for o in out], attempts=[o[2] for o in out])
             yield f[["subject_id", "status", "attempts"]]
 
-    return subjects.select("subject_id", F.coalesce("canonical_email", F.lit("")).alias("canonical_email")).mapInPandas(run, "subject_id string, status string, attempts int")
+    return subjects.select("subject_id", F.coalesce("canonical_email", F.lit("")).alias("canonical_email")).repartition(tasks, "subject_id").mapInPandas(run, "subject_id string, status string, attempts int")
 
 
 def stored(found: DataFrame, salt: str, strict: bool = True, key: str | None = None, days: int = 30) -> DataFrame:
@@ -98,3 +106,11 @@ def append_audit(events: DataFrame, path: str) -> None:
 
 def audit_history(log: DataFrame, subject: str) -> DataFrame:
     return log.where(F.col("subject_id") == subject).orderBy("timestamp")
+
+
+def audit_by_type(log: DataFrame, kind: str) -> DataFrame:
+    return log.where(F.col("event_type") == kind).orderBy("timestamp")
+
+
+def audit_recent(log: DataFrame, most: int = 100) -> DataFrame:
+    return log.orderBy(F.desc("timestamp")).limit(most)

@@ -82,3 +82,32 @@ def test_similarity(spark):
 
 def test_substitute(spark):
     assert one(spark, X.safe_substitute("Dear $name, ${who} $$5", {"name": F.col("c0")}), "Ann") == "Dear Ann, ${who} $5"
+
+
+@pytest.mark.parametrize(("given", "want"), [
+    ("123 Main St, Springfield, Illinois 62704", ("123 main st", "springfield", "IL", "62704", "US")), ("123 Main St Springfield il 62704", ("123 main st springfield", None, "IL", "62704", "US")),
+    ("62704", (None, None, None, "62704", "US")), ("5 Elm Rd, Austin, New York 10001-1234", ("5 elm rd", "austin", "NY", "10001", "US")), ("10 Downing Street, London, SW1A 2AA", ("10 downing street", "london", None, "SW1A2AA", "GB")),
+    ("no address here", None), ("12 Hill Road", ("12 hill road", None, None, None, "US")), ("", None)])
+def test_addresses_are_cut_at_the_code(spark, given, want):
+    got = one(spark, N.address("c0"), given)
+    assert (None if got is None else tuple(got)) == want
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [
+    (("1 Elm St", "1", "US"), ("1 ELM ST", "1", "US"), 0.9), (("1 Elm Street", "1", None), ("1 Elm Streat", "1", "US"), 0.75), ((None, "1 2", "US"), ("1 Elm St", "12", "US"), 0.6),
+    (("1 Elm St", "1", "US"), ("9 Oak Ave", "1", "US"), 0.0), (("1 Elm St", "1", "US"), ("1 Elm St", "1", "GB"), 0.0), (("1 Elm St", None, "US"), ("1 Elm St", None, "US"), 0.0)])
+def test_graded_addresses(spark, a, b, want):
+    from shaleview.functions.similarity import address_match
+
+    d = spark.createDataFrame([(a, b)], "a struct<street:string,zip:string,country:string>, b struct<street:string,zip:string,country:string>")
+    assert d.select(address_match("a", "b").alias("x")).first().x == want
+
+
+def test_graded_ids_dates_and_names(spark):
+    from shaleview.functions.similarity import birthday_match, government_match, likely_same_person
+
+    gov = lambda *v: one(spark, government_match("c0", "c1", "c2", "c3"), *v)
+    assert gov("SSN", "123", "ssn", " 123 ") == 0.95 and gov("SSN", "123", "SSN", "124") == 0.75 and gov("SSN", "123", "SSN", "1233") == 0.75 and gov("SSN", "123", "SSN", "145") == 0.0 and gov("SSN", "123", "PAN", "123") == 0.0
+    born = lambda *v: one(spark, birthday_match("c0", "c1", "c2", "c3"), *v)
+    assert born("03/04/1990", "US", "1990-03-04", "GB") == 0.95 and born("03/04/1990", "US", "03/04/1990", "GB") == 0.0 and born("x", "US", "x", "US") == 0.0
+    assert one(spark, likely_same_person("c0", "c1"), "Ann Lee", "Anne Lee") and not one(spark, likely_same_person("c0", "c1"), "Ann Lee", "Bo Xi")

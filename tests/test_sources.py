@@ -86,3 +86,71 @@ def test_sinks(spark, tmp_path):
     assert sinks.audit_history(spark.read.parquet(str(tmp_path / "log")), "s1").count() == 1
     with pytest.raises(Exception):
         sinks.append_audit(e.withColumn("rationale", F.lit("")), str(tmp_path / "log"))
+
+
+def avro_file(records, codec="null"):
+    import json
+    import zlib
+
+    def number(n):
+        n, out = (n << 1) ^ (n >> 63), b""
+        while n > 0x7F:
+            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+        return out + bytes([n])
+
+    text = lambda s: number(len(s)) + s
+    schema = {"type": "record", "name": "r", "fields": [{"name": "id", "type": "long"}, {"name": "name", "type": ["null", "string"]}, {"name": "tags", "type": {"type": "array", "items": "string"}}, {"name": "score", "type": "double"}]}
+    sync = b"0123456789abcdef"
+    out = b"Obj\1" + number(2) + text(b"avro.schema") + text(json.dumps(schema).encode()) + text(b"avro.codec") + text(codec.encode()) + number(0) + sync
+    import struct
+
+    for part in records:
+        body = b"".join(number(i) + (number(0) if n is None else number(1) + text(n.encode())) + (number(len(t)) + b"".join(text(x.encode()) for x in t) if t else b"") + number(0) + struct.pack("<d", x) for i, n, t, x in part)
+        body = zlib.compress(body)[2:-4] if codec == "deflate" else body
+        out += number(len(part)) + text(body) + sync
+    return out
+
+
+@pytest.mark.parametrize("codec", ["null", "deflate"])
+def test_avro(spark, tmp_path, codec):
+    (tmp_path / "a.avro").write_bytes(avro_file([[(-70, " Ann ", ["x", "y"], 1.5), (3, None, [], 2.0)], [(10**12, "Bo", [], 0.0)]], codec))
+    (tmp_path / "b.avro").write_bytes(b"Obj\1 broken")
+    rows = files.blocks(spark, f"file://{tmp_path}", ["avro"]).collect()
+    got = {(r.page_or_sheet, r.row_no, r.col_header): r.text for r in rows if r.block_type == "table_cell"}
+    assert got[("0", 0, "id")] == "-70" and got[("0", 0, "name")] == "Ann" and got[("0", 0, "tags")] == '["x", "y"]' and got[("1", 2, "id")] == str(10**12) and ("0", 1, "name") not in got
+    bad = [r for r in rows if r.block_type == "error"]
+    assert len(bad) == 1 and bad[0].category == "corrupt_file" and not bad[0].retryable
+
+
+def test_parquet_pages_are_row_groups(spark, tmp_path):
+    import pyarrow as pa
+    from pyarrow import parquet
+
+    parquet.write_table(pa.table({"a": ["x", None, " y ", ""], "b": [1, 2, 3, None]}), tmp_path / "t.parquet", row_group_size=2)
+    got = {(r.page_or_sheet, r.col_header, r.text) for r in files.parquet_blocks(spark, f"file://{tmp_path}/t.parquet").collect()}
+    assert got == {("0", "a", "x"), ("0", "b", "1"), ("0", "b", "2"), ("1", "a", "y"), ("1", "b", "3")}
+
+
+def test_categories_and_fallback(spark, tmp_path):
+    assert [files.category(e) for e in (TimeoutError(), OSError(), ValueError("x"), TypeError(), RuntimeError())] == ["ocr_timeout", "transient_io", "corrupt_file", "schema_violation", "unknown"]
+    (tmp_path / "n.odd").write_bytes(b"hello")
+    with pytest.raises(ValueError):
+        files.reader_for("n.odd")
+    files.register("*", lambda data, path: iter([files.block(data.decode(), 1)]))
+    try:
+        assert [r.text for r in files.blocks(spark, f"file://{tmp_path}").collect()] == ["hello"] and files.reader_for("n.odd")
+    finally:
+        files.FALLBACK.clear()
+    d = spark.createDataFrame([("d1", f"file://{tmp_path}/n.odd"), ("d2", f"{tmp_path}/gone")], "document_id string, source_path string")
+    assert {r.document_id: r.content for r in files.fetched(spark, d).collect()} == {"d1": bytearray(b"hello"), "d2": None}
+
+
+def test_delivery_shares_its_rate_and_sends_once(spark):
+    s = spark.createDataFrame([("s1", "a@b.c"), ("s2", "d@e.f"), ("s3", "g@h.i")], "subject_id string, canonical_email string")
+    done = sinks.deliver(s, lambda a, b: None, "hi", sleep=lambda _: None, tasks=2, already=s.where("subject_id = 's2'"))
+    assert {r.subject_id: r.status for r in done.collect()} == {"s1": "DELIVERED", "s3": "DELIVERED"} and done.rdd.getNumPartitions() == 2
+
+
+def test_audit_views(spark):
+    log = spark.createDataFrame([("human_review", "s1", 1), ("approval", "s1", 3), ("approval", "s2", 2)], "event_type string, subject_id string, timestamp int")
+    assert [r.timestamp for r in sinks.audit_by_type(log, "approval").collect()] == [2, 3] and [r.timestamp for r in sinks.audit_recent(log, 2).collect()] == [3, 2] and sinks.audit_history(log, "s1").count() == 2
