@@ -250,3 +250,22 @@ def schema_reply(reply: Column) -> Column:
         F.coalesce(head["document_type"], F.lit("unknown")).alias("document_type"), fields.alias("fields"), people.alias("people"), each(r, "date_contexts", "value string, semantic_type string, is_pii boolean").alias("dates"),
         each(r, "tables", "columns array<struct<header:string,contains_pii:boolean>>, has_pii_columns boolean").alias("tables"),
         F.coalesce(head["suppression_hints"], F.array().cast("array<string>")).alias("hints"), clamped(head["schema_confidence"]).alias("confidence")))
+
+
+STAGES = ["Discovery", "Cataloging", "PII Detection", "PII Extraction", "Normalization", "Entity Resolution", "Quality Assurance", "Notification"]
+
+
+def stage_status(runs: DataFrame, own: str | None = None) -> DataFrame:
+    """Rows (run_id, stage, status): own (map of stage to status) if the run has any, else what the run's status tells: completed, failed or pending."""
+    s = runs.withColumn("_own", F.col(own) if own else F.lit(None).cast("map<string,string>")).withColumn("stage", F.explode(F.array(*map(F.lit, STAGES))))
+    told = F.when(F.coalesce(F.size(F.map_keys("_own")), F.lit(0)) > 0, F.coalesce(F.col("_own")[F.col("stage")], F.lit("pending"))).otherwise(F.when(F.col("status").isin("completed", "failed"), F.col("status")).otherwise("pending"))
+    return s.select("run_id", "stage", told.alias("status"))
+
+
+def sample_size(population: Column, rate: float, least: int = 1, most: int | None = None) -> Column:
+    """A share of a population, rounded up, at least `least`, at most `most` and all there are."""
+    if not 0 < rate <= 1 or least < 1:
+        raise ValueError("rate must be in (0, 1] and least at least 1")
+    n = F.greatest(F.lit(least).cast("bigint"), F.ceil(population * F.lit(rate)))
+    n = F.least(n, F.lit(most).cast("bigint")) if most is not None else n
+    return F.when(population <= 0, F.lit(0).cast("bigint")).otherwise(F.least(n, population))

@@ -12,7 +12,7 @@ from ..cluster import checkpoint_dir, read, spread
 from ..functions import normalise as N
 from ..functions import text as X
 from ..functions import values as V
-from ..functions.similarity import jaro_winkler, soundex
+from ..functions.similarity import address_match, government_match, jaro_winkler, likely_same_person, name_match, soundex
 from ..operators import detection as D
 from ..operators import resolution as R
 from ..operators import structure as S
@@ -325,9 +325,14 @@ def title_sql(c: str) -> str:
 
 
 
-@query(f"""WITH r AS (SELECT record_id, raw_name, {_COLLAPSE(_TRIM('raw_name'))} AS v FROM pii_records WHERE raw_name IS NOT NULL), b AS (SELECT *, regexp_replace(v, {q(V.HONORIFICS)}, '') AS bare FROM r), p AS (SELECT *, [{_TRIM('x')} FOR x IN string_split(bare, ',')] AS ps FROM b),
-t AS (SELECT *, len(ps) = 2 AND len(list_filter(ps, lambda x: x = '' OR regexp_matches(x, '\\p{{Nd}}') OR regexp_matches(x, {q(V.NON_LATIN)}) OR lower(x) IN ({", ".join(map(q, V.PLACES))}))) = 0 AS turned FROM p)
-SELECT record_id, raw_name, CASE WHEN regexp_matches(v, {q(V.NON_LATIN)}) THEN v ELSE {title_sql(_COLLAPSE(_TRIM("CASE WHEN turned THEN regexp_replace(ps[2] || ' ', " + q(V.HONORIFICS) + ", '') || ps[1] ELSE bare END")))} END AS name, {soundex_sql('raw_name')} AS code FROM t""")
+def names_sql(source: str) -> str:
+    """Common table expressions that end in nn (record_id, raw_name, name): normal names of a table (record_id, raw_name)."""
+    return f"""n1 AS (SELECT record_id, raw_name, {_COLLAPSE(_TRIM('raw_name'))} AS v FROM {source} WHERE raw_name IS NOT NULL), n2 AS (SELECT *, regexp_replace(v, {q(V.HONORIFICS)}, '') AS bare FROM n1), n3 AS (SELECT *, [{_TRIM('x')} FOR x IN string_split(bare, ',')] AS ps FROM n2),
+n4 AS (SELECT *, len(ps) = 2 AND len(list_filter(ps, lambda x: x = '' OR regexp_matches(x, '\\p{{Nd}}') OR regexp_matches(x, {q(V.NON_LATIN)}) OR lower(x) IN ({", ".join(map(q, V.PLACES))}))) = 0 AS turned FROM n3),
+nn AS (SELECT record_id, raw_name, CASE WHEN regexp_matches(v, {q(V.NON_LATIN)}) THEN v ELSE {title_sql(_COLLAPSE(_TRIM("CASE WHEN turned THEN regexp_replace(ps[2] || ' ', " + q(V.HONORIFICS) + ", '') || ps[1] ELSE bare END")))} END AS name FROM n4)"""
+
+
+@query(f"WITH {names_sql('pii_records')} SELECT record_id, raw_name, name, {soundex_sql('raw_name')} AS code FROM nn")
 def normal_names(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "pii_records").where("raw_name is not null").select("record_id", "raw_name", N.name("raw_name").alias("name"), soundex("raw_name").alias("code"))
 
@@ -563,18 +568,54 @@ def resolved_groups(spark, sf_dir) -> DataFrame:
     return R.groups(_records(spark, sf_dir))
 
 
-@query(_GROUPS + """, c AS (SELECT x.group_id, min(confidence) AS least FROM s JOIN g x ON x.record_id = a JOIN g y ON y.record_id = b WHERE x.group_id = y.group_id GROUP BY 1)
-SELECT group_id, count(*) AS size, round(coalesce(any_value(least), 1.0::DOUBLE), 6) AS merge_confidence, coalesce(any_value(least), 1.0) < 0.8 - 1e-9 AS needs_review FROM g LEFT JOIN c USING (group_id) GROUP BY 1""")
+@query(_GROUPS + """, lowest AS (SELECT x.group_id, min(confidence) AS least FROM s JOIN g x ON x.record_id = a JOIN g y ON y.record_id = b WHERE x.group_id = y.group_id GROUP BY 1)
+SELECT group_id, count(*) AS size, round(coalesce(any_value(least), 1.0::DOUBLE), 6) AS merge_confidence, coalesce(any_value(least), 1.0) < 0.8 - 1e-9 AS needs_review FROM g LEFT JOIN lowest USING (group_id) GROUP BY 1""")
 def group_confidence(spark, sf_dir) -> DataFrame:
     return R.group_confidence(_records(spark, sf_dir)).withColumn("merge_confidence", F.round("merge_confidence", 6)).withColumn("needs_review", F.col("merge_confidence") < 0.8)
 
 
-@query()
+_MODE = lambda c, as_: f"(SELECT group_id, {c} AS {as_} FROM (SELECT group_id, {c}, row_number() OVER (PARTITION BY group_id ORDER BY count(*) DESC, length({c}) DESC, {c}) AS i FROM v WHERE {c} <> '' GROUP BY 1, 2) WHERE i = 1)"
+
+
+@query(_GROUPS + f""", {names_sql('l')}, v AS MATERIALIZED (SELECT group_id, l.record_id, entity_type, nn.name, lower(raw_email) AS mail, l.raw_phone AS phone FROM g JOIN l USING (record_id) LEFT JOIN nn ON nn.record_id = l.record_id)
+SELECT group_id, canonical_name, canonical_email, canonical_phone, types, n_records FROM (SELECT group_id, string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS types, count(*)::INT AS n_records FROM v GROUP BY 1) LEFT JOIN {_MODE('name', 'canonical_name')} USING (group_id) LEFT JOIN {_MODE('mail', 'canonical_email')} USING (group_id) LEFT JOIN {_MODE('phone', 'canonical_phone')} USING (group_id)""")
 def resolved_subjects(spark, sf_dir) -> DataFrame:
     r = _records(spark, sf_dir)
     return R.subjects(r, R.groups(r)).select("group_id", "canonical_name", "canonical_email", "canonical_phone", F.concat_ws(",", "pii_types_found").alias("types"), F.size("source_records").alias("n_records"))
 
 
+@query(f"""WITH RECURSIVE s AS (SELECT DISTINCT group_id, subject_id, lower({_TRIM('canonical_name')}) AS nm FROM notification_subjects WHERE trim(canonical_name) <> ''), p AS (SELECT a.subject_id AS a, b.subject_id AS b, a.nm AS x, b.nm AS y, {soundex_sql('a.nm')} AS sx, {soundex_sql('b.nm')} AS sy FROM s a JOIN s b ON a.group_id = b.group_id AND a.subject_id < b.subject_id), u AS (SELECT DISTINCT x, y FROM p), {jaro_winkler_sql("u")},
+m AS (SELECT *, CASE WHEN x = y THEN 1.0 WHEN CASE WHEN regexp_matches(x || y, {q(V.NON_LATIN)}) THEN s >= 0.88 ELSE s >= 0.92 OR sx = sy AND s >= 0.80 END THEN s ELSE 0.0 END AS confidence FROM p JOIN jw USING (x, y)) SELECT a, b, round(confidence::DOUBLE, 6) AS confidence, confidence >= 0.5 AS likely FROM m""")
+def name_matches(spark, sf_dir) -> DataFrame:
+    """Names of the subjects of one group: confidence that they are one, and whether it is likely one person."""
+    s = read(spark, sf_dir, "notification_subjects").where("trim(canonical_name) <> ''").select("group_id", "subject_id", "canonical_name").distinct()
+    p = s.alias("l").join(s.alias("r"), F.expr("l.group_id = r.group_id and l.subject_id < r.subject_id")).select(F.col("l.subject_id").alias("a"), F.col("r.subject_id").alias("b"), F.col("l.canonical_name").alias("x"), F.col("r.canonical_name").alias("y"))
+    return p.select("a", "b", F.round(name_match("x", "y"), 6).alias("confidence"), likely_same_person("x", "y").alias("likely"))
+
+
+_ZIP = lambda c: f"upper(replace(coalesce({c}.zip, ''), ' ', ''))"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT DISTINCT group_id, subject_id, canonical_address AS d FROM notification_subjects WHERE canonical_address IS NOT NULL), p AS (SELECT a.subject_id AS a, b.subject_id AS b, a.d AS c, b.d AS e, lower(coalesce(a.d.street, '')) AS x, lower(coalesce(b.d.street, '')) AS y FROM s a JOIN s b ON a.group_id = b.group_id AND (a.subject_id < b.subject_id)), u AS (SELECT DISTINCT x, y FROM p WHERE x <> '' AND y <> ''), {jaro_winkler_sql("u")}
+SELECT a, b, (CASE WHEN upper(coalesce(c.country, '')) <> '' AND upper(coalesce(e.country, '')) <> '' AND upper(c.country) <> upper(e.country) OR {_ZIP('c')} = '' OR {_ZIP('c')} <> {_ZIP('e')} THEN 0.0 WHEN x = '' OR y = '' THEN 0.60 WHEN x = y THEN 0.90 WHEN s >= 0.85 THEN 0.75 ELSE 0.0 END)::DOUBLE AS confidence FROM p LEFT JOIN jw USING (x, y)""")
+def address_grades(spark, sf_dir) -> DataFrame:
+    """How surely the addresses of the subjects of one group are one."""
+    s = read(spark, sf_dir, "notification_subjects").where("canonical_address is not null").select("group_id", "subject_id", "canonical_address").distinct()
+    p = s.alias("l").join(s.alias("r"), F.expr("l.group_id = r.group_id and l.subject_id < r.subject_id")).select(F.col("l.subject_id").alias("a"), F.col("r.subject_id").alias("b"), F.col("l.canonical_address").alias("x"), F.col("r.canonical_address").alias("y"))
+    return p.select("a", "b", address_match("x", "y").alias("confidence"))
+
+
+_SSN = "(SELECT DISTINCT block_id, doc_id, unnest(regexp_extract_all(text, " + q(pattern("SSN")) + ")) AS v FROM extracted_blocks WHERE text IS NOT NULL)"
+
+
+@query(f"SELECT grade, count(*) AS n FROM (SELECT (CASE WHEN a.v = b.v THEN 0.95 WHEN levenshtein(a.v, b.v) = 1 THEN 0.75 ELSE 0.0 END)::DOUBLE AS grade FROM {_SSN} a JOIN {_SSN} b ON a.doc_id = b.doc_id AND (a.block_id, a.v) < (b.block_id, b.v)) GROUP BY 1")
+def id_grades(spark, sf_dir) -> DataFrame:
+    """How surely the numbers found in one document are one."""
+    d = D.detect(read(spark, sf_dir, "extracted_blocks").select("doc_id", "block_id", "text").distinct(), types=["SSN"]).select("doc_id", "block_id", "value", "entity_type").distinct()
+    p = d.alias("l").join(d.alias("r"), (F.col("l.doc_id") == F.col("r.doc_id")) & (F.struct("l.block_id", "l.value") < F.struct("r.block_id", "r.value")))
+    return p.groupBy(government_match("l.entity_type", "l.value", "r.entity_type", "r.value").alias("grade")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT group_id, canonical_name FROM (SELECT group_id, canonical_name, row_number() OVER (PARTITION BY group_id ORDER BY count(*) DESC, length(canonical_name) DESC, canonical_name) AS n FROM notification_subjects WHERE canonical_name <> '' GROUP BY 1, 2) WHERE n = 1")
 def best_names(spark, sf_dir) -> DataFrame:
     return R.best_value(read(spark, sf_dir, "notification_subjects"), "group_id", "canonical_name")
@@ -646,9 +687,65 @@ def catalog_summary(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "documents").groupingSets([[F.col("source")], [F.col("doc_type")], []], F.col("source"), F.col("doc_type")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT run_id, status, started_at FROM ingestion_runs WHERE status <> 'archived' ORDER BY started_at DESC, run_id LIMIT 10 OFFSET 10")
+@query("SELECT run_id, status, started_at, (SELECT count(*) FROM ingestion_runs WHERE status <> 'archived') AS total FROM ingestion_runs WHERE status <> 'archived' ORDER BY started_at DESC, run_id LIMIT 10 OFFSET 10")
 def runs_page(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "ingestion_runs").where("status <> 'archived'").select("run_id", "status", "started_at").orderBy(F.desc("started_at"), "run_id").offset(10).limit(10)
+    """A page of the runs, with how many there are in all."""
+    r = read(spark, sf_dir, "ingestion_runs").where("status <> 'archived'")
+    page = r.select("run_id", "status", "started_at").orderBy(F.desc("started_at"), "run_id").offset(10).limit(10)
+    return page.join(F.broadcast(r.agg(F.count("*").alias("total"))), F.lit(True))  # one row
+
+
+_STATES = ["AI_PENDING", "HUMAN_REVIEW", "APPROVED", "NOTIFIED", "REJECTED"]
+
+
+@query("SELECT project_id, status, n FROM (SELECT project_id, " + ", ".join(f"count(DISTINCT subject_id) FILTER (review_status = '{x}') AS {x}" for x in _STATES) + " FROM notification_subjects GROUP BY 1) UNPIVOT (n FOR status IN (" + ", ".join(_STATES) + "))")
+def queue_counts(spark, sf_dir) -> DataFrame:
+    """How many subjects of each project wait in each state, zeros included."""
+    s = read(spark, sf_dir, "notification_subjects").select("project_id", "subject_id", "review_status").distinct()
+    n = s.groupBy("project_id").agg(*[F.count_if(F.col("review_status") == x).alias(x) for x in _STATES])
+    return n.unpivot("project_id", _STATES, "status", "n")
+
+
+@query("SELECT DISTINCT subject_id FROM notification_subjects s WHERE review_status = 'AI_PENDING' AND NOT EXISTS (SELECT 1 FROM notification_subjects t WHERE t.group_id = s.group_id AND t.review_status = 'HUMAN_REVIEW')")
+def queue_entries(spark, sf_dir) -> DataFrame:
+    """Subjects that may enter a queue: pending ones of whose group none stands in it already."""
+    s = read(spark, sf_dir, "notification_subjects").select("group_id", "subject_id", "review_status").distinct()
+    return s.where("review_status = 'AI_PENDING'").join(s.where("review_status = 'HUMAN_REVIEW'").select("group_id"), "group_id", "left_anti").select("subject_id").distinct()
+
+
+@query("SELECT project_id, count(DISTINCT subject_id) AS population, least(count(DISTINCT subject_id), 50, greatest(5, ceil(count(DISTINCT subject_id) * 0.05)::BIGINT)) AS sample_size FROM notification_subjects GROUP BY 1")
+def qc_sample_sizes(spark, sf_dir) -> DataFrame:
+    """How many subjects of each project a check takes: a share, at least five, at most fifty and all there are."""
+    n = read(spark, sf_dir, "notification_subjects").groupBy("project_id").agg(F.countDistinct("subject_id").alias("population"))
+    return n.withColumn("sample_size", S.sample_size(F.col("population"), 0.05, 5, 50))
+
+
+@query("SELECT run_id, unnest([" + ", ".join(map(q, S.STAGES)) + "]) AS stage, CASE status WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'failed' ELSE 'pending' END AS status FROM ingestion_runs")
+def stage_status(spark, sf_dir) -> DataFrame:
+    return S.stage_status(read(spark, sf_dir, "ingestion_runs").select("run_id", "status"))
+
+
+@query("""WITH d AS (SELECT ingestion_run_id AS run_id, doc_id, size_bytes, sum(size_bytes) OVER (PARTITION BY ingestion_run_id ORDER BY doc_id) AS total FROM documents WHERE lower(file_type) IN ('pdf', 'docx', 'xlsx', 'xls', 'csv', 'html', 'htm', 'eml', 'msg', 'parquet', 'avro'))
+SELECT run_id, count(*) AS n_files, sum(size_bytes)::BIGINT AS total_bytes, coalesce(arg_min(CASE WHEN size_bytes > 4000 THEN 'file too large' ELSE 'total too large' END, doc_id) FILTER (size_bytes > 4000 OR total > 40000), 'accepted') AS outcome FROM d GROUP BY 1""")
+def upload_gate(spark, sf_dir) -> DataFrame:
+    """Whether each run's files pass the caps of a file and of a whole upload, and which fails first."""
+    d = read(spark, sf_dir, "documents").select(F.col("ingestion_run_id").alias("run_id"), "doc_id", "file_type", "size_bytes")
+    return files.upload_gate(d, ["run_id"], "doc_id", most_file=4000, most_total=40000)
+
+
+_QA = " UNION ALL ".join(f"SELECT doc_id, {dict((p[0], p[2]) for p in V.PATTERNS)[k]} AS s, unnest(regexp_extract_all(text, {q(pattern(k))})) AS v FROM documents WHERE text IS NOT NULL" for k in CORE)
+
+
+@query(f"SELECT doc_id, count(*) AS total_extractions, count(*) FILTER (s < 0.75) AS flagged_count FROM ({_QA}) GROUP BY 1")
+def qa_report(spark, sf_dir) -> DataFrame:
+    """Extractions of each document, and how many of them are less than sure."""
+    d = D.detect(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), types=CORE)
+    return d.groupBy("doc_id").agg(F.count("*").alias("total_extractions"), F.count_if("needs_layer2").alias("flagged_count"))
+
+
+@query("SELECT log_id, document_id, model FROM llm_call_logs WHERE decision IS NULL ORDER BY created_at DESC, log_id LIMIT 50")
+def undecided_calls(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "llm_call_logs").where("decision is null").orderBy(F.desc("created_at"), "log_id").limit(50).select("log_id", "document_id", "model")
 
 
 @query("SELECT run_id, count(doc_id) AS n_documents, arg_min(file_name, (d.created_at, doc_id)) AS first_file, epoch(any_value(completed_at)) - epoch(any_value(started_at)) AS seconds FROM ingestion_runs r LEFT JOIN documents d ON d.ingestion_run_id = r.run_id GROUP BY 1")
@@ -684,6 +781,14 @@ def subjects_without_records(spark, sf_dir) -> DataFrame:
 
 # ---- sinks and sources
 
+@query("SELECT record_id, normalized_value AS stored_value, sha256('pepper:' || normalized_value) AS value_hash, 'encrypted' AS storage_policy, normalized_value AS decrypted FROM pii_records WHERE trim(normalized_value) <> ''")
+def storage_investigation(spark, sf_dir) -> DataFrame:
+    """Values kept for an investigation: as they are, hashed, and encrypted so that the key brings them back."""
+    r = read(spark, sf_dir, "pii_records").where("trim(normalized_value) <> ''").select("record_id", F.col("normalized_value").alias("value"), "normalized_value")
+    d = sinks.stored(r, "pepper", strict=False, key="0123456789abcdef")
+    return d.select("record_id", "stored_value", "value_hash", "storage_policy", X.decrypted("value_encrypted", "0123456789abcdef").alias("decrypted"))
+
+
 _BOOL = "CASE WHEN notification_required IS NULL THEN '' WHEN notification_required THEN 'True' ELSE 'False' END"
 
 
@@ -703,10 +808,14 @@ def letter_manifest(spark, sf_dir) -> DataFrame:
     return m.select("subject_id", "canonical_name", "street", "city", "status", "letter_filename", "letter")
 
 
-@query("SELECT col_header, text, count(*) AS n FROM (SELECT 'n_name' AS col_header, n_name AS text FROM nation UNION ALL SELECT 'n_nationkey', n_nationkey::VARCHAR FROM nation UNION ALL SELECT 'n_regionkey', n_regionkey::VARCHAR FROM nation) GROUP BY 1, 2")
+_REGION = ["r_regionkey", "r_name"]
+
+
+@query("SELECT col_header, page_or_sheet, text, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS col_header, '0' AS page_or_sheet, trim({c}::VARCHAR) AS text FROM {t}" for t, cs in (("nation", ["n_nationkey", "n_name", "n_regionkey"]), ("region", _REGION)) for c in cs) + ") WHERE text <> '' GROUP BY 1, 2, 3")
 def parquet_cells(spark, sf_dir) -> DataFrame:
-    b = files.parquet_blocks(spark, f"{sf_dir}/nation.parquet").where("col_header in ('n_name', 'n_nationkey', 'n_regionkey')")
-    return b.groupBy("col_header", "text").agg(F.count("*").alias("n"))
+    """Every cell of two tables as block rows, the page being the row group."""
+    b = files.parquet_blocks(spark, f"{sf_dir}/nation.parquet").unionByName(files.parquet_blocks(spark, f"{sf_dir}/region.parquet"))
+    return b.groupBy("col_header", "page_or_sheet", "text").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p.record_id, pos::INT AS pos, p.entity_type FROM (SELECT subject_id, unnest(source_records) AS record_id, unnest(range(len(source_records))) AS pos FROM (SELECT DISTINCT subject_id, source_records FROM notification_subjects)) u JOIN (SELECT DISTINCT record_id, entity_type FROM pii_records) p ON p.record_id = u.record_id")
@@ -735,7 +844,7 @@ def pipeline_individuals(spark, sf_dir) -> DataFrame:
     return out["groups"].groupBy("group_id").agg(F.count("*").alias("n_records")).groupBy("n_records").agg(F.count("*").alias("n_groups"))
 
 
-@query()
+@query(f"SELECT entity_type, count(*) AS n FROM ({spans_sql('documents', ['EMAIL', 'IPV4'], 'doc_id')}) GROUP BY 1")
 def stream_counts(spark, sf_dir) -> DataFrame:
     """Detections in a stream of documents, run until the input is used up."""
     out = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"

@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -200,6 +201,14 @@ def fetched(spark: SparkSession, documents: DataFrame, path: str = "source_path"
     return documents.mapInPandas(run, T.StructType([*documents.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
+def upload_gate(listing: DataFrame, by: list[str], order: str, most_file: int = 100 << 20, most_total: int = 500 << 20) -> DataFrame:
+    """Rows (by, n_files, total_bytes, outcome) of each upload: accepted, or what its first file beyond a cap is; files of other types don't count."""
+    total = F.sum("size_bytes").over(W.partitionBy(*by).orderBy(order))
+    d = listing.where(F.lower("file_type").isin(EXTENSIONS)).withColumn("_total", total)
+    bad = F.when(F.col("size_bytes") > most_file, "file too large").when(F.col("_total") > most_total, "total too large")
+    return d.groupBy(*by).agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("total_bytes"), F.coalesce(F.min_by(bad, F.when(bad.isNotNull(), F.col(order))), F.lit("accepted")).alias("outcome"))
+
+
 # Kinds of failures, and which of them are worth another try.
 CATEGORIES = {"transient_io": True, "ocr_timeout": True, "corrupt_file": False, "schema_violation": False, "unknown": True}
 

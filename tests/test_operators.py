@@ -269,6 +269,16 @@ def test_page_report(spark):
     assert (r["1"].blocks_extracted, r["1"].pii_hits, r["1"].by_type) == (2, 2, {"EMAIL": 1, "SSN": 1}) and (r["2"].page_type, r["2"].pii_hits) == ("sheet", 0)
 
 
+def test_sample_sizes_and_stages(spark):
+    d = spark.createDataFrame([(0,), (1,), (20,), (1000,)], "n bigint")
+    assert [r.x for r in d.select(S.sample_size(F.col("n"), 0.05, 2, 30).alias("x")).collect()] == [0, 1, 2, 30]
+    with pytest.raises(ValueError):
+        S.sample_size(F.col("n"), 0)
+    runs = spark.createDataFrame([("a", "failed", None), ("b", "running", {"Discovery": "completed"}), ("c", "completed", {})], "run_id string, status string, m map<string,string>")
+    got = {(r.run_id, r.stage): r.status for r in S.stage_status(runs, "m").collect()}
+    assert got[("a", "Discovery")] == "failed" and got[("b", "Discovery")] == "completed" and got[("b", "Notification")] == "pending" and got[("c", "Notification")] == "completed" and len(got) == 24
+
+
 def test_target_types():
     known = {"p": ["SSN"], "q": ["EMAIL"]}
     assert D.target_types({"target_entity_types": ["PAN"], "base_protocol_id": "p"}, "q", known) == ["PAN"]
