@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -17,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A scanned table over all cores, where it has fewer splits than there are cores; a large one stays as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -58,6 +59,16 @@ def clear(spark: SparkSession, keep: int = 0) -> int:
     return len(gone)
 
 
+@atexit.register
+def _leave() -> None:
+    """What is left goes with the process, if its session still answers."""
+    try:
+        if _TABLES and (spark := SparkSession.getActiveSession()):
+            clear(spark)
+    except Exception:  # the gateway is closed already
+        pass
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

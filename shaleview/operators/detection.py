@@ -58,12 +58,10 @@ def running(lengths: Column) -> Column:
     return F.flatten(F.zip_with(chunks, sums(totals), lambda c, before: F.transform(sums(c), lambda x: x + before)))
 
 
-def hits(text: Column, pattern: tuple, ignore_case: bool = False) -> Column:
-    """array<HIT> of one pattern: the pieces between matches give the places. Only texts with a match are split."""
+def hits(text: Column, found: Column, odd: Column, pattern: tuple, ignore_case: bool = False) -> Column:
+    """array<HIT> of one pattern, all of whose matches are in the array `found`: the pieces between them give the places. Only texts with a match are split."""
     kind, expr, score, geography, framework = pattern
-    e = expression(expr, ignore_case)
-    found = F.regexp_extract_all(text, F.lit(e), F.lit(0))
-    between = F.split(text, e, -1)
+    between = F.when(odd, F.split(text, expression(expr, ignore_case), -1)).otherwise(F.split(text, expression(expr, ignore_case, True), -1))
     lengths = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, f: F.length(b) + F.length(f))
     starts = F.zip_with(running(lengths), F.slice(between, 1, F.size(found)), lambda at, b: at + F.length(b))
     out = F.zip_with(starts, found, lambda at, f: F.struct(
@@ -74,8 +72,11 @@ def hits(text: Column, pattern: tuple, ignore_case: bool = False) -> Column:
 def detect(blocks: DataFrame, text: str = "text", geographies: list[str] | None = None, types: list[str] | None = None, min_score: float = 0.10, ignore_case: bool = False, check_luhn: bool = False) -> DataFrame:
     """blocks exploded to one row a match, with needs_layer2 where the score is below 0.75; the text stays."""
     patterns = [p for p in chosen(geographies, types) if p[2] >= min_score]
-    every = F.flatten(F.array(*[hits(F.col(text), p, ignore_case) for p in patterns]))
-    out = blocks.where(F.col(text).isNotNull()).withColumn("hit", F.explode(every)).select(*blocks.columns, "hit.*").withColumn("needs_layer2", F.col("score") < 0.75)
+    # matches are columns of their own, so each pattern scans a text once
+    matches = lambda p, plain: F.regexp_extract_all(F.col(text), F.lit(expression(p[1], ignore_case, plain)), F.lit(0))
+    found = [F.when(F.col("_odd"), matches(p, False)).otherwise(matches(p, True)).alias(f"_f{i}") for i, p in enumerate(patterns)]
+    every = F.flatten(F.array(*[hits(F.col(text), F.col(f"_f{i}"), F.col("_odd"), p, ignore_case) for i, p in enumerate(patterns)]))
+    out = blocks.where(F.col(text).isNotNull()).withColumn("_odd", F.col(text).rlike(ODD)).select("*", *found).withColumn("hit", F.explode(every)).select(*blocks.columns, "hit.*").withColumn("needs_layer2", F.col("score") < 0.75)
     return out.where((F.col("entity_type") != "CREDIT_CARD") | luhn("value")) if check_luhn else out
 
 

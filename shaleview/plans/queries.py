@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -93,18 +94,18 @@ def detect_lookaround_counts(spark, sf_dir) -> DataFrame:
     return D.counts(spread(read(spark, sf_dir, "documents").select("text")), types=LOOKAROUND)
 
 
-_SPANS = spans_sql("extracted_blocks", ["EMAIL", "SSN", "IPV4"], "block_id, doc_id")
+_SPANS = spans_sql("extracted_blocks", _RE2, "block_id, doc_id")
 
 
 @query(f"SELECT block_id, entity_type, value, start::INT AS start, (start + length(value))::INT AS \"end\" FROM ({_SPANS})")
 def detect_spans(spark, sf_dir) -> DataFrame:
-    d = read(spark, sf_dir, "extracted_blocks").select("block_id", "text")
-    return D.detect(d, types=["EMAIL", "SSN", "IPV4"]).select("block_id", "entity_type", "value", "start", "end")
+    d = spread(read(spark, sf_dir, "extracted_blocks").select("block_id", "text"))
+    return D.detect(d, types=_RE2).select("block_id", "entity_type", "value", "start", "end")
 
 
 @query(f"SELECT doc_id, entity_type, value, block_id, start::INT AS start FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_type, value ORDER BY block_id, start) AS n FROM ({_SPANS})) WHERE n = 1")
 def detection_best(spark, sf_dir) -> DataFrame:
-    d = D.detect(spread(read(spark, sf_dir, "extracted_blocks").select("doc_id", "block_id", "text")), types=["EMAIL", "SSN", "IPV4"]).drop("text")
+    d = D.detect(spread(read(spark, sf_dir, "extracted_blocks").select("doc_id", "block_id", "text")), types=_RE2).drop("text")
     return D.best_per_value(d, ["doc_id"], ["block_id", "start"]).select("doc_id", "entity_type", "value", "block_id", "start")
 
 
@@ -126,13 +127,16 @@ def confidence_labels(spark, sf_dir) -> DataFrame:
     return D.confidence_label(read(spark, sf_dir, "notification_subjects"), ["project_id"], "merge_confidence")
 
 
-_SIGNAL = "|".join(V.SIGNALS["SSN"])
+_SIGNALS = [k for k in V.SIGNALS if k in _RE2]
+_NEAR = "lower(substr(text, greatest(start - 100, 0)::BIGINT + 1, (least(start + length(value) + 100, length(text)) - greatest(start - 100, 0))::BIGINT))"
+_BOOST = " ".join(f"WHEN entity_type = '{k}' THEN regexp_matches({_NEAR}, {q('|'.join(map(re.escape, V.SIGNALS[k])))})" for k in _SIGNALS)
 
 
-@query(f"SELECT boosted, count(*) AS n FROM (SELECT regexp_matches(lower(substr(text, greatest(start - 100, 0)::BIGINT + 1, (least(start + length(value) + 100, length(text)) - greatest(start - 100, 0))::BIGINT)), {q(_SIGNAL)}) AS boosted FROM ({spans_sql('extracted_blocks', ['SSN'], 'block_id')})) GROUP BY 1")
+@query(f"SELECT entity_type, boosted, count(*) AS n FROM (SELECT entity_type, CASE {_BOOST} END AS boosted FROM ({spans_sql('extracted_blocks', _SIGNALS, 'block_id')})) GROUP BY 1, 2")
 def signal_boosts(spark, sf_dir) -> DataFrame:
-    d = D.signal_boost(D.detect(spread(read(spark, sf_dir, "extracted_blocks").select("block_id", "text")), types=["SSN"]))
-    return d.groupBy(F.col("signal").alias("boosted")).agg(F.count("*").alias("n"))
+    """Matches with and without a word of their type nearby."""
+    d = D.signal_boost(D.detect(spread(read(spark, sf_dir, "extracted_blocks").select("block_id", "text")), types=_SIGNALS))
+    return d.groupBy("entity_type", F.col("signal").alias("boosted")).agg(F.count("*").alias("n"))
 
 
 _HEADER = "CASE " + " ".join(f"WHEN contains(h, {q(k)}) THEN {q(V.HEADERS[k])}" for k in sorted(V.HEADERS, key=len, reverse=True)) + " END"
@@ -829,6 +833,16 @@ def ordered_lookup(spark, sf_dir) -> DataFrame:
 # ---- plans and streams
 
 
+_ALL_SQL = f"""SELECT category, count(*) AS n FROM (SELECT unnest({categories_sql('entity_type')}) AS category FROM (SELECT DISTINCT doc_id, page_or_sheet, entity_type, value FROM ({spans_sql("(SELECT DISTINCT doc_id, block_id, page_or_sheet, text, col_header FROM extracted_blocks WHERE col_header IS NULL)", ['EMAIL', 'PHONE_INTL', 'SSN', 'IPV4', 'PAN', 'AADHAAR'], 'doc_id, page_or_sheet')}))) GROUP BY 1"""
+
+
+@query(_ALL_SQL)
+def pipeline_prose_density(spark, sf_dir) -> DataFrame:
+    """The plan on blocks that stand in no column: detections that survive, one a value of each page, counted by category."""
+    b = read(spark, sf_dir, "extracted_blocks").where("col_header is null").distinct()
+    return D.density(pipeline.detected(b, types=["EMAIL", "PHONE_INTL", "SSN", "IPV4", "PAN", "AADHAAR"])).where("doc_id is null").select("category", "n")
+
+
 @query()
 def pipeline_density(spark, sf_dir) -> DataFrame:
     """The whole plan on blocks: detections after all layers, counted by category."""

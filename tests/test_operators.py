@@ -72,6 +72,33 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+def test_shared_folder(spark, monkeypatch):
+    from shaleview import cluster
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+        def set(self, *a):
+            pass
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        cluster.checkpoint_dir(Session())
+    Session.sparkContext.master = "local[2]"
+    assert cluster.checkpoint_dir(Session()).startswith("file://")
+    keep = len(cluster._TABLES)
+    d = cluster.written(spark.range(3), "t")
+    assert d.count() == 3 and cluster.clear(spark, keep) == 1
+    with pytest.raises(Exception):
+        d.count()
+
+
 def brute(rows, least=0.30):
     def dob(v):
         return v
