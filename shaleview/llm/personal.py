@@ -56,8 +56,10 @@ _KIND = "|".join(sorted((k for k in KINDS if k != "st" and len(k) > 1), key=len,
 _DIR = r"(?:(?:north|south|east|west|no|so|ea|we|n|s|e|w|ne|nw|se|sw)\b\.?\s+)"
 _UNIT = r"(?:(?:apt|apartment|unit|ste|suite|flat|whg|wohnung|we|no|nr)\b\.?\s*(?:no\.?|nr\.?)?\s*#?\s*\d*\s?[a-z]?\d*|#\s?\d+[a-z]?)"
 ADDRESS = re.compile(
-    rf"(?<![\w.,/#-])(?:(?:apt|apartment|unit|ste|suite|flat)\b\.?\s+(?:no\.?\s*)?\d*[a-z]?\b,?\s+|#\s?\d+[a-z]?,?\s+)?\d{{1,5}}[a-z]?,?\s+{_DIR}?(?:[^\W\d_][\w'’-]*\s+){{1,2}}?(?:{_KIND})\b(?!\s+(?:of|for|from)\b)"
-    rf"|(?<![\w-])[^\W\d_][^\W\d_]{{2,}}-?(?:stra(?:ss|ß)e|str\.)\s+(?:nr\.?\s*)?\d{{1,5}}\b", re.I)
+    rf"(?<![\w.,/#-])(?:(?:apt|apartment|unit|ste|suite|flat)\b\.?\s+(?:no\.?\s*)?\d*[a-z]?\b,?\s+|#\s?\d+[a-z]?,?\s+)?\d{{1,5}}[a-z]?,?\s+{_DIR}?(?:[^\W\d_][\w'’-]*\s+){{1,2}}?(?:{_KIND})\b(?!\s+(?:of|for|from)\b)", re.I)
+JOINED_STREET = re.compile(r"(?<![\w-])[^\W\d_][^\W\d_]{2,}-?(?:stra(?:ss|ß)e|str\.)\s+(?:nr\.?\s*)?\d{1,5}\b", re.I)
+JOINED = re.compile(r"stra(?:ss|ß)e|str\.", re.I)  # what the above has, found far faster
+DIGIT = re.compile(r"\d")
 ADDRESS_NO_KIND = re.compile(
     rf"(?<![\w.,/#-])(?:(?:apt|apartment|unit|ste|suite|flat)\b\.?\s+(?:no\.?\s*)?\d*[a-z]?\b,?\s+|#\s?\d+[a-z]?,?\s+)?\d{{1,5}}\s+{_DIR}?[A-Z][a-z]{{3,}}(?:,?\s+{_UNIT})?,\s+[A-Z][a-z]+,?\s+(?:[A-Z]{{2}}\s+\d{{4,5}}\b|[A-Z]{{1,2}}\d{{1,2}}[A-Z]?\s?\d[A-Z]{{2}}\b)")
 NUMBER = re.compile(r"(?<![\w./#+$€£-])[A-Z]{0,5} ?\d[\d .-]{4,17}[A-Z]?(?![\w])")
@@ -79,7 +81,7 @@ def cue_before(text: str, at: int) -> str:
 def contexts(text: str) -> Counter:
     """Counts by (kind, key): N occurrences of a capitalised word, S of them after a cue, B a word before one of an ending, T an ending after a word of place, C a word beside another capitalised one, J a cue before a number, I one before a number that only governments give."""
     out: Counter = Counter()
-    text = text.translate(WIDE)
+    text = text if text.isascii() else text.translate(WIDE)
     tokens = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text)]
     for i, (w, a, b) in enumerate(tokens):
         if not w[0].isupper() or len(w) < 2:
@@ -105,7 +107,7 @@ def contexts(text: str) -> Counter:
                 out["B", f"{prev[0].lower()}|{ending(w)}"] += 1
             if cue in ("in", "at", "from", "nach", "à", "en", "of", "near"):
                 out["T", ending(w)] += 1
-    for m in NUMBER.finditer(text):
+    for m in NUMBER.finditer(text) if DIGIT.search(text) else ():
         if cue := cue_before(text, m.start()):
             out["J", cue] += 1
             own = ID.match(text, m.start())
@@ -198,7 +200,7 @@ def names(text: str, model: Model) -> Iterator[tuple[int, int]]:
 
 def values(text: str, model: Model) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every personal value, in order and without overlaps."""
-    text = text.translate(WIDE)
+    text = text if text.isascii() else text.translate(WIDE)
     found: list[tuple[int, int, str]] = []
     taken = bytearray(len(text))
 
@@ -213,16 +215,17 @@ def values(text: str, model: Model) -> list[tuple[int, int, str]]:
     if SPELT.search(text):
         for m in SPELT_EMAIL.finditer(text):
             take(m.start(), m.end(), "email")
-    for m in ID.finditer(text):
-        before = text[max(0, m.start() - 40) : m.start()]
-        if not PLAIN_NUMBERS.search(before) and (not NUMBER_CUE_NEEDED.match(m[0]) or ID_CUE.search(before) or cue_before(text, m.start()) in model.cues):
-            take(m.start(), m.end(), "id_number")
-    for m in PHONE.finditer(text):
-        if 9 <= sum(c.isdigit() for c in m[0]) <= 15 and not PLAIN_NUMBERS.search(text[max(0, m.start() - 40) : m.start()]):
-            take(m.start(), m.end(), "phone")
-    for pattern in (ADDRESS, ADDRESS_NO_KIND):
-        for m in pattern.finditer(text):
-            take(m.start(), m.end(), "street_address")
+    if DIGIT.search(text):
+        for m in ID.finditer(text):
+            before = text[max(0, m.start() - 40) : m.start()]
+            if not PLAIN_NUMBERS.search(before) and (not NUMBER_CUE_NEEDED.match(m[0]) or ID_CUE.search(before) or cue_before(text, m.start()) in model.cues):
+                take(m.start(), m.end(), "id_number")
+        for m in PHONE.finditer(text):
+            if 9 <= sum(c.isdigit() for c in m[0]) <= 15 and not PLAIN_NUMBERS.search(text[max(0, m.start() - 40) : m.start()]):
+                take(m.start(), m.end(), "phone")
+        for pattern in (ADDRESS, JOINED_STREET, ADDRESS_NO_KIND):
+            for m in pattern.finditer(text) if pattern is not JOINED_STREET or JOINED.search(text) else ():
+                take(m.start(), m.end(), "street_address")
     for a, b in names(text, model):
         take(a, b, "person_name")
     return sorted(found)
@@ -282,7 +285,7 @@ def corpus_model(texts: DataFrame, text: str = "text") -> Model:
 
 def lookups(text: str) -> list[str]:
     """All keys by which a text's words are looked up in the model."""
-    text = text.translate(WIDE)
+    text = text if text.isascii() else text.translate(WIDE)
     out = set()
     for w in TOKEN.findall(text):
         out.update((w.lower(), w.lower().removesuffix("'s").removesuffix("’s"), ending(w)))
