@@ -278,13 +278,17 @@ def near_spellings(counts: DataFrame, by: list[str], far: int | None = FAR) -> D
 def leads(counts: DataFrame, by: list[str], ratio: int = RATIO, far: int = FAR) -> DataFrame:
     """Rows (by, s, t): s is a slip of t, its best attested neighbour, followed on to what leads t.
 
-    A neighbour leads if it is `ratio` times as well attested; among spellings of six letters or more, whose
-    neighbours are rarely other words, any better attested one leads, and of equals the first in order, if one slip apart.
-    The rule compares counts with each other only, so it is the same at any size.
+    A neighbour one slip apart leads if it is `ratio` times as well attested; among spellings of six letters or more, whose
+    neighbours are rarely other words, any better attested one leads, and of equals the first in order. Two slips
+    are made far more rarely and lie between more words, so they need four times the ratio, or a spelling that stands
+    alone beside one that doesn't; with a ratio of 1, for groups in which all spellings mean one thing, any better one leads.
+    Counts are compared with each other only, so the rule means the same at any size.
     """
     long = F.least(F.length("x"), F.length("y")) >= 6
     better = (F.col("ny") > F.col("nx")) | (F.col("ny") == F.col("nx")) & (F.col("x") > F.col("y"))
-    ok = better & ((F.col("ny") >= ratio * F.col("nx")) | long & (F.col("d") == 1) | (F.col("d") == 2) & (F.col("ny") >= 2 * F.col("nx")))
+    one_slip = (F.col("d") == 1) & (long | (F.col("ny") >= ratio * F.col("nx")))
+    two_slips = (F.col("d") == 2) & (F.lit(ratio == 1) | (F.col("ny") >= 4 * ratio * F.col("nx")) | (F.col("nx") == 1) & (F.col("ny") > 1))
+    ok = better & (one_slip | two_slips)
     one = written(near_spellings(counts, by, far).where(ok).groupBy(*by, "x").agg(F.max_by("y", F.struct((-F.col("d")).alias("d"), F.col("ny").alias("n"), F.col("y"))).alias("t")).withColumnRenamed("x", "s"), "leads")
     on = one.select(*by, F.col("s").alias("t"), F.col("t").alias("u"))
     two = one.join(on, [*by, "t"], "left").join(on.select(*by, F.col("t").alias("u"), F.col("u").alias("v")), [*by, "u"], "left")
