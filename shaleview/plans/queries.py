@@ -89,7 +89,17 @@ def detect_ssn_nodash(spark, sf_dir) -> DataFrame:
     return D.counts(spread(read(spark, sf_dir, "extracted_blocks").select("text")), types=["SSN_NODASH"])
 
 
-@query()
+# RE2 has no looking around: limits of words say the same of a number, and prefixes and digits are asked for afterwards
+_US = r"(?:\b(?:1[\s\-.])?\d{3}|\b1[\s\-.]\(\d{3}\)|\B\(\d{3}\))[\s\-.]?\d{3}[\s\-.]?\d{4}\b"
+_AROUND = {
+    "SSN_NODASH": r"list_filter(regexp_extract_all(text, '\b\d{9}\b'), lambda x: NOT (x[1:3] IN ('000', '666') OR x[1] = '9' OR x[4:5] = '00' OR x[6:9] = '0000'))",
+    "PHONE_US": f"regexp_extract_all(text, {q(_US)})",
+    "NATIONAL_INSURANCE_UK": r"list_filter(regexp_extract_all(text, '\b[A-CEGHJ-PR-TW-Z]{2}\d{6}[ABCD]\b'), lambda x: x[1:2] NOT IN ('BG', 'GB', 'NK', 'KN', 'TN', 'NT', 'ZZ'))",
+    "STUDENT_ID": r"list_filter(regexp_extract_all(text, '\b(?:STU|SID|S)[A-Z0-9\-]{4,12}\b'), lambda x: regexp_matches(x, '\d'))",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS entity_type, sum(len(ms))::BIGINT AS n_matches, count(*) AS n_texts FROM (SELECT {v} AS ms FROM documents WHERE text IS NOT NULL) WHERE len(ms) > 0 HAVING count(*) > 0" for k, v in _AROUND.items()))
 def detect_lookaround_counts(spark, sf_dir) -> DataFrame:
     return D.counts(spread(read(spark, sf_dir, "documents").select("text")), types=LOOKAROUND)
 
