@@ -55,7 +55,7 @@ def clear(spark: SparkSession, keep: int = 0) -> int:
     gone = _TABLES[keep:]
     del _TABLES[keep:]
     for path in gone:
-        _delete(spark, path)
+        remove(spark, path)
     return len(gone)
 
 
@@ -69,7 +69,8 @@ def _leave() -> None:
         pass
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -98,7 +99,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
         last, e = len(_TABLES) - 1, written(small.select("p.*").where("u <> v").distinct(), "cc")
         if before is not None:  # the table of the round before isn't read any more
-            _delete(e.sparkSession, _TABLES.pop(last))
+            remove(e.sparkSession, _TABLES.pop(last))
         now = e.agg(*sums).first()
         if now == before:
             break
