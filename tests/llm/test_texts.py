@@ -315,9 +315,13 @@ def test_mixture(spark):
     total, longest = sum(size.values()), 40
     assert len({r.doc_id for r in m}) == len(m) and all(abs(size[s] - w / 0.95 * total) <= 3 * longest for s, w in (("a", 0.4), ("b", 0.4), ("c", 0.15)))
     assert mixing.mixture(d.where("false"), t).count() == 0
-    # as much as there is: over the limits of the targets, so the exponent is bisected and the limits hold
+    # as much as there is, which the targets don't allow: the exponent is bisected, so that the limits hold
+    have = {r.source: r.n for r in mixing.sized(d.where("source in ('a', 'b', 'c')").dropDuplicates(["doc_id"])).groupBy("source").agg({"n_tokens": "sum"}).toDF("source", "n").collect()}
     m = mixing.mixture(d, t, blocks=16, total_tokens="all").collect()
-    assert all(r.repeats <= limit[r.source] for r in m) and sum(r.n_tokens * r.repeats for r in m) > 1.02 * total
+    assert all(r.repeats <= limit[r.source] for r in m) and abs(sum(r.n_tokens * r.repeats for r in m) - sum(have.values())) <= 4 * longest
+    # more than that no exponent up to 1 gives: the total is what the limits allow there
+    m = mixing.mixture(d, t, blocks=16, total_tokens=2.0 * sum(have.values())).collect()
+    assert all(r.repeats <= limit[r.source] for r in m) and abs(sum(r.n_tokens * r.repeats for r in m) - sum(have.values())) <= 4 * longest
     m = mixing.mixture(d, t, blocks=16, by_entropy=True).collect()
     size = {s: sum(r.n_tokens * r.repeats for r in m if r.source == s) for s in limit}
     w = np.array(list(size.values())) / sum(size.values())
