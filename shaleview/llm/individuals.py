@@ -170,7 +170,7 @@ def agreement(pairs: DataFrame) -> DataFrame:
 def weak_label() -> Column:
     """1 for two independent strong agreements, 0 for two contradictions, else null."""
     e, d, p, g, f, a = (F.col(c) for c in LEVELS)
-    yes = (e == 3) & (d >= 2) & (g != 1) | (e == 3) & (g >= 2) & (f >= 2) & (d != 1) | (d == 3) & (g == 3) & (f >= 2) & ((p == 3) | (a == 3) | (e == 3))
+    yes = (e == 3) & (d >= 2) & (g != 1) | (e == 3) & (g >= 2) & (f >= 2) & ((d != 1) | (p == 3)) | (d == 3) & (g == 3) & (f >= 2) & ((p == 3) | (a == 3) | (e == 3))
     no = (g == 1) & ((d == 1) | (e != 3) & (d != 3)) | (d == 1) & (e == 1) | (g == 1) & (e == 1) | (f == 1) & (e != 3) & (d != 3)
     return F.when(yes & ~no, 1).when(no & ~yes, 0)
 
